@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (``MAX_SAMPLE``) is searched for word and word-stem
-   patterns that occur in toxic texts beyond chance; with a small lexicon of insults and
+   patterns (found once, twice, three times) that occur in toxic texts beyond chance; with a small lexicon of insults and
    patterns of punctuation they are the voters (at most ``MAX_VOTERS``).
 2. A generative label model (latent class, EM) estimates each voter's accuracy in either
    class; voters that stay correlated within a class share their weight. The human label
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,15 +34,15 @@ from pyspark.sql import types as T
 from ._common import appended, map_arrow, map_arrow_stream, texts, with_columns
 
 #: Labelled rows the model is fitted on, at most, and voters it may use.
-MAX_SAMPLE, MAX_VOTERS = 12_000, 400
+MAX_SAMPLE, MAX_VOTERS = 12_000, 500
 #: Nats of evidence a mined pattern needs (a bound for some 10^5 patterns tried), and rows.
 MIN_EVIDENCE, MIN_ROWS = 13.0, 4
 #: Scores from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Words that vote for toxic without any mining.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "jerk", "bastard", "imbecile")
-#: Stems of words, in bytes of UTF-8.
-STEMS = range(3, 10)
+#: Stems of words, in bytes of UTF-8; a pattern also counts as found twice, three times.
+STEMS, TIMES = range(3, 10), (2, 3)
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -69,6 +69,19 @@ def style_of(text: bytes) -> list[bytes]:
     return out
 
 
+def found_in(text: bytes, bases: Callable[[bytes], Sequence[bytes]] = patterns_of) -> set[bytes]:
+    """All patterns of a text; ``bases`` gives those of a word that matter."""
+    times: dict[bytes, int] = {}
+    for word, n in Counter(words_of(text)).items():
+        for p in bases(word):
+            times[p] = times.get(p, 0) + n
+    out = set(times)
+    for k in TIMES:
+        out.update(p + b"*%d" % k for p, n in times.items() if n >= k)
+    out.update(style_of(text))
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[bytes, float]
@@ -78,24 +91,27 @@ class Model:
         return Scorer(self)
 
 
-class Scorer:
-    """Scores texts; remembers which patterns of the model a word has."""
+class Known:
+    """The patterns of a word that a set of patterns needs; remembers words."""
 
+    def __init__(self, patterns: Iterable[bytes]) -> None:
+        self.bases, self.seen = {p.split(b"*")[0] for p in patterns}, {}
+
+    def __call__(self, word: bytes) -> Sequence[bytes]:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            found = self.seen[word] = tuple(p for p in patterns_of(word) if p in self.bases)
+        return found
+
+
+class Scorer:
     def __init__(self, model: Model) -> None:
-        self.w, self.bias, self.seen = model.weights, model.bias, {}
+        self.w, self.bias, self.known = model.weights, model.bias, Known(model.weights)
 
     def __call__(self, text: bytes) -> float:
-        z, w, seen, hits = self.bias, self.w, self.seen, set()
-        for word in set(words_of(text)):
-            found = seen.get(word)
-            if found is None:
-                if len(seen) > 300_000:
-                    seen.clear()
-                found = seen[word] = tuple(p for p in patterns_of(word) if p in w)
-            if found:
-                hits.update(found)
-        hits.update(p for p in style_of(text) if p in w)
-        z += sum(w[p] for p in sorted(hits))
+        z = self.bias + sum(self.w[p] for p in sorted(found_in(text, self.known)) if p in self.w)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -121,9 +137,7 @@ def mine(sample: DataFrame, positives: int, total: int) -> list[bytes]:
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                found = {p for w in set(words_of(text)) for p in patterns_of(w)}
-                found.update(style_of(text))
-                (pos if label else neg).update(found)
+                (pos if label else neg).update(found_in(text))
                 if len(pos) + len(neg) > 300_000:
                     yield out()
         yield out()
@@ -142,10 +156,8 @@ def votes(sample: DataFrame, voters: list[bytes]) -> tuple[np.ndarray, np.ndarra
     index = {v: i for i, v in enumerate(voters)}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hits = []
-        for text in texts(batch, "text"):
-            found = {index[p] for w in set(words_of(text)) for p in patterns_of(w) if p in index} | {index[p] for p in style_of(text) if p in index}
-            hits.append(sorted(found))
+        known = Known(voters)
+        hits = [sorted(index[p] for p in found_in(text, known) if p in index) for text in texts(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["label", "hits"])
 
     rows = map_arrow(sample, run, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("hits", T.ArrayType(T.IntegerType()))])).collect()
@@ -212,7 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         x, gold = votes(sample, voters)
     finally:
         sample.unpersist()
-    used = x.any(axis=0)
+    used = np.zeros(x.shape[1], bool)
+    used[np.unique(x, axis=1, return_index=True)[1]] = True  # of voters that always agree, one
+    used &= x.any(axis=0)
     x, voters = x[:, used], [v for v, u in zip(voters, used, strict=True) if u]
     if not voters:
         return Model({w: 4.0 for w in lexicon}, math.log(gold.mean() / (1 - gold.mean())))
