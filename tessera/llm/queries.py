@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, token_output, toxicity
+from . import ann, archive, decontaminate, html, mixing, simhash, token_output, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the URL contract.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labelled outcome is that of the label with its id: good if its quality is 1
+    and it isn't toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
+    judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "reputation")
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixture(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -24,6 +42,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +70,30 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mixing, op5_simhash, op7_token_output, op8_toxicity, op9_decontaminate)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields of a response are taken from the payload that was read back."""
+    rows = archive.read(spark, archive.write(_table(spark, sf_dir, "pages")))
+    page = lambda c: F.substring(c, len(archive.URN) + 1, 40).cast("long")
+    full = F.col("record_type") == "response"
+    return rows.select(
+        page(F.col("record_id")).alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.substring("payload_digest", len("sha256:") + 1, 64)).alias("payload_digest"),
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_nearest, op4_mixing, op5_simhash, op6_html_text, op7_token_output, op8_toxicity, op9_decontaminate, op10_warc)}
 
 #: What DuckDB can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_reputation": urls.oracle(URL_RULES, "pages", "select doc_id as id, (quality = 1 and toxic = 0)::int as good from labels where doc_id is not null and quality is not null and toxic is not null"),
+    "op10_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select payload_digest, min(page_id) as least from d where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, d.payload_digest, case when least < page_id then 'revisit' else 'response' end as record_type,
+  case when least < page_id then least end as refers_to
+from d left join f on d.payload_digest = f.payload_digest""",
+}
