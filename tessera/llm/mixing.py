@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 #: Tokens that are left to dynamic programming, documents of a hash bucket.
-DP_BUDGET, BUCKET = 1 << 16, 512
+DP_BUDGET, BUCKET = 1 << 16, 128
 
 
 def word_count(text: Column) -> Column:
