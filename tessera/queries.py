@@ -1,4 +1,412 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Queries over the sample tables, one or more per operator, and the SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import arrays as nd
+from .functions import schema as nds
+from .operators import broadcast as bc
+from .operators import chunk as ch
+from .plans import dims as plan
+from .plans.dims import Dimension
+from .sources import arrow as src
+from .streaming import chunks as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Vectors in a batch of the embeddings, components of a vector.
+BLOCK, COMPONENTS = 256, 64
+STATUSES, PRIORITIES, YEARS = ("F", "O", "P"), 5, 7
+CUBE = (Dimension("status", 3), Dimension("priority", 5), Dimension("year", 7))
+NATIONS = (Dimension("nation", 25), Dimension("segment", 5))
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+EVENTS = (Dimension("event_type", 5), Dimension("day", 30), Dimension("hour", 24))
+
+
+def query(oracle: str | None):
+    """Register a query under its name, with the SQL that DuckDB runs beside it."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(rows: Sequence[tuple], names: str) -> str:
+    def sql(v) -> str:
+        return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return f"select * from (values {', '.join('(' + ', '.join(map(sql, r)) + ')' for r in rows)}) t({names})"
+
+
+# Batches the queries start from
+
+
+def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch per 256 vectors: two-dimensional, one-dimensional and scalar arrays."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.expr(f"vec_id div {BLOCK}").alias("block"))
+    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("c"))
+    n = F.size("c")
+    return packed.select(
+        "block",
+        nd.nd_array(F.flatten("c.embedding"), ["vec", "comp"], [n, COMPONENTS], validate=False).alias("value"),
+        nd.nd_array(F.col("c.vec_id"), ["vec"], [n], validate=False).alias("vec_id"),
+        nd.nd_array(F.col("c.label"), ["vec"], [n], validate=False).alias("label"),
+        nd.nd_array(F.sequence(F.lit(0).cast("long"), F.lit(COMPONENTS - 1).cast("long")), ["comp"], [COMPONENTS], validate=False).alias("comp"),
+        nd.nd_scalar(F.lit(0.5)).alias("weight"),
+    )
+
+
+def vector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch per vector: no shuffle at all."""
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", nd.nd_array(F.col("embedding"), ["comp"], [COMPONENTS]).alias("value"), nd.nd_scalar(F.col("label")).alias("label"), nd.nd_array(F.sequence(F.lit(0).cast("long"), F.lit(COMPONENTS - 1).cast("long")), ["comp"], [COMPONENTS], validate=False).alias("comp"), nd.nd_scalar(F.lit(0.5)).alias("weight"))
+
+
+def _filled(spark: SparkSession, cells: DataFrame, shape: Sequence[Dimension], value: str) -> DataFrame:
+    """One row: the array of ``shape`` from (pos, value) rows; places without a row are null.
+    The shape is a constant of the query, so one row holds it."""
+    n = plan.flat_size(shape)
+    grid = spark.range(n).withColumnRenamed("id", "pos")
+    packed = grid.join(cells, "pos", "left").agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("c"))
+    return packed.select(nd.nd_array(F.col(f"c.{value}"), [d.name for d in shape], [d.size for d in shape]).alias(value))
+
+
+def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    status = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("o_orderstatus")) - 1
+    priority, year = F.substring("o_orderpriority", 1, 1).cast("int") - 1, F.year("o_orderdate") - 1995
+    cells = o.groupBy((status * 35 + priority * 7 + year).cast("long").alias("pos")).agg(F.count("*").alias("orders"))
+    by_year = o.groupBy((priority * 7 + year).cast("long").alias("pos")).agg(F.count("*").alias("of_year"))
+    names = o.select((priority).cast("long").alias("pos"), "o_orderpriority").groupBy("pos").agg(F.min("o_orderpriority").alias("name"))
+    one = _filled(spark, cells, CUBE, "orders").crossJoin(_filled(spark, by_year, CUBE[1:], "of_year")).crossJoin(_filled(spark, names, CUBE[1:2], "name"))  # one row each
+    return one
+
+
+CUBE_DIMS = {"orders": CUBE, "of_year": CUBE[1:], "name": CUBE[1:2]}
+
+_CUBE_SQL = """
+with o as (select case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as status, substr(o_orderpriority, 1, 1)::int - 1 as priority,
+  year(o_orderdate) - 1995 as year, o_orderpriority from orders),
+grid as (select s.status::bigint as status, p.priority::bigint as priority, y.year::bigint as year from range(3) s(status), range(5) p(priority), range(7) y(year)),
+cube as (select status, priority, year, count(*) as orders from o group by all),
+by_year as (select priority, year, count(*) as of_year from o group by all),
+names as (select priority, min(o_orderpriority) as name from o group by all)
+"""
+
+
+def nation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "nation")
+    segment = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")) - 1
+    counts = c.groupBy((F.col("c_nationkey") * 5 + segment).cast("long").alias("pos")).agg(F.count("*").alias("customers"))
+    keyed = n.select(F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_regionkey") == 1).alias("flag"), F.timestamp_seconds(F.col("n_nationkey").cast("long") * 86400).cast("timestamp_ntz").alias("since"), F.encode("n_name", "UTF-8").alias("code"))
+    out = _filled(spark, counts, NATIONS, "customers")
+    for column in ("flag", "since", "code"):
+        out = out.crossJoin(_filled(spark, keyed.select("pos", column), NATIONS[:1], column))  # one row each
+    return out.withColumn("segment", nd.nd_array(F.array(*map(F.lit, SEGMENTS)), ["segment"], [5]))
+
+
+NATION_DIMS = {"customers": NATIONS, "flag": NATIONS[:1], "since": NATIONS[:1], "code": NATIONS[:1], "segment": NATIONS[1:]}
+
+_NATION_SQL = f"""
+with grid as (select n.i as nation, s.i as segment_no, ['{"', '".join(SEGMENTS)}'][s.i + 1] as segment from range(25) n(i), range(5) s(i)),
+counts as (select c_nationkey as nation, c_mktsegment as segment, count(*) as customers from customer group by all)
+"""
+
+
+def user_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return nd.nd_from_table(e, ["user_id"], ["ts", "event_id"], ["value", "event_type", "ts"], "event")
+
+
+# Broadcast
+
+
+@query("select e.vec_id, c.i as comp, e.label, e.embedding[c.i + 1] as value, 0.5::double as weight from embeddings e, range(64) c(i)")
+def nd_broadcast_batch(spark, sf_dir):
+    return bc.broadcast_to_table(embedding_batches(spark, sf_dir), ["value", "vec_id", "label", "comp", "weight"]).select("vec_id", "comp", "label", "value", "weight")
+
+
+@query("select e.vec_id, e.embedding[c.i + 1] as value, 0.5::double as weight from embeddings e, range(64) c(i)")
+def nd_broadcast_scalar(spark, sf_dir):
+    dims = {"value": [("comp", COMPONENTS)], "weight": []}
+    return bc.broadcast_to_table(vector_batches(spark, sf_dir), ["value", "weight"], dims, keep=["vec_id"])
+
+
+@query("select vec_id // 256 as block, label, embedding[c.i + 1] as value from embeddings, range(64) c(i)")
+def nd_broadcast_leading(spark, sf_dir):
+    return bc.broadcast_to_table(embedding_batches(spark, sf_dir), ["label", "value"], keep=["block"])
+
+
+@query("select vec_id // 256 as block, c.i as comp, embedding[c.i + 1] as value from embeddings, range(64) c(i)")
+def nd_broadcast_trailing(spark, sf_dir):
+    return bc.broadcast_to_table(embedding_batches(spark, sf_dir), ["comp", "value"], keep=["block"])
+
+
+@query(_CUBE_SQL + "select (status * 35 + g.priority * 7 + year)::int as pos, status, g.priority, year, name from grid g left join names n on n.priority = g.priority")
+def nd_broadcast_middle(spark, sf_dir):
+    rows = bc.broadcast_to_table(order_cube(spark, sf_dir), ["orders", "name"], CUBE_DIMS, coordinates=["pos", "status", "priority", "year"])
+    return rows.select(F.col("pos").cast("int").alias("pos"), "status", "priority", "year", "name")
+
+
+@query(_CUBE_SQL + "select g.status, g.priority, g.year, orders, of_year from grid g left join cube c on (g.status, g.priority, g.year) = (c.status, c.priority, c.year) left join by_year b on (g.priority, g.year) = (b.priority, b.year)")
+def nd_broadcast_subslice(spark, sf_dir):
+    return bc.broadcast_to_table(order_cube(spark, sf_dir), ["orders", "of_year"], CUBE_DIMS, coordinates=["pos", "status", "priority", "year"]).drop("pos")
+
+
+def _nation_query(name: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return bc.broadcast_to_table(nation_batch(spark, sf_dir), ["customers", name], NATION_DIMS, coordinates=["pos", "nation", "segment_no"]).drop("pos")
+
+    run.__name__ = {"segment": "nd_broadcast_string", "flag": "nd_broadcast_bool", "since": "nd_broadcast_ts", "code": "nd_broadcast_binary"}[name]
+    query(_NATION_SQL + f"select g.nation, g.segment_no, customers, {sql} as {name} from grid g left join counts c on c.nation = g.nation and c.segment = g.segment left join nation n on n.n_nationkey = g.nation")(run)
+
+
+_nation_query("segment", "g.segment")
+_nation_query("flag", "n_regionkey = 1")
+_nation_query("since", "timestamp '1970-01-01' + to_days(n_nationkey::int)")
+_nation_query("code", "encode(n_name)")
+
+_EVENT_SQL = """
+with kinds as (select event_type, row_number() over (order by event_type) - 1 as k from (select distinct event_type from events)),
+base as (select min(date_trunc('day', ts)) as d0 from events),
+cells as (select k, date_diff('day', d0, ts) as day, hour(ts) as hour, count(*) as n from events join kinds using (event_type), base group by all)
+"""
+
+
+@query(_EVENT_SQL + "select x.k as event_type, d.day, h.hour, nullif(n, 1) as n, case when d.day % 7 = 0 then null else d.day end as day_no from range(5) x(k), range(30) d(day), range(24) h(hour) left join cells c on c.k = x.k and c.day = d.day and c.hour = h.hour")
+def nd_broadcast_nulls(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a dimension's labels
+    day = F.datediff("ts", F.lit(e.agg(F.min("ts").cast("date")).first()[0]))
+    kind = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1
+    cells = e.groupBy((kind * 720 + day * 24 + F.hour("ts")).cast("long").alias("pos")).agg(F.count("*").alias("n")).select("pos", F.nullif("n", F.lit(1)).alias("n"))
+    days = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")), lambda d: F.when(d % 7 != 0, d))
+    batch = _filled(spark, cells, EVENTS, "n").withColumn("day_no", nd.nd_array(days, ["day"], [30]))
+    return bc.broadcast_to_table(batch, ["n", "day_no"], {"n": EVENTS, "day_no": EVENTS[1:2]}, coordinates=["pos", "event_type", "day", "hour"]).drop("pos")
+
+
+@query("select vec_id, embedding[c.i + 1] as value, null::double as missing from embeddings, range(64) c(i)")
+def nd_broadcast_null_array(spark, sf_dir):
+    batch = vector_batches(spark, sf_dir).withColumn("missing", nd.nd_null("double"))
+    return bc.broadcast_to_table(batch, ["value", "missing"], keep=["vec_id"])
+
+
+@query("select count(*) as regions, min(r_name) as first_name, null::bigint as missing from region")
+def nd_all_scalars(spark, sf_dir):
+    one = _table(spark, sf_dir, "region").agg(F.count("*").alias("n"), F.min("r_name").alias("m"))
+    batch = nd.nd_batch(one, regions=nd.nd_scalar(F.col("n")), first_name=nd.nd_scalar(F.col("m")), missing=nd.nd_null("bigint"))
+    return bc.broadcast_to_table(batch)
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, o_custkey, o_orderpriority, 0.05::double as rate from lineitem left join orders on l_orderkey = o_orderkey")
+def nd_broadcast_relational(spark, sf_dir):
+    """The dimension is the order; the larger array has a row per line."""
+    cells = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), "l_linenumber", "l_quantity")
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), "o_custkey", "o_orderpriority")
+    rate = spark.range(1).select(F.lit(0.05).alias("rate"))
+    return bc.broadcast_tables(cells, (orders, ["order"]), (rate, [])).withColumnRenamed("order", "l_orderkey")
+
+
+@query("select vec_id, c.i as comp, embedding[c.i + 1] as value, label, 0.5::double as weight from embeddings, range(64) c(i)")
+def nd_broadcast_batch_relational(spark, sf_dir):
+    """The flagship's cells by joins on coordinates."""
+    e = _table(spark, sf_dir, "embeddings")
+    cells = e.select("vec_id", F.posexplode("embedding").alias("comp", "value")).withColumn("comp", F.col("comp").cast("long"))
+    return bc.broadcast_tables(cells, (e.select("vec_id", "label"), ["vec_id"]), (spark.range(1).select(F.lit(0.5).alias("weight")), []))
+
+
+# Accessors and shape algebra
+
+
+@query("select vec_id // 256 as block, count(*) as n_vec, 64::bigint as n_comp, 2 as rank, false as scalar, true as weight_scalar, count(*) * 64 as cells, 1::bigint as weight_cells from embeddings group by all")
+def nd_shape(spark, sf_dir):
+    a, w = F.col("value"), F.col("weight")
+    return embedding_batches(spark, sf_dir).select("block", F.element_at(nd.nd_shape(a), 1).alias("n_vec"), F.element_at(nd.nd_shape(a), 2).alias("n_comp"), nd.nd_rank(a).alias("rank"), nd.nd_is_scalar(a).alias("scalar"), nd.nd_is_scalar(w).alias("weight_scalar"), nd.nd_flat_size(a).alias("cells"), nd.nd_flat_size(w).alias("weight_cells"))
+
+
+@query("select user_id, 'event' as name, count(*) as size, false as missing from events group by user_id")
+def nd_dimensions(spark, sf_dir):
+    b = user_batches(spark, sf_dir)
+    return b.select("user_id", F.explode(nd.nd_dimensions(F.col("value"))).alias("d"), nd.nd_is_null(F.col("value")).alias("missing")).select("user_id", "d.name", "d.size", "missing")
+
+
+def _dims(text: str) -> tuple[Dimension, ...]:
+    """``x2 y3`` as dimensions."""
+    return tuple(Dimension(p[0], int(p[1:])) for p in text.split())
+
+
+COMPARED = [("", "", 0), ("", "x2", -1), ("x2", "", 1), ("x2", "x2 y3", -1), ("x2 y3", "y3", 1), ("x2 y3", "x2 y3 z4", None), ("x2", "y3", None), ("x2", "x3 y3", None), ("x2 y3", "y3 x2", None)]
+
+
+@query(_values(COMPARED, "a, b, relation"))
+def nd_compare_shapes(spark, sf_dir):
+    return spark.createDataFrame([(a, b, plan.compare(_dims(a), _dims(b))) for a, b, _ in COMPARED], "a string, b string, relation int")
+
+
+TARGETS = [("", "", "", ""), ("x2", "", "y3", "x2"), ("x2", "x2 y3", "", "x2 y3"), ("x2 y3", "y3 z4", "x2", "x2 y3"), ("", "x2", "x2 y3 z4", "x2 y3 z4")]
+
+
+@query(_values(TARGETS, "a, b, c, target"))
+def nd_find_target(spark, sf_dir):
+    """By the row's own data; the planner's choice is the same (see tests)."""
+    rows = spark.createDataFrame([t[:3] for t in TARGETS], "a string, b string, c string")
+
+    def array(c: str):
+        parts = F.filter(F.split(c, " "), lambda p: p != "")
+        return F.struct(F.transform(parts, lambda p: p.substr(1, 1)).alias(nds.NAMES), F.transform(parts, lambda p: p.substr(2, 9).cast("long")).alias(nds.SIZES), F.array(F.lit(1)).alias(nds.VALUES))
+
+    best = bc.target_of([array(c) for c in "abc"])
+    return rows.select("a", "b", "c", F.array_join(F.transform(best, lambda d: F.concat(d["name"], d["size"].cast("string"))), " ").alias("target"))
+
+
+RESHAPES = [("", "", 1, 1), ("", "x2 y3", 1, 6), ("x2", "x2 y3", 1, 3), ("y3", "x2 y3", 2, 1), ("y3", "x2 y3 z4", 2, 4), ("x2 y3", "x2 y3 z4", 1, 4), ("y3 z4", "x2 y3 z4", 2, 1), ("x2 z4", "x2 y3 z4", None, None), ("y3 x2", "x2 y3", None, None), ("y2", "x2 y3", None, None), ("x2 y3", "x2", None, None), ("x2", "y3", None, None), ("x2", "e0 x2", 0, 1), ("", "e0", 1, 0), ("x2", "x2", 1, 1), ("e0", "e0 x2", 1, 2), ("x2", "x2 y3 x2", 1, 6)]
+
+
+@query("select source, target, whole::bigint as whole, each::bigint as each from (" + _values(RESHAPES, "source, target, whole, each") + ")")
+def nd_reshape_args(spark, sf_dir):
+    rows = spark.createDataFrame([r[:2] for r in RESHAPES], "source string, target string")
+
+    def dims(c: str):
+        return F.transform(F.filter(F.split(c, " "), lambda p: p != ""), lambda p: F.struct(p.substr(1, 1).alias("name"), p.substr(2, 9).cast("long").alias("size")))
+
+    r = bc.repeats_of(dims("source"), dims("target"))
+    return rows.select("source", "target", r["whole"].alias("whole"), r["each"].alias("each"))
+
+
+# Encode, decode, validation, schemas
+
+INVALID = [
+    (1, ["x", "y"], [2, 2], [1, 2, 3, 4], None), (2, ["x"], [2, 2], [1, 2, 3, 4], "DIMENSION_SIZE_MISMATCH"), (3, ["x"], [3], [1, 2], "SHAPE_AND_LENGTH_MISMATCH"),
+    (4, None, [1], [1], "NO_DIMENSION_NAMES"), (5, ["x"], None, [1], "NO_DIMENSION_SIZES"), (6, ["x"], [1], None, "NO_VALUES"), (7, [None], [1], [1], "NULL_DIMENSION"),
+    (8, ["x"], [None], [1], "NULL_DIMENSION"), (9, [], [], [5], None), (10, [], [], [5, 6], "SHAPE_AND_LENGTH_MISMATCH"), (11, ["e"], [0], [], None), (12, ["x", "y"], [-1, -1], [1], "SHAPE_AND_LENGTH_MISMATCH"), (13, ["x"], [1], [None], None),
+]
+
+
+@query(_values([(r[0], r[4]) for r in INVALID], "id, code") + " union all select 14, null")
+def nd_validate_codes(spark, sf_dir):
+    rows = spark.createDataFrame([(r[0], {"dimension_names": r[1], "dimension_sizes": r[2], "values": r[3]}) for r in INVALID] + [(14, None)], "id int, a struct<dimension_names array<string>, dimension_sizes array<bigint>, values array<int>>")
+    return rows.select("id", nd.nd_error_code(F.col("a")).alias("code"))
+
+
+@query("select user_id, value, event_type, ts from events")
+def nd_encode_decode(spark, sf_dir):
+    """Encoded batches with their metadata, decoded with all checks, flattened again."""
+    encoded = nd.encode_batches(user_batches(spark, sf_dir), ["value", "event_type", "ts"])
+    decoded = nd.decode_batches(encoded, ["value", "event_type", "ts"])
+    return bc.broadcast_to_table(decoded, ["value", "event_type", "ts"], keep=["user_id"])
+
+
+@query("select n_regionkey, n_nationkey, n_name from nation")
+def nd_arrow_round_trip(spark, sf_dir):
+    """Through an Arrow table in the wire types (a table the size of a nation list)."""
+    batches = nd.nd_from_table(_table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"], "nation")
+    keyed = batches.select(nd.nd_scalar(F.col("n_regionkey")).alias("n_regionkey"), "n_nationkey", "n_name")
+    return bc.broadcast_to_table(src.from_arrow(spark, src.to_arrow(keyed)))
+
+
+@query("select ordinal_position::int - 1 as pos, column_name as name, 'struct<dimension_names:array<string>,dimension_sizes:array<bigint>,values:array<' || case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end || '>>' as type, false as nullable from (select row_number() over () as ordinal_position, column_name, column_type as data_type from (describe lineitem))")
+def nd_schema_to_nd(spark, sf_dir):
+    return spark.createDataFrame(nds.schema_rows(nds.to_nd_schema(_table(spark, sf_dir, "lineitem").schema)), "pos int, name string, type string, nullable boolean")
+
+
+@query("select row_number() over ()::int - 1 as pos, column_name as name, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end as type, true as nullable from (describe orders)")
+def nd_schema_from_nd(spark, sf_dir):
+    there = nds.to_nd_schema(_table(spark, sf_dir, "orders").schema)
+    return spark.createDataFrame(nds.schema_rows(nds.to_plain_schema(there)), "pos int, name string, type string, nullable boolean")
+
+
+@query("select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos, value from events")
+def nd_from_table_by_group(spark, sf_dir):
+    return user_batches(spark, sf_dir).select("user_id", F.posexplode(nd.nd_values(F.col("value"))).alias("pos", "value"))
+
+
+@query("select o_orderkey, case when regexp_matches(substr(o_orderpriority, 1, 1), '^[0-9]$') then substr(o_orderpriority, 1, 1)::int end as digit, null::int as word from orders")
+def nd_cast_safe(spark, sf_dir):
+    """Text to number: what is no number becomes a null cell."""
+    a = nd.nd_array(F.array(F.substring("o_orderpriority", 1, 1), F.substring("o_orderpriority", 3, 9)), ["part"], [2])
+    cast = _table(spark, sf_dir, "orders").select("o_orderkey", nd.nd_cast(a, "int").alias("a"))
+    return cast.select("o_orderkey", F.element_at("a.values", 1).alias("digit"), F.element_at("a.values", 2).alias("word"))
+
+
+@query("select l_orderkey, l_linenumber, trunc(l_extendedprice)::int as price, trunc(-l_extendedprice)::int as negative from lineitem")
+def nd_cast_trunc(spark, sf_dir):
+    a = nd.nd_array(F.array("l_extendedprice", -F.col("l_extendedprice")), ["sign"], [2])
+    cast = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", nd.nd_cast(a, "int").alias("a"))
+    return cast.select("l_orderkey", "l_linenumber", F.element_at("a.values", 1).alias("price"), F.element_at("a.values", 2).alias("negative"))
+
+
+# Chunks
+
+_CELLS_SQL = "select vec_id as i, c.i as j, embedding[c.i + 1] as v from embeddings, range(64) c(i)"
+
+
+def _embedding_chunks(spark: SparkSession, sf_dir: str, shape: Sequence[int]) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    cells = e.select("vec_id", F.posexplode("embedding").alias("comp", "value")).withColumn("comp", F.col("comp").cast("long"))
+    return ch.chunk_table(cells, ["vec_id", "comp"], [e.count(), COMPONENTS], shape, "value")
+
+
+@query(f"with c as ({_CELLS_SQL}), n as (select count(*) as n from embeddings) select (i // 70) * 70 as o0, (j // 24) * 24 as o1, min(least(70, n - (i // 70) * 70)) as s0, min(least(24, 64 - (j // 24) * 24))::bigint as s1, count(*) as cells from c, n group by all")
+def nd_chunk_meta(spark, sf_dir):
+    return _embedding_chunks(spark, sf_dir, (70, 24)).select("o0", "o1", "s0", "s1", F.size("values").cast("long").alias("cells"))
+
+
+@query(f"with c as ({_CELLS_SQL}) select (i // 64) * 64 as o0, (j // 16) * 16 as o1, (row_number() over (partition by i // 64, j // 16 order by i, j) - 1)::int as pos, v as value from c")
+def nd_chunk_values(spark, sf_dir):
+    return _embedding_chunks(spark, sf_dir, (64, 16)).select("o0", "o1", F.posexplode("values").alias("pos", "value"))
+
+
+@query("select vec_id, c.i as comp, embedding[c.i + 1] as value from embeddings, range(64) c(i)")
+def nd_chunk_round_trip(spark, sf_dir):
+    return ch.unchunk(_embedding_chunks(spark, sf_dir, (70, 24)), ["vec_id", "comp"], "value")
+
+
+@query(f"with c as ({_CELLS_SQL}), b as (select *, i // 256 as block, i % 256 as r from c), n as (select block, count(distinct i) as n from b group by block) select b.block, (r // 100) * 4 + j // 20 as chunk_ordinal, (r // 100) * 100 as o0, (j // 20) * 20 as o1, min(least(n, (r // 100) * 100 + 100)) as end0, min(least(64, (j // 20) * 20 + 20))::bigint as end1, count(*) as cells, min(v) as least, max(v) as most from b join n on n.block = b.block group by all")
+def nd_chunk_in_row(spark, sf_dir):
+    """Two-dimensional arrays cut within their rows, edges smaller."""
+    c = ch.chunk_batches(embedding_batches(spark, sf_dir), "value", (100, 20), keep=["block"])
+    return c.select("block", "chunk_ordinal", F.element_at("chunk_indices", 1).alias("o0"), F.element_at("chunk_indices", 2).alias("o1"), F.element_at("slices", 1)["end"].alias("end0"), F.element_at("slices", 2)["end"].alias("end1"), F.size("values").cast("long").alias("cells"), F.array_min("values").alias("least"), F.array_max("values").alias("most"))
+
+
+@query(f"select i as vec_id, (j // 24) * 24 as origin, (j % 24)::int as pos, v as value from ({_CELLS_SQL})")
+def nd_chunk_stream(spark, sf_dir):
+    """Arrays as they arrive: the stateless cut a stream runs (tests start it as one)."""
+    c = streaming.stream_chunks(vector_batches(spark, sf_dir), "value", (24,), keep=["vec_id"])
+    return c.select("vec_id", F.element_at("chunk_indices", 1).alias("origin"), F.posexplode("values").alias("pos", "value"))
+
+
+AUTO = [(1, 131072, (("N_PROF", 44452), ("N_LEVELS", 3660))), (2, 131072, (("a", 1_000_000), ("b", 2))), (3, 4096, (("a", 100_000), ("b", 3), ("c", 3), ("d", 3))), (4, 4096, (("a", 50), ("b", 40))), (5, 4096, (("a", 4096), ("b", 4096), ("c", 4096))), (6, 1000, (("a", 7),)), (7, 1000, (("a", 99_999),))]
+_AUTO_ROWS = [(g, target, i, name, size) for g, target, dims in AUTO for i, (name, size) in enumerate(dims)]
+
+
+@query(f"""
+with d as ({_values(_AUTO_ROWS, 'g, target, i, name, size')}),
+m as (select *, greatest(1, max(size) over (partition by g)) as largest, count(*) over (partition by g) as rank from d),
+p as (select *, size::double / largest as ratio from m),
+s as (select g, power(any_value(target) / product(ratio), 1.0::double / any_value(rank)) as scale from p group by g),
+c as (select p.*, scale, greatest(1, least(floor(ratio * scale), size)) as once, greatest(1, least(floor(ratio * scale * 2), size)) as twice from p join s using (g)),
+t as (select g, product(once) as p1, product(twice) as p2 from c group by g)
+select c.g, i as pos, name, (case when p1 >= target // 2 then once when p2 >= target // 2 then twice else size end)::bigint as chunk from c join t on t.g = c.g""")
+def nd_auto_chunk(spark, sf_dir):
+    rows = [(g, i, d.name, d.size) for g, target, dims in AUTO for i, d in enumerate(plan.aligned_chunks([plan.dimensions(dims)], target)[0])]
+    return spark.createDataFrame(rows, "g int, pos int, name string, chunk long")
+
+
+@query(_values([("N_PROF", 0, 1261), ("N_LEVELS", 0, 103), ("N_PROF", 1, 1261)], "name, g, chunk"))
+def nd_auto_chunk_aligned(spark, sf_dir):
+    groups = [plan.dimensions([("N_PROF", 44452), ("N_LEVELS", 3660)]), plan.dimensions([("N_PROF", 44452)])]
+    rows = [(d.name, g, d.size) for g, dims in enumerate(plan.aligned_chunks(groups, 131072)) for d in dims]
+    return spark.createDataFrame(rows, "name string, g int, chunk int")
