@@ -350,3 +350,25 @@ def test_label_model_discounts_correlated_and_weak_voters():
     gold = np.where(rng.random(4000) < 0.1, ~y, y).astype(float)
     q = toxicity.label_model(x, gold)
     assert ((q > 0.5) == y).mean() > 0.95
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    encoder = token_output.Encoder(path)
+    piece = st.sampled_from(["a", "word", "It's", "'ll", "''s", "x'", "12ab3", ",", "...", "$$$", "é", "ß", "İ", "́", "漢", "\U0001f600", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "\x1c", "​", "<|endoftext|>", "Ǆ", "ª", "\x02", "\x03", "a.", "b,", ".", "²", "½", "_"])
+    text = st.lists(piece | st.characters(exclude_categories=["Cs"]), max_size=12).map("".join) | st.lists(piece, max_size=9).map(" ".join) | st.lists(piece, max_size=9).map("\n".join)
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(text, max_size=4))
+    def check(batch):
+        got = encoder.encode_all(batch)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+
+    check()
