@@ -93,6 +93,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 #: What DuckDB can express.
 ORACLES: dict[str, str] = {
     "op1_url_reputation": urls.oracle(URL_RULES, "pages", "select doc_id as id, (quality = 1 and toxic = 0)::int as good from labels where doc_id is not null and quality is not null and toxic is not null"),
+    "op9_decontaminate": r"""
+with d as (select row_number() over () as row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+s as (select item_id, ws, least(10, len(ws)) as size from i where len(ws) > 0),
+windows as (select distinct item_id, size, array_to_string(list_slice(ws, p, p + size - 1), ' ') as w from (select *, unnest(range(1, len(ws) - size + 2)) as p from s)),
+grams as (select row_id, p, size, array_to_string(list_slice(ws, p, p + size - 1), ' ') as w from (select row_id, ws, size, unnest(range(1, len(ws) - size + 2)) as p from d, (select distinct size from s) where len(ws) >= size)),
+hits as (select row_id, p, g.size, item_id from grams g join windows x on x.w = g.w and x.size = g.size),
+places as (select row_id, count(distinct p + k) as n_hit from (select row_id, p, unnest(range(0, size)) as k from hits) group by row_id),
+named as (select row_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from hits where item_id is not null group by row_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (row_id) left join named using (row_id)""",
     "op10_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
 d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
