@@ -100,6 +100,28 @@ def chunk_table(cells: DataFrame, dims: Sequence[str], sizes: Sequence[int], chu
     return packed.select(*keys, *[f"o{i}" for i in range(len(dims))], *extent, F.col("cells.v").alias("values"))
 
 
+def chunk_rows(rows: DataFrame, outer: Sequence[str], sizes: Sequence[int], chunk_shape: Sequence[int], column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``chunk_table`` for tables with a row per line of the last dimension: ``column`` is the
+    line, ``outer`` the other coordinates. Lines are cut before the shuffle, so it moves
+    slices, not cells."""
+    shape = check_chunk_shape(chunk_shape)
+    n = len(shape)
+    if not n == len(outer) + 1 == len(sizes):
+        raise ChunkShapeMismatch(f"CHUNK_SHAPE_MISMATCH: rank {len(outer) + 1} and chunk shape {shape}")
+    width = shape[-1]
+    cut = F.transform(starts(F.lit(sizes[-1]).cast("long"), width), lambda o: F.struct(o.alias("o"), F.slice(column, o.cast("int") + 1, width).alias("part")))
+    pieces = rows.select(*keys, *outer, F.explode(cut).alias("__c"))
+    origin = [F.expr(f"(`{d}` div {c}) * {c}").cast("long").alias(f"o{i}") for i, (d, c) in enumerate(zip(outer, shape[:-1], strict=True))]
+    line = F.lit(0).cast("long")
+    for i, (d, c) in enumerate(zip(outer, shape[:-1], strict=True)):
+        line = line * F.least(F.lit(c).cast("long"), F.lit(sizes[i]) - F.col(f"o{i}")) + F.col(d) % c
+    by = [*keys, *[f"o{i}" for i in range(n)]]
+    placed = pieces.select(*keys, *outer, *origin, F.col("__c.o").alias(f"o{n - 1}"), F.col("__c.part").alias("part")).select(*by, F.struct(line.alias("pos"), "part").alias("cell"))
+    packed = placed.groupBy(*by).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    extent = [F.least(F.lit(c).cast("long"), F.lit(sizes[i]) - F.col(f"o{i}")).alias(f"s{i}") for i, c in enumerate(shape)]
+    return packed.select(*by, *extent, F.flatten("cells.part").alias("values"))
+
+
 def unchunk(chunks: DataFrame, dims: Sequence[str], value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Cells of chunks: keys, coordinates and value. Narrow: no shuffle."""
     n = len(dims)

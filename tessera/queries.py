@@ -354,6 +354,11 @@ _CELLS_SQL = "select vec_id as i, c.i as j, embedding[c.i + 1] as v from embeddi
 
 
 def _embedding_chunks(spark: SparkSession, sf_dir: str, shape: Sequence[int]) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return ch.chunk_rows(e, ["vec_id"], [e.count(), COMPONENTS], shape, "embedding")
+
+
+def _cell_chunks(spark: SparkSession, sf_dir: str, shape: Sequence[int]) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     cells = e.select("vec_id", F.posexplode("embedding").alias("comp", "value")).withColumn("comp", F.col("comp").cast("long"))
     return ch.chunk_table(cells, ["vec_id", "comp"], [e.count(), COMPONENTS], shape, "value")
@@ -371,9 +376,16 @@ def nd_chunk_values(spark, sf_dir):
 
 @query("select vec_id, c.i as comp, embedding[c.i + 1] as value from embeddings, range(64) c(i)")
 def nd_chunk_round_trip(spark, sf_dir):
+    """Rows of lines to chunks and back to cells."""
     return ch.unchunk(_embedding_chunks(spark, sf_dir, (70, 24)), ["vec_id", "comp"], "value")
 
 
+@query(f"with c as ({_CELLS_SQL}) select (i // 64) * 64 as o0, (j // 16) * 16 as o1, (row_number() over (partition by i // 64, j // 16 order by i, j) - 1)::int as pos, v as value from c")
+def nd_chunk_cells(spark, sf_dir):
+    """The same chunks from a row per cell."""
+    return _cell_chunks(spark, sf_dir, (64, 16)).select("o0", "o1", F.posexplode("values").alias("pos", "value"))
+
+
 @query(f"with c as ({_CELLS_SQL}), b as (select *, i // 256 as block, i % 256 as r from c), n as (select block, count(distinct i) as n from b group by block) select b.block, (r // 100) * 4 + j // 20 as chunk_ordinal, (r // 100) * 100 as o0, (j // 20) * 20 as o1, min(least(n, (r // 100) * 100 + 100)) as end0, min(least(64, (j // 20) * 20 + 20))::bigint as end1, count(*) as cells, min(v) as least, max(v) as most from b join n on n.block = b.block group by all")
 def nd_chunk_in_row(spark, sf_dir):
     """Two-dimensional arrays cut within their rows, edges smaller."""

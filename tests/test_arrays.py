@@ -330,6 +330,9 @@ def test_chunks_equal_the_model(spark, sizes, data):
     n = len(names)
     assert sorted(([r[f"o{i}"] for i in range(n)], [r[f"s{i}"] for i in range(n)], repr(r["values"])) for r in made.collect()) == sorted((o, s, repr(v)) for o, s, v in want)
     assert sorted(map(repr, map(tuple, ch.unchunk(made, names, "v").collect()))) == sorted(map(repr, cells))
+    lines = [(*at, values[sum(i * k for i, k in zip(at, plan.strides(sizes))) :][: sizes[-1]]) for at in itertools.product(*map(range, sizes[:-1]))]
+    by_line = ch.chunk_rows(spark.createDataFrame(lines, ", ".join([f"{n} long" for n in names[:-1]] + ["line array<int>"])), names[:-1], sizes, shape, "line")
+    assert sorted(map(repr, by_line.collect())) == sorted(map(repr, made.collect()))
 
 
 def test_chunk_slices_and_errors(spark):
