@@ -32,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete this application's intermediates. Results not yet written read from them, so
+    call it when the work is done; token files and archives without a path go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
