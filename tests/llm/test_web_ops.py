@@ -135,6 +135,17 @@ def test_templates_of_a_host_are_found(spark):
     assert {r.text for r in html.extract(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"all the same"}
 
 
+def test_what_elements_say_of_themselves():
+    def text(page):
+        return html.main_text(html.leaves(page, None), frozenset())
+
+    assert text('<div style="overflow:hidden" data-x="hidden nav ad">a</div><div hidden>b</div><div style="display: none">c</div><p aria-hidden=true>d<p aria-hidden="false">e') == "a\ne"
+    assert text('<div class="Main-Nav">a</div><div id="ads_top">b</div><div class="shadow navy">c</div><div role="navigation">d</div>') == "c"
+    assert text('<header>site</header><main><article><header><h1>T</h1></header><p>x</p><aside>y</aside><footer>z</footer><section class="comments"><article class="comment">r</article></section></article><p>w</p></main>') == "T\nx"
+    assert text("<table><tr><td>1<td>2<tr><td>3</table><dl><dt>a<dd>b</dl><pre> k  l\n m</pre>&nbsp;&lt;&#233;&nbsp;") == "1\n2\n3\na\nb\nk l m\n<é"
+    assert text("<ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>see <a href=z>this</a> in the text</p>") == "see this in the text"
+
+
 def test_html_odd_rows(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain  text"), (4, "u", deep), (5, "u", "<p>a" * 4000), (6, "u", "<p>a<script>never closed"), (7, "u", "<<p>x</p></p></div>y<!-- no end"), (8, "u", '<a "' * 3000), (None, "u", "<p>n"), (3, "u", "plain  text")]
