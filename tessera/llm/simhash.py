@@ -8,7 +8,7 @@
    times all words on the remaining bits. A fingerprint is at home at the anchor that
    covers it (within radius 1) and is replicated to every anchor within
    ``1 + t // m`` of it: a link's one end meets the other's home anchor for certain.
-4. Per anchor, fingerprints are compared; a batch of anchors yields a spanning forest of
+4. Per anchor, those at home are compared with all there; a batch of anchors yields a spanning forest of
    its links, not all pairs, so a group of copies costs rows in proportion to its size.
 5. Components of the forest edges by min-label contraction (``_graph.components``).
 
@@ -44,28 +44,42 @@ SMALL = 48
 
 def fingerprint_of(text: bytes, words: int) -> int:
     """Unsigned SimHash of one text: bit i is set if over half the shingle hashes set it."""
+    return fingerprints_of(text, words)[0]
+
+
+def _majority(h: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprints_of(text: bytes, words: int, check: bool = False) -> tuple[int, int]:
+    """The fingerprint, and with ``check`` a second one over hashes mixed anew (else 0)."""
     w = text.lower().split()  # bytes: A-Z only, and \x20 \x09-\x0D
     if not w:
-        return 0
+        return 0, 0
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(w))
     h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    if not check:
+        return _majority(h), 0
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(h), _majority(mixed ^ (mixed >> np.uint64(32)))
 
 
-def fingerprint(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of ``df``, fp the fingerprint as a signed long."""
+def fingerprint(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """(id, fp, mate): one row per row of ``df``; the fingerprint as a signed long, and the
+    check word (0 without ``check``)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("mate", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.fromiter((fingerprint_of(t, words) for t in texts(batch, "text")), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        found = np.array([fingerprints_of(t, words, check) for t in texts(batch, "text")], np.uint64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64))], names=["id", "fp", "mate"])
 
     return map_arrow(rows, run, schema)
 
@@ -151,39 +165,56 @@ class _Forest:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _link_group(fp: np.ndarray, threshold: int, forest: _Forest, depth: int = 0) -> None:
-    """Links of a large group. What is reached isn't compared again, so a tight group of
-    copies costs little; a scattered one is first cut by the equal-block principle."""
-    if len(fp) > 2048 and depth == 0:
-        step = -(-BITS // (threshold + 1))
-        for low in range(0, BITS, step):
-            block = (fp >> np.uint64(low)) & np.uint64((1 << step) - 1)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for part in np.split(fp[order], cuts):
-                if len(part) > 1:
-                    _link_group(part, threshold, forest, 1)
-        return
-    left = fp
+def _near(a: np.ndarray, a_mate: np.ndarray, b: np.ndarray, b_mate: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+    near = np.bitwise_count(a ^ b) <= limits[0]
+    if limits[1] < BITS and near.any():
+        near &= np.bitwise_count(a_mate ^ b_mate) <= limits[1]
+    return near
+
+
+def _link_dense(fp: np.ndarray, mate: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
+    """Links of a group most of which is linked: what is reached isn't compared again."""
+    left, left_mate = fp, mate
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue = [(left[0], left_mate[0])]
+        left, left_mate = left[1:], left_mate[1:]
         while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= threshold
+            x, x_mate = queue.pop()
+            near = _near(left, left_mate, x, x_mate, limits)
             if near.any():
-                found = left[near]
-                left = left[~near]
-                for y in found.view(np.int64).tolist():
+                for y in left[near].view(np.int64).tolist():
                     forest.join(int(x.view(np.int64)), y)
-                queue.extend(found)
+                queue.extend(zip(left[near], left_mate[near], strict=True))
+                left, left_mate = left[~near], left_mate[~near]
+
+
+def _link_homes(fp: np.ndarray, mate: np.ndarray, home: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
+    """Links of one anchor's homes with all its fingerprints, some homes at a time. Where
+    links are many, those they touch are linked as a dense group instead of one by one."""
+    homes = np.flatnonzero(home)
+    step = max(1, (1 << 20) // len(fp))
+    touched = np.zeros(len(fp), bool)
+    for i in range(0, len(homes), step):
+        part = homes[i : i + step]
+        near = _near(fp[part][:, None], mate[part][:, None], fp[None, :], mate[None, :], limits)
+        near[np.arange(len(part)), part] = False
+        if np.count_nonzero(near) > 4 * len(fp):
+            touched[part[near.any(axis=1)]] = True
+            touched |= near.any(axis=0)
+            continue
+        a, b = np.nonzero(near)
+        for x, y in zip(fp[part[a]].view(np.int64).tolist(), fp[b].view(np.int64).tolist(), strict=True):
+            forest.join(x, y)
+    if touched.any():
+        _link_dense(fp[touched], mate[touched], limits, forest)
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, forest: _Forest) -> None:
+def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, mate: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
     """Compare within each run of equal ``key``: homes against all."""
     cuts = np.flatnonzero(np.diff(key)) + 1
     starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(key)])))
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        _link_group(fp[s : s + n], threshold, forest)
+        _link_homes(fp[s : s + n], mate[s : s + n], home[s : s + n], limits, forest)
     start_of, size_of = np.repeat(starts, sizes), np.repeat(sizes, sizes)
     rows = np.flatnonzero(home & (size_of <= SMALL) & (size_of > 1))
     for i in range(0, len(rows), 1 << 16):
@@ -191,33 +222,39 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int,
         n = size_of[part]
         a = np.repeat(part, n)
         b = np.repeat(start_of[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(a))
-        near = (np.bitwise_count(fp[a] ^ fp[b]) <= threshold) & (fp[a] != fp[b])
+        near = _near(fp[a], mate[a], fp[b], mate[b], limits) & (a != b)
         for x, y in zip(fp[a[near]].view(np.int64).tolist(), fp[b[near]].view(np.int64).tolist(), strict=True):
             forest.join(x, y)
 
 
-def links(distinct: DataFrame, count: int, threshold: int = 4) -> DataFrame:
-    """(a, b): edges that connect distinct fingerprints (column fp) just as all links do."""
-    segments = covering(count, threshold)
+def links(distinct: DataFrame, count: int, threshold: int = 4, check: int = BITS) -> DataFrame:
+    """(a, b): edges that connect distinct fingerprints (fp, and mate if there is a ``check``)
+    just as all links do: at most ``threshold`` bits apart, their check words ``check``."""
+    segments, limits, checked = covering(count, threshold), (threshold, check), check < BITS
 
     def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys, fps, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        keys, rows_, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for i, segment in enumerate(segments):
             for rows, anchor, home in segment.anchors(fp):
                 keys.append((anchor * np.uint64(len(segments)) + np.uint64(i)).view(np.int64))
-                fps.append(fp[rows])
+                rows_.append(rows)
                 homes.append(home)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(homes))], names=["anchor", "fp", "home"])
+        rows = np.concatenate(rows_)
+        columns = [pa.array(np.concatenate(keys)), pa.array(fp[rows].view(np.int64)), pa.array(np.concatenate(homes))]
+        if checked:
+            columns.append(pa.array(batch.column(1).to_numpy(zero_copy_only=False)[rows]))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)]
         forest = _Forest()
         waiting: list[list[np.ndarray]] = []
 
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            k, f, h = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            return [k, f.view(np.uint64), h]
+            k, f, h, *m = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            f = f.view(np.uint64)
+            return [k, f, h, m[0].view(np.uint64) if m else np.zeros(len(f), np.uint64)]
 
         for batch in batches:
             if not batch.num_rows:
@@ -229,26 +266,30 @@ def links(distinct: DataFrame, count: int, threshold: int = 4) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, *waiting, now, strict=True)]
             waiting = []
             last = int(np.searchsorted(held[0], held[0][-1]))  # keys are sorted
-            _compare(held[0][:last], held[1][:last], held[2][:last], threshold, forest)
+            _compare(*(x[:last] for x in held), limits, forest)
             held = [x[last:] for x in held]
             if len(forest.up) > 200_000:
                 yield forest.batch()
         held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
         if len(held[0]):
-            _compare(*held, threshold, forest)
+            _compare(*held, limits, forest)
         if forest.up:
             yield forest.batch()
 
-    places = map_arrow_stream(distinct.select("fp"), lambda it: (replicate(b) for b in it), T.StructType([T.StructField("anchor", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("home", T.BooleanType())]))
+    fields = [T.StructField("anchor", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("home", T.BooleanType())] + ([T.StructField("mate", T.LongType())] if checked else [])
+    names = [f.name for f in fields]
+    places = map_arrow_stream(distinct.select("fp", *(["mate"] if checked else [])), lambda it: (replicate(b) for b in it), T.StructType(fields))
     near = places.repartition("anchor").sortWithinPartitions("anchor")
     return map_arrow_stream(near, compare, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def near_duplicates(df: DataFrame, words: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links."""
-    rows = written(fingerprint(df, words, id_col, text_col), "simhash-fp")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    edges = links(distinct, distinct.count(), threshold)
+def near_duplicates(df: DataFrame, words: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text", check: int = BITS) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id reachable over links.
+    ``check`` below 64 bounds the bits that a second, independent fingerprint may differ in:
+    wider thresholds then stay free of chance links, however many documents there are."""
+    rows = written(fingerprint(df, words, id_col, text_col, check < BITS), "simhash-fp")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("mate").alias("mate")), "simhash-distinct")
+    edges = links(distinct, distinct.count(), threshold, check)
     roots = components(edges)  # (node, root)
     of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -256,7 +297,7 @@ def near_duplicates(df: DataFrame, words: int = 4, threshold: int = 4, id_col: s
     return rows.join(component, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, words: int = 5, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, words: int = 5, threshold: int = 7, id_col: str = "doc_id", text_col: str = "text", check: int = 14) -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest id.
 
     Rows that share that id (repeated rows) are told apart by their place; one stays. Rows
@@ -265,6 +306,6 @@ def deduplicate(df: DataFrame, words: int = 5, threshold: int = 4, id_col: str =
     columns = df.columns
     df = written(df.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
     keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(keyed, words, threshold, "key", "text")
+    found = near_duplicates(keyed, words, threshold, "key", "text", check)
     keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row"))
     return df.join(keep, "__row", "left_semi").select(*columns)

@@ -43,7 +43,7 @@ def brute_fingerprint(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps, ids, threshold=4):
+def brute_components(fps, ids, threshold=4, linked=None):
     up = list(range(len(fps)))
 
     def find(x):
@@ -53,7 +53,7 @@ def brute_components(fps, ids, threshold=4):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= threshold:
+            if linked(fps[i], fps[j]) if linked else (fps[i] ^ fps[j]).bit_count() <= threshold:
                 up[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
@@ -85,7 +85,7 @@ def test_simhash_odd_rows(spark):
 
 
 @pytest.mark.parametrize("count", [1, 10**6, 10**12])
-@pytest.mark.parametrize("threshold", [3, 4])
+@pytest.mark.parametrize("threshold", [3, 4, 7])
 def test_every_link_is_found_by_each_covering(spark, count, threshold):
     rng = np.random.default_rng(count % 97 + threshold)
     base = rng.integers(0, 2**63, 120, dtype=np.uint64)
