@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _common, decontaminate, mixing, simhash, token_output, toxicity
+from tessera.llm.queries import held_out
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    """Documents that the toxicity classifier doesn't reject; held-out labels stay unseen."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model, score_col="__score", predicted_col="__toxic").where("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash.deduplicate(docs, words=5, threshold=4)
+    """One document, that of the smallest id, of each group of near copies: fingerprints at
+    most 7 of 64 bits apart, and at most 14 in a second, independent one."""
+    return simhash.deduplicate(docs, words=5, threshold=7, check=14)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
