@@ -108,20 +108,24 @@ def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims
     kinds = {c: element_type(df, c).simpleString() for c in columns}
     if dims is not None:
         target = broadcast_target([dimensions(dims[c]) for c in columns])
-        flat = [broadcast_static(F.col(c), dims[c], target, kinds[c]).alias(c) for c in columns]
+        # A scalar's value goes along as a plain column: nothing is repeated in memory.
+        scalars = [c for c in columns if target and not len(dims[c])]
+        flat = [(F.element_at(F.col(c)[VALUES], 1) if c in scalars else broadcast_static(F.col(c), dims[c], target, kinds[c])).alias(c) for c in columns]
         packed = df.select(*keep, *flat)
     else:
         if coordinates:
             raise ValueError("coordinates need static dimensions")
         held = df.withColumn("__target", target_of([F.col(c) for c in columns]))
+        scalars = []
         packed = held.select(*keep, *[broadcast_dynamic(F.col(c), F.col("__target"), kinds[c]).alias(c) for c in columns])
-    cells = F.arrays_zip(*columns)
+    arrays = [c for c in columns if c not in scalars]
+    cells = F.arrays_zip(*arrays)
     if not coordinates:
-        return packed.select(*keep, F.inline(cells))
-    rows = packed.select(*keep, F.posexplode(cells).alias("__pos", "__cell"))
+        return packed.select(*keep, *scalars, F.inline(cells)).select(*keep, *columns)
+    rows = packed.select(*keep, *scalars, F.posexplode(cells).alias("__pos", "__cell"))
     sizes = [d.size for d in target]
     where = [F.col("__pos").cast("long").alias(coordinates[0])] + [F.expr(f"__pos div {step} % {size}").alias(name) for name, step, size in zip(coordinates[1:], strides(sizes), sizes, strict=False)]
-    return rows.select(*keep, *where, *[F.col(f"__cell.{c}").alias(c) for c in columns])
+    return rows.select(*keep, *where, *[c if c in scalars else F.col(f"__cell.{c}").alias(c) for c in columns])
 
 
 def broadcast_tables(target: DataFrame, *others: tuple[DataFrame, Sequence[str]]) -> DataFrame:
