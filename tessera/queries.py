@@ -319,7 +319,7 @@ def nd_encode_decode(spark, sf_dir):
 
 
 @query("select n_regionkey, n_nationkey, n_name from nation")
-def nd_arrow_round_trip(spark, sf_dir):
+def nd_wire_round_trip(spark, sf_dir):
     """Through an Arrow table in the wire types (a table the size of a nation list)."""
     batches = nd.nd_from_table(_table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"], "nation")
     keyed = batches.select(nd.nd_scalar(F.col("n_regionkey")).alias("n_regionkey"), "n_nationkey", "n_name")
