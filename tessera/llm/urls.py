@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import written
+
 #: Hosts whose good rate is below this, by a one-sided bound of so many deviations, are blocked.
 MIN_GOOD, DEVIATIONS = 0.5, 1.645
 MAX_RULES = 10_000
@@ -118,7 +120,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     known = outcomes.toDF("id", "good").where("id is not null and good is not null")
     labelled = seen.join(known, "id").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     hosts = seen.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
-    counts = hosts.unionByName(labelled).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    counts = written(hosts.unionByName(labelled).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "url-hosts")  # every level above is read from it
     known_hosts = reputation(counts).select("host", F.col("upper").alias("reputation"))
     rows = pages.drop(*[c for c in pages.columns if c.lower() in out and c not in (id_col, url_col)])
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
