@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import map_arrow, map_arrow_stream, new_path
 
 #: Pieces one Python worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Kinds of bytes: line break, space, end of a text, letter, digit, sign, anything else. The
 #: splitting's contractions begin with an apostrophe; white space beyond line break and space,
 #: and characters whose class may differ between versions of Unicode, are something else too.
@@ -218,7 +218,7 @@ class Encoder:
 
     def _others(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
-        if len(seen) > REMEMBERED // 10:
+        if len(seen) > REMEMBERED // 8:
             seen.clear()
         firsts, parts = [], []
         for t in texts:
@@ -236,7 +236,7 @@ class Encoder:
             data, at = [t.encode() for t in batch], 0
             while at < len(batch):
                 upto, size = at, 0
-                while upto < len(batch) and (upto == at or size < 1 << 21):
+                while upto < len(batch) and (upto == at or size < 1 << 20):
                     size += len(data[upto])
                     upto += 1
                 out[at:upto] = self._regular(data[at:upto])

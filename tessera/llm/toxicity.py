@@ -100,7 +100,7 @@ class Known:
     def __call__(self, word: bytes) -> Sequence[bytes]:
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 120_000:
                 self.seen.clear()
             found = self.seen[word] = tuple(p for p in patterns_of(word) if p in self.bases)
         return found
@@ -138,7 +138,7 @@ def mine(sample: DataFrame, positives: int, total: int) -> list[bytes]:
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
                 (pos if label else neg).update(found_in(text))
-                if len(pos) + len(neg) > 300_000:
+                if len(pos) + len(neg) > 200_000:
                     yield out()
         yield out()
 
