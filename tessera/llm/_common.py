@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,6 +59,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is files, projected and filtered: rows have a place of their own."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    if node.children().size():
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``__row``, the same however often and on whatever executors it is read:
+    the row's file and place in it. What isn't read from files is written first."""
+    if not _plain_scan(df):
+        df = written(df, name)
+    return df.withColumn("__row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """``fn`` over each Arrow batch of at most ``ARROW_ROWS`` rows."""
 

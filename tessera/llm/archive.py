@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
-from ._common import new_path
+from ._common import new_path, numbered
 
 #: Payloads from so many bytes on are stored once; what record ids begin with.
 LEAST, URN = 100, "urn:page:"
@@ -25,7 +25,7 @@ LEAST, URN = 100, "urn:page:"
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """One WARC record per page, in the columns the data source writes."""
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    base = numbered(pages, "warc-pages").select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.col("__row").alias("row"))
     base = base.select("id", "url", "payload", "row", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("length"))
     first = base.where(F.col("length") >= least).groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("first"))
     rows = base.join(first, "digest", "left")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, texts, written
+from ._common import map_arrow, map_arrow_stream, numbered, texts, written
 
 #: Words in a shingle; bits of the Bloom filter at most (16 MB, whatever the benchmark).
 SHINGLE, MAX_BITS = 5, 1 << 27
@@ -60,7 +60,7 @@ class Hasher:
         self.seen = _Seen()
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
 
@@ -209,7 +209,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
-    marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
+    marked = numbered(docs, "decontam-docs")
     found = contamination(marked, items, window, "__row", text_col, item_col, item_text_col)
     bad = found.where("n_hit > 0").select(F.col("id").alias("__row"))
     return marked.join(bad, "__row", "left_anti").select(*docs.columns)

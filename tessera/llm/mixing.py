@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import numbered, written
 
 #: Tokens that are left to dynamic programming, documents of a hash bucket.
 DP_BUDGET, BUCKET = 1 << 16, 128
@@ -174,7 +174,7 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: rows left out are gone, repeated rows come twice."""
-    marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    marked = numbered(docs, "mix-docs")
     keyed = marked.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")))
     found = mixture(keyed, id_col="__key", text_col=text_col, source_col=source_col, **how).where("copies > 0")
     copies = found.select(F.col("id.row").alias("__row"), F.col("copies").cast("int").alias("__copies"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, texts, written
+from ._common import map_arrow, map_arrow_stream, numbered, texts, written
 from ._graph import components
 
 BITS = 64
@@ -304,7 +304,7 @@ def deduplicate(df: DataFrame, words: int = 5, threshold: int = 7, id_col: str =
     with a null id belong to groups by text and stay only if their whole group has no id.
     """
     columns = df.columns
-    df = written(df.withColumn("__row", F.monotonically_increasing_id()), "simhash-docs")
+    df = numbered(df, "simhash-docs")
     keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text"))
     found = near_duplicates(keyed, words, threshold, "key", "text", check)
     keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row"))

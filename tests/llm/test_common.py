@@ -28,3 +28,19 @@ def test_output_columns_replace_their_namesakes(spark):
 
     schema = _common.appended(spark.createDataFrame([], "a int, Score string"), T.StructField("score", T.DoubleType()))
     assert schema.simpleString() == "struct<a:int,score:double>"
+
+
+def test_rows_have_places_of_their_own(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(f"{tmp_path}/a")
+    scan = spark.read.parquet(f"{tmp_path}/a")
+    a = _common.numbered(scan.where("id > 10"), "a")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        b = _common.numbered(scan.select("id"), "b")
+        assert b.toDF("k", "__row").join(a, "__row").where("k = id").count() == 989
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not a.inputFiles()[0].startswith(_common.shared_dir(spark) + "/tessera")
+    for other in (spark.range(5), scan.union(scan), scan.join(scan.withColumnRenamed("id", "k")), scan.groupBy("id").count()):
+        c = _common.numbered(other.limit(50), "c")
+        assert c.select("__row").distinct().count() == c.count()
