@@ -23,9 +23,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: fingerprints at
-    most 7 of 64 bits apart, and at most 14 in a second, independent one."""
-    return simhash.deduplicate(docs, words=5, threshold=7, check=14)
+    """One document, that of the smallest id, of each group of near copies: texts
+    whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.deduplicate(docs, words=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

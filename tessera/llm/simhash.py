@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from ._common import map_arrow, map_arrow_stream, numbered, texts, written
 from ._graph import components
+from .jaccard import near_copies
 
 BITS = 64
 #: Groups up to this many fingerprints are compared pair by pair.
@@ -297,15 +298,17 @@ def near_duplicates(df: DataFrame, words: int = 4, threshold: int = 4, id_col: s
     return rows.join(component, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, words: int = 5, threshold: int = 7, id_col: str = "doc_id", text_col: str = "text", check: int = 14) -> DataFrame:
-    """``df`` with one row of each group of near copies: that of the smallest id.
+def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near copies: that of the smallest id. Near copies
+    are texts whose sets of word shingles have that Jaccard similarity at least, decided by
+    the sets themselves (``jaccard``), as fingerprints alone can't tell 0.8 from 0.6.
 
     Rows that share that id (repeated rows) are told apart by their place; one stays. Rows
     with a null id belong to groups by text and stay only if their whole group has no id.
     """
     columns = df.columns
     df = numbered(df, "simhash-docs")
-    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(keyed, words, threshold, "key", "text", check)
+    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("id"), F.col(text_col).alias("text"))
+    found = near_copies(df.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), keyed, words, similarity)
     keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row"))
     return df.join(keep, "__row", "left_semi").select(*columns)

@@ -1,0 +1,82 @@
+"""Near copies of the pipeline against brute-force Jaccard of five-word shingles."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tessera.llm import jaccard, simhash
+
+from .test_corpus_ops import brute_components
+
+
+def brute_similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def brute_shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"v{rng.randrange(10**6)}"
+    return words
+
+
+def check_dedup(spark, rows):
+    sets = [brute_shingles(t) for _, t in rows]
+    want = brute_components(sets, [d for d, _ in rows], linked=lambda a, b: brute_similarity(a, b) >= 0.8)
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(kept.doc_id) == sorted(set(want))
+    return set(want)
+
+
+def test_copies_of_similarity_08_go_and_others_stay(spark):
+    """Copies just above 0.8 (few of whose fingerprints are 7 bits apart) and just below."""
+    rng, rows = random.Random(3), []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((len(rows), " ".join(base)))
+        for n in (4, 7, 8, 9, 10, 12, 16):  # each changed word costs up to 5 shingles
+            rows.append((len(rows), " ".join(changed(rng, base, n))))
+    kept = check_dedup(spark, rows)
+    assert 60 < len(kept) < len(rows) - 60
+
+
+def test_chains_and_short_texts(spark):
+    rng = random.Random(4)
+    rows, words = [], [f"w{i}" for i in range(300)]
+    for _ in range(12):  # each near the next, the ends not near each other
+        rows.append((len(rows), " ".join(words)))
+        words = changed(rng, words, 4)
+    for t in (None, "", " \t", "one", "ONE", "one two", "a b c d e", "a b c d e f", "A b c d e  f"):
+        rows.append((len(rows), t))
+    check_dedup(spark, rows)
+
+
+@pytest.mark.parametrize("n", [2, 3, 40])
+def test_forest_connects_what_all_pairs_do(n):
+    rng = np.random.default_rng(n)
+    for _ in range(30):
+        base = rng.choice(10**6, 60, replace=False)
+        sets = []
+        for _ in range(n):
+            s = set(rng.choice(base, rng.integers(40, 61), replace=False).tolist()) | set(rng.integers(0, 10**6, rng.integers(0, 6)).tolist())
+            sets.append(s if rng.random() < 0.95 else set())
+        edges = jaccard.forest([np.array(sorted(s), np.uint64) for s in sets], 0.8)
+        assert all(brute_similarity(sets[a], sets[b]) >= 0.8 for a, b in edges)
+        want = brute_components(sets, list(range(n)), linked=lambda a, b: bool(a and b) and brute_similarity(a, b) >= 0.8)
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert label == want
+
+
+def test_documents_of_the_tables(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    check_dedup(spark, list(zip(docs.doc_id.tolist(), docs.text.tolist())))
