@@ -80,3 +80,11 @@ def test_forest_connects_what_all_pairs_do(n):
 def test_documents_of_the_tables(spark):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     check_dedup(spark, list(zip(docs.doc_id.tolist(), docs.text.tolist())))
+
+
+def test_texts_of_lower_similarity_stay_though_fingerprints_link_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (6973, 9542)").select("doc_id", "text")
+    a, b = (brute_shingles(r.text) for r in docs.collect())
+    assert 0.5 < brute_similarity(a, b) < 0.6
+    assert simhash.near_duplicates(docs, 5, 7, check=14).select("component_id").distinct().count() == 1
+    assert simhash.deduplicate(docs).count() == 2
