@@ -9,7 +9,8 @@
    the lengths by their share (which keeps the source's mixture of lengths), what rounding
    leaves goes to the longest that fit, and the last ``DP_BUDGET`` tokens are what bounded-knapsack dynamic programming fills as
    closely as the lengths left allow.
-4. So many documents of each (source, length) are taken by a seeded hash. A group is cut
+4. So many documents of each (source, length) are taken by a hash of seed, id and text, so
+   the same seed takes the same documents wherever their files lie. A group is cut
    into hash buckets by its count; only the bucket where the number is reached is ranked,
    so a group with a third of all rows is never gathered.
 
@@ -140,8 +141,9 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
 
 
 def choose(sizes: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
-    """``sizes`` (id, row, source, size) with ``copies``: how often each row is taken."""
-    mixed = F.xxhash64(F.lit(seed), F.col("id"))
+    """``sizes`` (id, row, source, size, mark) with ``copies``: how often each row is taken.
+    By seed, id and the text's hash ``mark``; ``row`` only tells equal rows apart."""
+    mixed = F.xxhash64(F.lit(seed), F.col("id"), F.col("mark"))
     s = sizes.withColumn("h", F.shiftrightunsigned(mixed, 1))
     c = chosen.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "whole", "extra")
     rows = s.join(c, s["source"].eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
@@ -154,16 +156,17 @@ def choose(sizes: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     # Buckets before the edge are taken whole; in the edge the first by hash.
     rows = rows.join(edge, rows["source"].eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")), "left")
     at_edge = rows.where("extra > 0 and extra < n and bucket = e_bucket")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id", "row"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id", "mark", "row"))
     ranked = at_edge.withColumn("more", (rank <= F.col("need")).cast("long"))
     others = rows.where("not (extra > 0 and extra < n and bucket <=> e_bucket)").withColumn("more", F.expr("case when extra >= n then 1L when extra = 0 then 0L when bucket < e_bucket then 1L else 0L end"))
     return ranked.unionByName(others).select("id", "row", "source", "size", (F.col("whole") + F.col("more")).alias("copies"))
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
+def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, row: Column | None = None) -> DataFrame:
     """(id, row, source, size, source_size, target, copies, taken), one row per row of
-    ``docs``; ``row`` is its monotonically increasing id, ``taken`` its tokens taken."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), F.monotonically_increasing_id().alias("row"))
+    ``docs``; ``row`` is its monotonically increasing id if none is given, ``taken`` its
+    tokens taken."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.xxhash64(F.col(text_col)).alias("mark"))
     sizes = written(base, "mix-sizes")
     wanted, chosen = plan(sizes, weights, share, max_repeat)
     copies = choose(sizes, chosen, seed)
@@ -175,7 +178,6 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: rows left out are gone, repeated rows come twice."""
     marked = numbered(docs, "mix-docs")
-    keyed = marked.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")))
-    found = mixture(keyed, id_col="__key", text_col=text_col, source_col=source_col, **how).where("copies > 0")
-    copies = found.select(F.col("id.row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    found = mixture(marked, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col("__row"), **how).where("copies > 0")
+    copies = found.select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
     return marked.join(copies, "__row").select(*docs.columns, F.explode(F.expr("array_repeat(0, __copies)")).alias("__copy")).drop("__copy")
