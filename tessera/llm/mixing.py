@@ -8,7 +8,8 @@
    fitted from its count of documents by length: all but ``DP_BUDGET`` tokens are dealt to
    the lengths by their share (which keeps the source's mixture of lengths), what rounding
    leaves goes to the longest that fit, and the last ``DP_BUDGET`` tokens are what bounded-knapsack dynamic programming fills as
-   closely as the lengths left allow.
+   closely as the lengths left allow. If the budget isn't met, documents are given back and
+   what they leave is filled by sums of all choices, while these take 64 MB at most.
 4. So many documents of each (source, length) are taken by a hash of seed, id and text, so
    the same seed takes the same documents wherever their files lie. A group is cut
    into hash buckets by its count; only the bucket where the number is reached is ranked,
@@ -36,6 +37,8 @@ from ._common import numbered, written
 
 #: Tokens that are left to dynamic programming, documents of a hash bucket.
 DP_BUDGET, BUCKET = 1 << 16, 128
+#: Memory for the sums of documents given back, where that leaves a budget unmet.
+REFIT_BYTES = 1 << 26
 
 
 def word_count(text: Column) -> Column:
@@ -91,6 +94,38 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         i, n = item[s]
         take[i] += n
         s = parent[s]
+    return _refit(lengths, counts, budget, take)
+
+
+def _refit(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
+    """``take`` or a choice that comes nearer to ``budget``: documents are given back, a few
+    of each length and then all, and what they leave is filled anew as closely as can be."""
+    for back in (1, 4, 16, None):
+        gap = budget - int((lengths * take).sum())
+        if not gap:
+            break
+        given = take if back is None else np.minimum(take, back)
+        spare = counts - take + given if back is None else np.minimum(counts - take, back) + given
+        room = gap + int((lengths * given).sum())
+        parts = []  # binary parts of what can be taken
+        for i in np.flatnonzero((spare > 0) & (lengths <= room)).tolist():
+            left, size = min(int(spare[i]), room // int(lengths[i])), 1
+            while left > 0:
+                parts.append((i, min(size, left)))
+                left, size = left - size, size * 2
+            if len(parts) * (room >> 3) > REFIT_BYTES:
+                return take
+        full, sums = (1 << (room + 1)) - 1, [1]
+        for i, n in parts:
+            sums.append((sums[-1] | sums[-1] << n * int(lengths[i])) & full)
+        s = sums[-1].bit_length() - 1
+        if s <= room - gap:
+            continue
+        take = take - given
+        for (i, n), before in zip(reversed(parts), reversed(sums[:-1]), strict=True):
+            if not before >> s & 1:
+                take[i] += n
+                s -= n * int(lengths[i])
     return take
 
 

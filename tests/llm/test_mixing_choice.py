@@ -1,5 +1,6 @@
 """The seed alone decides which documents of a length are taken."""
 
+import random
 from collections import Counter
 
 from tessera.llm import mixing
@@ -15,3 +16,18 @@ def test_choice_depends_on_the_seed_not_on_files(spark, tmp_path):
         taken.append(Counter(r.text for r in mixed.select("text").collect()))
     assert taken[0] == taken[1] and taken[0].total() == 400
     assert taken[2].total() == 400 and taken[2] != taken[0]
+
+
+def test_few_long_documents_meet_the_budget():
+    assert mixing.fit_budget([70_000, 100_000], [2, 1], 140_000).tolist() == [2, 0]
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(66_000, 200_000), 7))
+        counts = [rng.randint(1, 2) for _ in lengths]
+        budget = rng.randint(60_000, 900_000)
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        assert sum(n * t for n, t in zip(lengths, take)) == max(s for s in sums if s <= budget)
