@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in one Arrow batch handed to Python; texts may be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes a function sees at once: Spark's Arrow batches (64 MB at most unless a
+#: session says otherwise) are cut to these inside the function, the session's settings stay.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,16 +74,36 @@ def _plain_scan(df: DataFrame) -> bool:
     return True
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with ``__row``, the same however often and on whatever executors it is read:
-    the row's file and place in it. What isn't read from files is written first."""
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str, column: str = "__row") -> DataFrame:
+    """``df`` with ``column`` (see ``fresh``), the same however often and on whatever
+    executors it is read: the row's file and place in it. What isn't read from files is
+    written first."""
     if not _plain_scan(df):
         df = written(df, name)
-    return df.withColumn("__row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return df.withColumn(column, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``size`` bytes."""
+    for batch in batches:
+        step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
+        if step >= batch.num_rows:
+            yield batch
+            continue
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """``fn`` over each Arrow batch of at most ``ARROW_ROWS`` rows."""
+    """``fn`` over each batch of at most ``ARROW_ROWS`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +113,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def map_arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, rows: int = ARROW_ROWS) -> DataFrame:
-    """``mapInArrow`` with the batch size the operators here count on."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over batches of the size the operators here count on."""
+    return df.mapInArrow(lambda batches: fn(slices(batches, rows)), schema)
 
 
 def appended(df: DataFrame, *fields: T.StructField) -> T.StructType:

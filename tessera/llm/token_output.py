@@ -6,35 +6,42 @@ with a tokenizer file, appends the end id, and writes one Parquet file per parti
 list column (``ids="dictionary"``/``"delta"``), with row groups of ``row_group_bytes``,
 pages of ``page_bytes`` and the page indexes that let a reader fetch the metadata columns
 or single documents without the rest. A document's start in the whole sequence is its
-file's base plus its local start; bases come from one small row per file.
+file's base plus its local start; bases are a prefix sum over one small row per file.
 
 What the tokenizers library gave for a piece of text is remembered in bounded memory, as
 running text repeats its words; pieces end where the splitting before merging ends for
-certain (``Encoder``).
+certain (``Encoder``). Texts that hold the string of a special token go to the library
+whole, which makes it that token's id; with ``special_as_text`` it is text like any other.
 
-Edge cases: null and empty texts give the end id alone; ids order as their type does, null
-first; rows with equal ids order by text; an empty table gives no rows. Extra columns are
-ignored.
+The tokenizer's file is read once, by the driver; its content is broadcast (1.5 MB here).
+
+Edge cases: null and empty texts give the end id alone; a very long text is encoded whole,
+in one task; ids order as their type does, null first; rows with equal ids order by text;
+repeated rows are documents of their own; an empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, new_path
+from ._common import map_arrow, map_arrow_stream, new_path, written
 
-#: Pieces one Python worker remembers.
-REMEMBERED = 800_000
+#: Pieces one Python worker remembers; files whose token counts one task sums up; files whose
+#: bases may be broadcast (beyond, they are joined).
+REMEMBERED, FILES_A_GROUP, BROADCAST_FILES = 800_000, 1024, 1_000_000
 #: Kinds of bytes: line break, space, end of a text, letter, digit, sign, anything else. The
 #: splitting's contractions begin with an apostrophe; white space beyond line break and space,
 #: and characters whose class may differ between versions of Unicode, are something else too.
@@ -43,7 +50,7 @@ _KINDS = np.array([_END if c == 0 else _BREAK if c == 10 else _SPACE if c == 32
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-_workers: dict[str, "Encoder"] = {}
+_workers: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Table:
@@ -135,25 +142,28 @@ class Encoder:
     pieces that are remembered too.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, content: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        self.lines = Tokenizer.from_file(path)  # pieces, one a line, need no further splitting
+        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.lines = Tokenizer.from_str(content)  # pieces, one a line, need no further splitting
         self.lines.encode_special_tokens = True
         self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        added = [t for t in json.loads(content).get("added_tokens") or () if not (special_as_text and t.get("special"))]
+        self.whole = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         line = self._encode(["\n", "a\nb", "a\n b"])
         self.line = line[0] if len(line[0]) == 4 and all(x.count(line[0]) == 1 for x in line) else None
         self.table, self.seen = Table(), {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        """One per Python worker, kept over its tasks."""
-        if path not in _workers:
-            _workers[path] = cls(path)
-        return _workers[path]
+    def of(cls, digest: str, special_as_text: bool, content: Callable[[], str]) -> "Encoder":
+        """One per Python worker, kept over its tasks; ``content`` is asked for it once."""
+        key = (digest, special_as_text)
+        if key not in _workers:
+            _workers[key] = cls(content(), special_as_text)
+        return _workers[key]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,6 +241,11 @@ class Encoder:
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(batch)
+        if self.whole is not None and any(map(self.whole.search, batch)):
+            held = [self.whole.search(t) is not None for t in batch]
+            alone = iter(self._encode([t for t, h in zip(batch, held, strict=True) if h]))
+            others = iter(self.encode_all([t for t, h in zip(batch, held, strict=True) if not h]))
+            return [next(alone if h else others) for h in held]
         if self.line is not None:
             # Some MB at a time: what lies between is several times the text.
             data, at = [t.encode() for t in batch], 0
@@ -253,9 +268,13 @@ def _lists(chunks: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> str:
-    """Write the token files of ``docs``; the folder's path."""
+def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, special_as_text: bool = False) -> str:
+    """Write the token files of ``docs``; the folder's path. ``tokenizer`` is a file's path on
+    the driver."""
     spark = docs.sparkSession
+    with open(tokenizer, encoding="utf-8") as f:
+        content = f.read()
+    digest, shared = hashlib.sha256(content.encode()).hexdigest(), spark.sparkContext.broadcast(content)
     path = path or new_path(spark, "token-ids")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
@@ -263,7 +282,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = Encoder.of(tokenizer), 0
+        encoder, start = Encoder.of(digest, special_as_text, lambda: shared.value), 0
         for batch in batches:
             found = [x + end for x in encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             n = np.array([len(x) // 4 for x in found], np.int64)
@@ -286,15 +305,16 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _started(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``start``. One row per file goes to the driver, as file lists do."""
-    spark = rows.sparkSession
-    sums = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    bases, before = [], 0
-    for part, n in sums:
-        bases.append((part, before))
-        before += n
-    table = spark.createDataFrame(bases, "part int, base long")
-    return rows.join(F.broadcast(table), "part").withColumn("start", F.col("base") + F.col("local_start"))
+    """``rows`` with ``start``, by a prefix sum over files in two steps: within groups of
+    ``FILES_A_GROUP`` files, and over the groups' sums (10^9 files are 10^6 of them)."""
+    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("band", F.expr(f"part div {FILES_A_GROUP}"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = files.groupBy("band").agg(F.sum("n").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = files.withColumn("within", before).join(bands.select("band", ahead.alias("ahead")), "band").select("part", (F.col("within") + F.col("ahead")).alias("base"))
+    bases = written(bases, "token-bases")
+    few = bases.count() <= BROADCAST_FILES  # 12 bytes each
+    return rows.join(F.broadcast(bases) if few else bases, "part").withColumn("start", F.col("base") + F.col("local_start"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -271,7 +271,6 @@ def brute_tokens(rows, end=2):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, end]
@@ -299,6 +298,34 @@ def test_token_odd_rows_and_selective_reads(spark):
     assert token_output.read(spark, empty).count() == 0
 
 
+def test_special_tokens_are_the_library_s_or_text(spark):
+    import public_tokenizers
+
+    rows = [(1, "a <|endoftext|> b", "en", "s", 1), (2, "plain", "en", "s", 1)]
+    ids = {}
+    for as_text in (False, True):
+        path = token_output.encode(table(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, special_as_text=as_text)
+        ids[as_text] = {r.doc_id: list(r.token_ids) for r in token_output.read(spark, path).collect()}
+    assert ids[False][1] == [64, 220, 50256, 275, 2] and 50256 not in ids[True][1] and len(ids[True][1]) > 5
+    assert ids[False][2] == ids[True][2]
+
+
+def test_starts_are_summed_over_groups_of_files(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_output, "FILES_A_GROUP", 2)
+    monkeypatch.setattr(token_output, "BROADCAST_FILES", 0)
+    rows = [(i, f"word {i} " * (i % 7), "en", "s", 1) for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = token_output.encode(table(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).select("part").distinct().count() >= 3
+    got = sorted((tuple(r) for r in token_output.checksums(token_output.read(spark, path)).collect()), key=lambda r: r[1])
+    assert got == brute_tokens([r[:2] for r in rows])
+
+
 def test_token_files_have_page_indexes(spark):
     import glob
 
@@ -352,7 +379,8 @@ def test_label_model_discounts_correlated_and_weak_voters():
     assert ((q > 0.5) == y).mean() > 0.95
 
 
-def test_encoder_equals_the_library_on_odd_texts():
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoder_equals_the_library_on_odd_texts(as_text):
     import public_tokenizers
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -360,9 +388,9 @@ def test_encoder_equals_the_library_on_odd_texts():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    encoder = token_output.Encoder(path)
-    piece = st.sampled_from(["a", "word", "It's", "'ll", "''s", "x'", "12ab3", ",", "...", "$$$", "é", "ß", "İ", "́", "漢", "\U0001f600", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "\x1c", "​", "<|endoftext|>", "Ǆ", "ª", "\x02", "\x03", "a.", "b,", ".", "²", "½", "_"])
+    tok.encode_special_tokens = as_text
+    encoder = token_output.Encoder(open(path).read(), as_text)
+    piece = st.sampled_from(["a", "word", "It's", "'ll", "''s", "x'", "12ab3", ",", "...", "$$$", "é", "ß", "İ", "́", "漢", "\U0001f600", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", " ", "\x1c", "​", "<|endoftext|>", "<|endoftext|", "a<|endoftext|>b", "Ǆ", "ª", "\x02", "\x03", "a.", "b,", ".", "²", "½", "_"])
     text = st.lists(piece | st.characters(exclude_categories=["Cs"]), max_size=12).map("".join) | st.lists(piece, max_size=9).map(" ".join) | st.lists(piece, max_size=9).map("\n".join)
 
     @settings(max_examples=600, deadline=None)
