@@ -75,17 +75,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both fields of a response are taken from the payload that was read back."""
-    rows = archive.read(spark, archive.write(_table(spark, sf_dir, "pages")))
-    page = lambda c: F.substring(c, len(archive.URN) + 1, 40).cast("long")
-    full = F.col("record_type") == "response"
-    return rows.select(
-        page(F.col("record_id")).alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(full, F.sha2("payload", 256)).otherwise(F.substring("payload_digest", len("sha256:") + 1, 64)).alias("payload_digest"),
-        "record_type",
-        page(F.col("refers_to")).alias("refers_to"),
-    )
+    """Responses are read with their payloads, from which both fields are taken; revisits
+    from headers alone. Each read pushes its record type down to the source."""
+    path = archive.write(_table(spark, sf_dir, "pages"))
+    full = archive.read(spark, path).where("record_type = 'response'")
+    again = archive.read(spark, path, payload=False).where("record_type = 'revisit'")
+    page = archive.page_of(F.col("record_id")).alias("page_id")
+    responses = full.select(page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = again.select(page, F.col("payload_length").alias("payload_bytes"), F.substring("payload_digest", len("sha256:") + 1, 64).alias("payload_digest"), "record_type", archive.page_of(F.col("refers_to")).alias("refers_to"))
+    return responses.unionByName(revisits)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_nearest, op3_pii, op4_mixing, op5_simhash, op6_html_text, op7_token_output, op8_toxicity, op9_decontaminate, op10_warc)}

@@ -5,7 +5,8 @@ payload_length, payload) become WARC/1.1 records. Each task writes files of its
 file is closed at ``max_file_bytes``, and the commit lists the files of the tasks that
 counted in a manifest, so retried and lost tasks leave nothing a reader sees. Each record is
 a gzip member whose extra field ``sl`` (the WARC format's annex on compression) holds its
-compressed and full length.
+compressed and full length. Every commit adds a manifest of its own, so ``append`` keeps what
+was there; ``overwrite`` names the manifests it replaces, which readers then leave out.
 
 Reading: partitions are sets of whole files of about ``partition_bytes``. A record's headers
 are decoded first; predicates on record type, ids, URI, digest and length are pushed down
@@ -16,19 +17,26 @@ archives of others without that field).
 
 Paths are opened by pyarrow.fs (file, hdfs, s3, gs), so archives may be in any shared store.
 
-Edge cases: null payloads are empty; null fields are absent headers and read back as null;
-line breaks in header values are percent-encoded; a damaged file raises; an empty table
-makes an empty archive; a folder without a manifest is read by its ``*.warc`` and
-``*.warc.gz`` files.
+Edge cases: null payloads are empty; null fields are absent headers and read back as null,
+but for record ids, which the format demands: a row without one gets a random one; values
+with line breaks or white space at an end are percent-encoded, ids without angle brackets
+get them, and a further header (``FORMS``) says so, so every value reads back as it was and
+those of other archives as they are; a very long payload is one record, held once by its
+task; repeated rows are records each; a damaged file raises; an empty table makes an empty
+archive; a folder without a manifest is read by its ``*.warc`` and ``*.warc.gz`` files.
+Further columns of a written table are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -36,9 +44,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 HEADER_COLUMNS = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long"
 #: Header fields of WARC/1.1 (and one extension) by column.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
-_DATE = "1970-01-01T00:00:00Z"
+#: Fixed value: what WARC/1.1 calls revisits of equal payloads.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Header (an extension) that lists columns whose values were brought into another form.
+FORMS = "X-Value-Forms"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 
 def filesystem(path: str) -> tuple["pa.fs.FileSystem", str]:
@@ -51,17 +62,34 @@ def filesystem(path: str) -> tuple["pa.fs.FileSystem", str]:
     return fs.FileSystem.from_uri(path)
 
 
-def record(row: dict) -> bytes:
+def record(row: dict, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record, uncompressed."""
     payload = row["payload"] or b""
-    block = b"" if row["record_type"] == "revisit" else _HTTP + payload
-    lines = [b"WARC/1.1"]
+    revisit = row["record_type"] == "revisit"
+    block = b"" if revisit else _HTTP + payload
+    lines, forms = ["WARC/1.1"], []
     for column, name in HEADERS.items():
-        if row[column] is not None:
-            value = str(row[column]).replace("%", "%25") if any(c in str(row[column]) for c in "\r\n") else str(row[column])
-            lines.append(f"{name}: {value.replace(chr(13), '%0D').replace(chr(10), '%0A')}".encode())
-    lines += [b"WARC-Date: " + _DATE.encode(), b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block), b"", b""]
-    return b"\r\n".join(lines) + block + b"\r\n\r\n"
+        value = row[column]
+        if value is None and column == "record_id":
+            value = f"<urn:uuid:{uuid.uuid4()}>"
+        if value is None:
+            continue
+        value = str(value)
+        if value != value.strip() or "\r" in value or "\n" in value:
+            value = re.sub(r"[%\s]", lambda m: quote(m[0], safe=""), value)
+            forms.append(f"{column}=escaped")
+        if column in ("record_id", "refers_to") and not (value.startswith("<") and value.endswith(">")):
+            value = f"<{value}>"
+            forms.append(f"{column}=bare")
+        lines.append(f"{name}: {value}")
+    if forms:
+        lines.append(f"{FORMS}: {','.join(forms)}")
+    if revisit:
+        lines.append(f"WARC-Profile: {PROFILE}")
+    else:
+        lines.append("Content-Type: application/http; msgtype=response")
+    lines += [f"WARC-Date: {date}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -191,17 +219,29 @@ def payload_of(fields: dict, block: bytes) -> bytes:
 
 
 def row_of(fields: dict) -> dict:
-    out = {}
-    for column, name in HEADERS.items():
-        value = fields.get(name.lower())
-        if value is not None and "%0" in value:
-            value = value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-        out[column] = value
+    out = {column: fields.get(name.lower()) for column, name in HEADERS.items()}
+    for form in reversed(fields.get(FORMS.lower(), "").split(",")):
+        column, _, how = form.partition("=")
+        if out.get(column) is not None:
+            out[column] = unquote(out[column]) if how == "escaped" else out[column][1:-1]
     length = out["payload_length"]
     out["payload_length"] = int(length) if length is not None else None
     return out
 
 
+def manifests(store, root: str) -> dict[str, dict]:
+    """The manifests of an archive by name, without those that others replace."""
+    from pyarrow import fs
+
+    found = {}
+    for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if x.type == fs.FileType.File and x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"):
+            with store.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m for name, m in found.items() if name not in gone}
+
+
 class Files(InputPartition):
     def __init__(self, files: Sequence[str]) -> None:
         self.files = list(files)
@@ -229,10 +269,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = filesystem(self.path)
-        try:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                sizes = json.loads(f.read())
-        except FileNotFoundError:
+        listed = manifests(store, root)
+        sizes = {name: size for m in listed.values() for name, size in m["files"].items()}
+        if not listed:
             found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
             sizes = {x.path.removeprefix(root).lstrip("/"): x.size for x in found if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz"))}
         out, held, size = [], [], 0
@@ -285,8 +324,9 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
+        self.date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         self.max_file_bytes = int(options.get("max_file_bytes", 64 << 20))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -300,7 +340,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, files[name] = store.open_output_stream(f"{root}/{name}", compression=None), 0
-                data = member(record({n: batch.column(k)[i].as_py() for k, n in enumerate(names)}))
+                data = member(record({n: batch.column(k)[i].as_py() for k, n in enumerate(names)}, self.date))
                 out.write(data)
                 files[name] += len(data)
                 if files[name] >= self.max_file_bytes:
@@ -313,9 +353,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = filesystem(self.path)
         store.create_dir(root, recursive=True)
-        listed = {k: v for m in messages if m for k, v in m.files.items()}
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(listed).encode())
+        before = manifests(store, root) if self.overwrite else {}
+        files = {k: v for m in messages if m for k, v in m.files.items()}
+        # One file decides: a reader sees the whole commit or nothing of it.
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps({"files": files, "replaces": sorted(before)}).encode())
+        for m in before.values():
+            for name in m["files"]:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = filesystem(self.path)
@@ -339,7 +384,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options), self._with_payload())
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark) -> None:

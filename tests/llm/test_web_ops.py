@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, archive, html, queries, urls, warc
 
@@ -221,6 +222,66 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path):
     assert len(small.partitions()) == len(reader.partitions()[0].files)
 
 
+def test_appends_keep_and_overwrites_replace(spark, tmp_path):
+    pages = lambda a, b: spark.createDataFrame([(i, f"u{i}", f"text {i}") for i in range(a, b)], "page_id long, url string, html string")
+    path = archive.write(pages(0, 30), f"file://{tmp_path}/w")
+    archive.write(pages(30, 50), path)
+    got = archive.read(spark, path).select(archive.page_of(F.col("record_id")).alias("i")).collect()
+    assert sorted(r.i for r in got) == list(range(50))
+    archive.write(pages(7, 9), path, mode="overwrite")
+    archive.write(pages(9, 10), path)
+    got = archive.read(spark, path).select(archive.page_of(F.col("record_id")).alias("i")).collect()
+    assert sorted(r.i for r in got) == [7, 8, 9]
+    assert sum(f.endswith(".warc.gz") for f in os.listdir(f"{tmp_path}/w")) <= 3 * 4
+
+
+URLS = ["http://a/?q=%0Ax%25", "http://a/ x", " lead", "trail\t", "a\nb%0A", "%", "", "\r", "é\u2028", "x\u3000", "<http://b>", "http://a/a,b=c"]
+
+
+def test_urls_and_ids_read_back_as_they_were(spark, tmp_path):
+    path = archive.write(spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    rows = archive.read(spark, path, payload=False)
+    got = {r.i: r.target_uri for r in rows.select(archive.page_of(F.col("record_id")).alias("i"), "target_uri").collect()}
+    assert got == dict(enumerate(URLS))
+    for i, u in enumerate(URLS):
+        assert [r.i for r in rows.where(F.col("target_uri") == u).select(archive.page_of(F.col("record_id")).alias("i")).collect()] == [i]
+
+
+def test_records_conform(spark, tmp_path):
+    import gzip
+
+    big = "b" * 200
+    path = archive.write(spark.createDataFrame([(1, "u", big), (2, "u", big), (None, "v", big), (None, "w", "short")], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    heads = []
+    for f in os.listdir(f"{tmp_path}/w"):
+        if f.endswith(".gz"):
+            heads += [x.split("\r\n\r\n")[0].split("\r\n") for x in ("WARC/1.1" + x for x in gzip.decompress((tmp_path / "w" / f).read_bytes()).decode().split("WARC/1.1")[1:])]
+    assert len(heads) == 4
+    for h in heads:
+        fields = dict(x.split(": ", 1) for x in h[1:])
+        assert re.fullmatch(r"<[^<>]+:[^<>]+>", fields["WARC-Record-ID"]) and re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        if fields["WARC-Type"] == "revisit":
+            assert fields["WARC-Profile"] == warc.PROFILE and fields["WARC-Refers-To"] == "<urn:page:1>" and fields["Content-Length"] == "0"
+        else:
+            assert fields["Content-Type"].startswith("application/http")
+    assert sum(r.refers_to is not None for r in archive.read(spark, path).collect()) == 2
+
+
+def test_digests_may_be_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "BROADCAST_DIGESTS", 0)
+    rows = [(i, "u", "same" * 50 if i % 3 else f"own{i}" * 50) for i in range(60)]
+    path = archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = archive.read(spark, path).groupBy("record_type", "refers_to").count().collect()
+    assert sorted((r[0], r[1], r[2]) for r in got if r[0] == "revisit") == [("revisit", "urn:page:1", 39)]
+
+
+def test_warc_query_pushes_record_types(spark):
+    plan = queries.op10_warc(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "SortMergeJoin" not in plan
+    # pushed predicates are gone from the plan: no filter is left above the scans
+    assert "Filter (" not in plan
+
+
 def test_archives_of_others(spark, tmp_path):
     import gzip
 
