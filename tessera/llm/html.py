@@ -2,56 +2,68 @@
 
 1. Pages are parsed to trees of block elements; inline markup is transparent, scripts,
    styles and elements that say they are menus, forms, adverts, comments and the like
-   (by tag, role, id or class) carry no content.
+   (by tag, role, id or class) carry no content. Names count only where the whole id or
+   class consists of such words ("cookie-notice", not "social-science"), within articles
+   only those of adverts, comments, menus, sidebars and notices.
 2. One page of each host (the least by hash) is its reference tree. Every page is aligned
    with it by simple tree matching: nodes match if their labels do, and children are
-   aligned in order so that most nodes match. A text node's slot is its reference node, or
-   its path of labels where it has no partner.
-3. Over all pages of a host, a slot whose text is the same in most pages is template; slots
-   that vary are content. Counts combine before their shuffle, so a host with a third of
-   all pages is no hot task.
-4. A page's text is its content slots within the article (or main) element, else outside
-   of boilerplate. If template would take more than ``MOST`` of a page's text, its article
-   itself is repeated (copies on one host) and stays.
+   aligned in order so that most nodes match, equal texts first among equals. A text node's slot is its reference node, or
+   its path of labels where it has no partner. This is the one pass that parses; it writes
+   each page's text nodes with their slots.
+3. Over all different pages of a host, a slot that has the same text on ``SHARE`` of them
+   is template; slots that vary are content. Counts combine before their shuffle, so a host
+   with a third of all pages is no hot task.
+4. A page's text is its content slots within the article (or main) element; on pages
+   without one, those that aren't in a menu, which is a group of two links or more and
+   nothing else. If template would take more than ``MOST`` of a page's text, its article
+   itself is repeated (copies and near copies on one host) and stays.
 
 What a host adds to a page is its reference and its template; they are broadcast if all
 hosts' together are at most ``BROADCAST_BYTES``, else joined by host.
 
 Edge cases: null or empty html gives an empty text; broken markup is read as browsers
-would close it; null URLs share one host; repeated pages keep their rows; an empty table
-gives no rows. Extra columns are ignored.
+would close it; very long and deeply nested pages are aligned as exactly as others (an
+alignment's memory grows with the longer list of children times the root of the other);
+null URLs share one host; repeated pages keep their rows and count once for their host; of
+pages that could be the reference alike one is taken; an empty table gives no rows. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import map_arrow_stream, written
+from ._common import let, map_arrow_stream, written
 from .urls import host_of
 
 #: Pages of a host and their share that make a text template; template's share of a page.
 LEAST_PAGES, SHARE, MOST = 4, 0.6, 0.7
 BROADCAST_BYTES = 32 << 20
-#: Cells of one alignment's table beyond which only equal subtrees are aligned.
-CELLS = 4_000_000
 
 #: Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr meter progress picture source".split())
-SKIPPED = frozenset("nav footer aside form button select option input textarea script style noscript template iframe svg canvas object embed head title dialog menu audio video map math fieldset datalist".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note".split())
+SKIPPED = frozenset("nav footer aside form button select option input textarea script style noscript template iframe svg canvas object embed head title dialog menu audio video map fieldset datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification newsletter subscribe subscription popup modal overlay comment comments commentlist reply replies respond disqus share sharing social related recommended widget login signin signup register pagination pager masthead toolbar topbar skip toc paywall disclaimer copyright legal".split())
-HEADS = frozenset("header topbar masthead site-header".split())
+#: Those of them that count within articles too.
+INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies gdpr notice notices comment comments commentlist reply replies respond disqus".split())
+#: Words that may stand beside them in a name.
+BESIDE = frozenset("site main page top bottom left right bar box list item items link links area section wrapper container inner outer block global primary secondary header head to text message".split())
+HEADS = frozenset("header topbar masthead".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Opening one of these closes an open one of those, up to the given ancestors.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "thead": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ("html",))}
@@ -62,7 +74,7 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("label", "tag", "kids", "text", "linked", "skip", "main", "sign", "number", "size", "up")
+    __slots__ = ("label", "tag", "kids", "text", "linked", "skip", "main", "sign", "number", "size", "up", "path", "leaves", "chars", "links", "full")
 
     def __init__(self, label: str, tag: str, up: "Node | None", skip: bool, main: int) -> None:
         self.label, self.tag, self.up, self.skip, self.main = label, tag, up, skip, main
@@ -70,6 +82,15 @@ class Node:
         self.text, self.linked = "", 0
 
 
+def _named(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the ids and classes consists of such words, numbers and ``BESIDE``."""
+    for name in names.split():
+        parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+        if not words.isdisjoint(parts) and all(p in words or p in BESIDE for p in parts):
+            return True
+    return False
+
+
 def _judged(tag: str, attributes: str, within: bool) -> tuple[str, bool, int]:
     """(label, is boilerplate, 2 for article and 1 for main) of an element."""
     skip, names, role = tag in SKIPPED or (tag == "header" and not within), "", ""
@@ -84,11 +105,10 @@ def _judged(tag: str, attributes: str, within: bool) -> tuple[str, bool, int]:
                 skip = True
     main = 2 if tag == "article" else 1 if tag == "main" or role == "main" else 0
     if tag not in ("html", "body", "article", "main"):
-        parts = set(_PARTS.split(names))
-        skip = skip or not parts.isdisjoint(NAMES) or (not within and not parts.isdisjoint(HEADS))
+        skip = skip or (_named(names, INSIDE) if within else _named(names, NAMES) or _named(names, HEADS))
     elif tag == "article":
-        skip = skip or not {"comment", "comments", "reply"}.isdisjoint(_PARTS.split(names))
-    return tag + names.replace(" ", "."), skip or role in ROLES, main
+        skip = skip or _named(names, frozenset(("comment", "comments", "reply")))
+    return tag + ".".join(["", *names.split()]), skip or role in ROLES, main
 
 
 def parse(page: str) -> Node:
@@ -168,75 +188,155 @@ def parse(page: str) -> Node:
 
 
 def _finish(root: Node) -> list[Node]:
-    """Nodes in page order; sets number, size and structural sign (iterative: any depth)."""
+    """Nodes in page order; sets number, size, path, the signs of structure alone and with
+    texts, and how much text is within (iterative: any depth)."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         node.number = len(order)
+        node.path = xxhash.xxh64_intdigest(node.label, node.up.path if node.up is not None else 0)
         order.append(node)
         stack.extend(reversed(node.kids))
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.kids)
         node.sign = hash((node.label, tuple(k.sign for k in node.kids)))
+        node.full = hash((node.label, node.text, tuple(k.full for k in node.kids)))
+        own = node.text and not node.skip
+        node.leaves = sum(k.leaves for k in node.kids) + bool(own)
+        node.chars = sum(k.chars for k in node.kids) + (len(node.text) if own else 0)
+        node.links = sum(k.links for k in node.kids) + (node.linked if own else 0)
     return order
 
 
+class _Aligned:
+    """Alignments of lists of children: what matches, and how many nodes that are."""
+
+    def __init__(self) -> None:
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def _weight(self, x: Node, y: Node) -> int:
+        return 0 if x.label != y.label else x.size if x.sign == y.sign else self.sizes[x.sign, y.sign]
+
+    def _missing(self, x: Node, y: Node) -> list[tuple[Node, Node]]:
+        """Pairs of children whose sizes must be known first, by their signs."""
+        xs = {k.sign: k for k in x.kids}
+        ys: dict[str, dict[int, Node]] = {}
+        for k in y.kids:
+            ys.setdefault(k.label, {})[k.sign] = k
+        return [(a, b) for a in xs.values() for b in ys.get(a.label, {}).values() if a.sign != b.sign and (a.sign, b.sign) not in self.sizes]
+
+    @staticmethod
+    def _ends(xs: list[int], ys: list[int]) -> tuple[int, int]:
+        """How many are equal one by one from the start, and from the end."""
+        n, lead, tail = min(len(xs), len(ys)), 0, 0
+        while lead < n and xs[lead] == ys[lead]:
+            lead += 1
+        while tail < n - lead and xs[-1 - tail] == ys[-1 - tail]:
+            tail += 1
+        return lead, tail
+
+    def solve(self, x: Node, y: Node) -> None:
+        """Sizes of all pairs below x and y, deepest first."""
+        stack = [(x, y)]
+        while stack:
+            a, b = stack[-1]
+            missing = self._missing(a, b)
+            if missing:
+                stack += missing
+                continue
+            stack.pop()
+            if (a.sign, b.sign) not in self.sizes:
+                self.sizes[a.sign, b.sign] = 1 + self.align(a.kids, b.kids, False)[0]
+
+    def align(self, xs: list[Node], ys: list[Node], pairs: bool) -> tuple[int, list[tuple[int, int]]]:
+        """The most nodes that children in order can match; with ``pairs`` also which children
+        do, in a choice that has the most children of equal texts."""
+        if pairs:
+            x_full, y_full = [x.full for x in xs], [y.full for y in ys]
+            lead, tail = self._ends(x_full, y_full)
+            x_text, y_text = np.array(x_full, np.int64), np.array(y_full[lead : len(ys) - tail], np.int64)
+        else:
+            lead, tail = self._ends([x.sign for x in xs], [y.sign for y in ys])
+        found = [(i, i) for i in range(lead)] + [(len(xs) - 1 - i, len(ys) - 1 - i) for i in range(tail)]
+        total = sum(xs[i].size for i, _ in found)
+        rows, columns = len(xs) - lead - tail, len(ys) - lead - tail
+        if not rows or not columns:
+            return total, found
+        kinds: dict[int, np.ndarray] = {}
+
+        def weights(i: int) -> np.ndarray:
+            x = xs[lead + i]
+            if x.sign not in kinds:
+                of_sign = {y.sign: self._weight(x, y) for y in ys[lead : lead + columns]}
+                kinds[x.sign] = np.array([of_sign[y.sign] for y in ys[lead : lead + columns]], np.int64)
+            if not pairs:
+                return kinds[x.sign]
+            return (kinds[x.sign] << 20) + (y_text == x_text[lead + i])
+
+        def following(row: np.ndarray, i: int) -> np.ndarray:
+            new = row.copy()
+            np.maximum(new[1:], row[:-1] + weights(i), out=new[1:])
+            return np.maximum.accumulate(new)
+
+        # Every so many rows one is kept; going back, those between are made again.
+        step = max(1, math.isqrt(rows))
+        row, kept = np.zeros(columns + 1, np.int64), []
+        for i in range(rows):
+            if i % step == 0:
+                kept.append(row)
+            row = following(row, i)
+        total += int(row[-1] >> 20 if pairs else row[-1])
+        if pairs:
+            j = columns
+            for block in reversed(range(len(kept))):
+                table = [kept[block]]
+                for i in range(block * step, min(rows, (block + 1) * step)):
+                    table.append(following(table[-1], i))
+                for k in reversed(range(1, len(table))):
+                    while j and table[k][j] == table[k][j - 1]:
+                        j -= 1
+                    if j and table[k][j] != table[k - 1][j]:
+                        j -= 1
+                        found.append((lead + block * step + k - 1, lead + j))
+        return total, found
+
+
 def match(a: Node, b: Node) -> dict[int, int]:
     """Simple tree matching: numbers of a's nodes to those of b's they align with."""
     out: dict[int, int] = {}
-    sizes: dict[tuple[int, int], int] = {}
-
-    def score(x: Node, y: Node, depth: int = 0) -> int:
-        if x.label != y.label:
-            return 0
-        if x.sign == y.sign:
-            return x.size
-        key = (x.sign, y.sign)
-        found = sizes.get(key)
-        if found is None:
-            found = sizes[key] = 1 + (table(x.kids, y.kids, depth)[2] if depth < 200 else 0)
-        return found
-
-    def table(xs: list[Node], ys: list[Node], depth: int) -> tuple[int, list[list[int]] | None, int]:
-        lead = 0
-        total = 0
-        while lead < len(xs) and lead < len(ys) and xs[lead].sign == ys[lead].sign:
-            total += xs[lead].size
-            lead += 1
-        rows, columns = len(xs) - lead, len(ys) - lead
-        if not rows or not columns or rows * columns > CELLS:
-            return lead, None, total
-        best = [[0] * (columns + 1)]
-        for i in range(rows):
-            before, now = best[-1], [0] * (columns + 1)
-            x = xs[lead + i]
-            for j in range(columns):
-                y = ys[lead + j]
-                w = score(x, y, depth + 1) if x.label == y.label else 0
-                now[j + 1] = max(before[j + 1], now[j], before[j] + w)
-            best.append(now)
-        return lead, best, total + best[-1][-1]
-
-    stack = [(a, b, 0)] if a.label == b.label else []
+    aligned = _Aligned()
+    if a.label == b.label:
+        aligned.solve(a, b)
+    stack = [(a, b)] if a.label == b.label else []
     while stack:
-        x, y, depth = stack.pop()
+        x, y = stack.pop()
         out[x.number] = y.number
-        lead, best, _ = table(x.kids, y.kids, depth)
-        stack += [(x.kids[i], y.kids[i], depth + 1) for i in range(lead)]
-        if best:
-            i, j = len(best) - 1, len(best[0]) - 1
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    stack.append((x.kids[lead + i], y.kids[lead + j], depth + 1))
+        stack += [(x.kids[i], y.kids[j]) for i, j in aligned.align(x.kids, y.kids, True)[1]]
     return out
 
 
-def leaves(page: str, reference: Node | None) -> list[tuple[Node, str]]:
+class Leaf(NamedTuple):
+    """A text node outside of boilerplate: its slot, a hash of slot and text, whether it is
+    in an article (2) or main element (1), and whether in a menu."""
+
+    slot: int
+    sign: int
+    text: str
+    main: int
+    menu: bool
+
+
+def _in_menu(node: Node) -> bool:
+    """Links alone, as is the least group of two texts or more that it belongs to."""
+    if node.linked * 5 < len(node.text) * 4:
+        return False
+    up = node.up
+    while up.up is not None and up.leaves < 2:
+        up = up.up
+    return up.leaves < 2 or up.links * 5 >= up.chars * 4
+
+
+def leaves(page: str, reference: Node | None) -> list[Leaf]:
     """The page's text nodes outside of boilerplate, with their slots."""
     root = parse(page)
     order = _finish(root)
@@ -244,31 +344,25 @@ def leaves(page: str, reference: Node | None) -> list[tuple[Node, str]]:
     out = []
     for node in order:
         if node.text and not node.skip:
-            slot = partner.get(node.number)
-            if slot is None:
-                path, up = [], node.up
-                while up is not None and len(path) < 64:
-                    path.append(up.label)
-                    up = up.up
-                out.append((node, "p%x" % xxhash.xxh64_intdigest("/".join(path))))
-            else:
-                out.append((node, f"r{slot}"))
+            slot = partner.get(node.number, -(node.up.path >> 1) - 1)
+            out.append(Leaf(slot, xxhash.xxh64_intdigest(node.text, slot & (2**64 - 1)) >> 1, node.text, node.main, _in_menu(node)))
     return out
 
 
-def _sign_of(slot: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{slot}\n{text}") & (2**63 - 1)
+def main_text(nodes: str = "leaves", template: str = "template") -> Column:
+    """The content among a page's text nodes (native)."""
+    known = F.coalesce(F.col(template), F.array().cast("array<long>"))
 
+    def of_kept(kept: Column) -> Column:
+        total = F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x["text"]))
+        varying = F.filter(kept, lambda x: ~F.array_contains(known, x["sign"]))
+        content = F.aggregate(varying, F.lit(0), lambda n, x: n + F.length(x["text"]))
+        return F.array_join(F.transform(F.when(total - content <= MOST * total, varying).otherwise(kept), lambda x: x["text"]), "\n")
 
-def main_text(found: list[tuple[Node, str]], template: frozenset[int]) -> str:
-    """The content among a page's text nodes."""
-    best = max((n.main for n, _ in found), default=0)
-    kept = [(n, s) for n, s in found if n.main == best and (best or n.linked * 5 < len(n.text) * 4)]
-    total = sum(len(n.text) for n, _ in kept)
-    constant = [_sign_of(s, n.text) in template for n, s in kept]
-    if sum(len(n.text) for (n, _), c in zip(kept, constant, strict=True) if c) <= MOST * total:
-        kept = [x for x, c in zip(kept, constant, strict=True) if not c]
-    return "\n".join(n.text for n, _ in kept)
+    def of_best(best: Column) -> Column:
+        return let(F.filter(nodes, lambda x: (x["main"] == best) & ((best > 0) | ~x["menu"])), of_kept)
+
+    return let(F.coalesce(F.array_max(F.transform(nodes, lambda x: x["main"])), F.lit(0)), of_best)
 
 
 class References:
@@ -303,41 +397,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     references = written(chosen.groupBy("host").agg(F.min("html").alias("reference")), "html-references")
     size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
 
-    counted = T.StructType([T.StructField("host", T.StringType()), T.StructField("slot", T.StringType()), T.StructField("sign", T.LongType()), T.StructField("n", T.LongType())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference, counts = References(), Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=counted.names)
-            counts.clear()
-            return batch
+    leaf = T.StructType([T.StructField("slot", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("text", T.StringType()), T.StructField("main", T.IntegerType()), T.StructField("menu", T.BooleanType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("leaves", T.ArrayType(leaf))])
+    kind = to_arrow_type(schema["leaves"].dataType)
 
-        for batch in batches:
-            for host, page, ref in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = leaves(page, reference(ref))
-                counts.update({(host, s, -1) for _, s in found} | {(host, s, _sign_of(s, n.text)) for n, s in found})
-            if len(counts) > 100_000:
-                yield out()
-        yield out()
-
-    # Sign -1 counts a slot's pages, the others those with one text in it.
-    slots = map_arrow_stream(_with_host(rows, references, size).select("host", "html", "reference"), count, counted, 500)
-    sums = written(slots.groupBy("host", "slot", "sign").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}"), "html-slots")
-    of_slot = sums.where("sign = -1").select("host", "slot", F.col("n").alias("pages"))
-    constant = sums.where("sign <> -1").join(of_slot, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("pages"))
-    template = constant.groupBy("host").agg(F.array_sort(F.collect_set("sign")).alias("template"))  # at most a page's slots, over SHARE
-    known = written(references.join(template, "host", "left"), "html-wrappers")
-    size += known.agg(F.sum(8 * F.size(F.coalesce("template", F.array().cast("array<long>"))))).first()[0] or 0
-
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = References()
         for batch in batches:
-            texts = [main_text(leaves(page, reference(ref)), frozenset(template or ())) for page, ref, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=schema.names)
-
-    out = map_arrow_stream(_with_host(rows, known, size).select("id", "url", "html", "reference", "template"), take, schema, 500)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+            found = [leaves(page, reference(ref)) for page, ref in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            flat = [x for page in found for x in page]
+            offsets = np.concatenate(([0], np.cumsum([len(page) for page in found]))).astype(np.int32)
+            columns = [pa.array([x[i] for x in flat], f.type) for i, f in enumerate(kind.value_type)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), lists], names=schema.names)
+
+    marked = rows.select("id", "url", "host", F.xxhash64("html").alias("page"), "html")
+    found = written(map_arrow_stream(_with_host(marked, references, size).select("id", "url", "host", "page", "html", "reference"), parsed, schema, 500), "html-leaves")
+
+    # Equal pages of a host count once: copies of one page make no template.
+    distinct = found.select("host", "page", F.array_distinct(F.transform("leaves", lambda x: x["sign"])).alias("signs")).groupBy("host", "page").agg(F.first("signs").alias("signs"))
+    distinct = written(distinct, "html-pages")
+    of_host = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {LEAST_PAGES}")
+    sums = distinct.select("host", F.explode("signs").alias("sign")).groupBy("host", "sign").agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}")
+    constant = sums.join(of_host, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    template = written(constant.groupBy("host").agg(F.array_sort(F.collect_set("sign")).alias("template")), "html-templates")  # at most a page's slots, over SHARE
+    size = template.agg(F.sum(8 * F.size("template") + F.octet_length("host"))).first()[0] or 0
+    return _with_host(found, template, size).select("id", "url", main_text().alias("text")).withColumn("n_chars", F.length("text").cast("long"))

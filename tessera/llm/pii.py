@@ -32,11 +32,11 @@ columns pass through; columns named like an output are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh, let
+
 #: Rounds of the network; even, so both halves change equally often.
 ROUNDS = 10
 KEY = "tessera-example-key"
@@ -50,11 +50,6 @@ CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IP, DATE, SSN, CARD))
 
 
-def let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def round_value(key: str, kind: Column, i: Column, half: Column) -> Column:
     """60 bits of SHA-256 of key, kind, round and half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, i.cast("string"), half.cast("string")), 256)
@@ -194,5 +189,6 @@ def pseudonymize(df: DataFrame, key: str = KEY, text_col: str = "text", count_co
 
     plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     done = F.when(text.rlike(ANY), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)).otherwise(plain)
-    held = df.withColumn("__pii", F.when(text.rlike("[0-9@]"), done).otherwise(plain))
-    return held.withColumn(text_col, F.col("__pii.text")).withColumn(count_col, F.col("__pii.n")).drop("__pii")
+    pair = fresh(df, "__pii")
+    held = df.withColumn(pair, F.when(text.rlike("[0-9@]"), done).otherwise(plain))
+    return held.withColumn(text_col, F.col(f"{pair}.text")).withColumn(count_col, F.col(f"{pair}.n")).drop(pair)

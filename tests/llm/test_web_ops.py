@@ -136,9 +136,80 @@ def test_templates_of_a_host_are_found(spark):
     assert {r.text for r in html.extract(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"all the same"}
 
 
+def text_of(page):
+    """A page's text where nothing is known of its host."""
+    found = html.leaves(page, None)
+    best = max((x.main for x in found), default=0)
+    return "\n".join(x.text for x in found if x.main == best and (best or not x.menu))
+
+
+def test_misleading_names_stay_and_named_parts_go():
+    assert text_of('<article><p>One</p><div class="social-science note-legal"><p>two</p></div><div class="share-price promo banner">three</div><section role="note">four</section></article>') == "One\ntwo\nthree\nfour"
+    assert text_of('<div class="social-science"><p>One</p></div><div class="copyright-law">two</div><div class="cookie-recipes">three</div><div class="advert-free">four</div>') == "One\ntwo\nthree\nfour"
+    assert text_of('<article><p>One</p><div class="ad-box">a</div><div id="comments-2">b</div><ul class="site-nav"><li>c</ul><div class="cookie-notice">d</div></article>') == "One"
+    assert text_of('<div class="site-footer">a</div><div class="top-banner">b</div><p class="legal-notice">c</p><p>One') == "One"
+    assert text_of("<p><a href=x>a whole paragraph that is a link</a></p><p>and one that is not</p>") == "a whole paragraph that is a link\nand one that is not"
+    assert text_of("<div><a href=x>a</a></div><div><ul><li><a href=x>b</a><li><a href=y>c</a></ul></div><p>text</p>") == "a\ntext"
+
+
+def generated(rng, n, article):
+    """A host's pages, and what each should give: parts that vary, without those that don't."""
+    words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], k)) + f" {rng.integers(10**9)}"
+    rows, want = [], []
+    for _ in range(n):
+        parts = [words(6) for _ in range(rng.integers(1, 9))]
+        extra = [f"<div class=promo-codes>{p}</div>" if rng.random() < 0.2 else f"<p>{p}" for p in parts]
+        body = f"<div class=lead-in>Our daily service to you</div><h1>{parts[0]}</h1>{''.join(extra[1:])}<p>All stories end like this one.</p>"
+        body = f"<article>{body}</article>" if article else f"<div class=col-1>{body}</div>"
+        rows.append(f"<html><body><ul><li><a href=1>{words(1)}</a><li><a href=2>{words(1)}</a></ul>{body}<div class=bottom>Printed on paper</div></body></html>")
+        want.append("\n".join(parts))
+    return rows, want
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_slots_decide_on_pages_of_a_host(spark, article, monkeypatch):
+    pages, want = generated(np.random.default_rng(7), 30, article)
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (html.BROADCAST_BYTES, -1):  # references and templates broadcast, or joined
+        monkeypatch.setattr(html, "BROADCAST_BYTES", bound)
+        got = {r.id: r.text for r in html.extract(df).collect()}
+        assert [got[i] for i in range(30)] == want
+    monkeypatch.setattr(html, "SHARE", 2.0)  # no template: what all pages share stays
+    bare = {r.id: r.text for r in html.extract(df).collect()}
+    assert all(bare[i] != want[i] and "All stories end like this one." in bare[i] for i in range(30))
+
+
+def test_near_copies_on_a_host_keep_their_text(spark):
+    """Some near copies of one article on a host of other pages, and a host of copies alone."""
+    pages, want = generated(np.random.default_rng(8), 20, True)
+    copy = lambda k: f"<article><h1>Same</h1>{''.join(f'<p>part {i}' for i in range(20))}<p>last {k}</article>"
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)] + [(100 + k, "http://h.example/", copy(k)) for k in range(8)] + [(200 + k, "http://c.example/", copy(k)) for k in range(8)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == w for i, w in enumerate(want))
+    for k in range(8):
+        assert got[100 + k] == got[200 + k] == "\n".join(["Same", *(f"part {i}" for i in range(20)), f"last {k}"])
+
+
+def test_long_lists_of_children_are_aligned():
+    def page(tags):
+        return "".join(f"<{t}>x</{t}>" for t in tags)
+
+    rng = np.random.default_rng(1)
+    a, b = (list(rng.choice(["div", "section", "h2", "pre"], n)) for n in (2500, 2300))
+    x, y = html.parse(page(a)), html.parse(page(b))
+    html._finish(x), html._finish(y)
+    row = np.zeros(len(b) + 1, int)
+    codes = np.array([hash(t) for t in b])
+    for t in a:
+        new = row.copy()
+        new[1:] = np.maximum(new[1:], row[:-1] + (codes == hash(t)))
+        row = np.maximum.accumulate(new)
+    assert len(html.match(x, y)) == 1 + 2 * row[-1]
+
+
 def test_what_elements_say_of_themselves():
-    def text(page):
-        return html.main_text(html.leaves(page, None), frozenset())
+    text = text_of
 
     assert text('<div style="overflow:hidden" data-x="hidden nav ad">a</div><div hidden>b</div><div style="display: none">c</div><p aria-hidden=true>d<p aria-hidden="false">e') == "a\ne"
     assert text('<div class="Main-Nav">a</div><div id="ads_top">b</div><div class="shadow navy">c</div><div role="navigation">d</div>') == "c"
