@@ -198,13 +198,14 @@ def _finish(root: Node) -> list[Node]:
         order.append(node)
         stack.extend(reversed(node.kids))
     for node in reversed(order):
-        node.size = 1 + sum(k.size for k in node.kids)
-        node.sign = hash((node.label, tuple(k.sign for k in node.kids)))
-        node.full = hash((node.label, node.text, tuple(k.full for k in node.kids)))
-        own = node.text and not node.skip
-        node.leaves = sum(k.leaves for k in node.kids) + bool(own)
-        node.chars = sum(k.chars for k in node.kids) + (len(node.text) if own else 0)
-        node.links = sum(k.links for k in node.kids) + (node.linked if own else 0)
+        size, count, chars, links = 1, 0, 0, 0
+        if node.text and not node.skip:
+            count, chars, links = 1, len(node.text), node.linked
+        for k in node.kids:
+            size, count, chars, links = size + k.size, count + k.leaves, chars + k.chars, links + k.links
+        node.size, node.leaves, node.chars, node.links = size, count, chars, links
+        node.sign = hash((node.label, *[k.sign for k in node.kids]))
+        node.full = hash((node.label, node.text, *[k.full for k in node.kids]))
     return order
 
 
@@ -251,27 +252,23 @@ class _Aligned:
     def align(self, xs: list[Node], ys: list[Node], pairs: bool) -> tuple[int, list[tuple[int, int]]]:
         """The most nodes that children in order can match; with ``pairs`` also which children
         do, in a choice that has the most children of equal texts."""
-        if pairs:
-            x_full, y_full = [x.full for x in xs], [y.full for y in ys]
-            lead, tail = self._ends(x_full, y_full)
-            x_text, y_text = np.array(x_full, np.int64), np.array(y_full[lead : len(ys) - tail], np.int64)
-        else:
-            lead, tail = self._ends([x.sign for x in xs], [y.sign for y in ys])
+        full, signs = ([x.full for x in xs], [y.full for y in ys]), ([x.sign for x in xs], [y.sign for y in ys])
+        texts = pairs and full[0] != full[1] and not set(full[0]).isdisjoint(full[1])
+        lead, tail = self._ends(*(full if texts else signs))  # without equal texts the first that fit will do
         found = [(i, i) for i in range(lead)] + [(len(xs) - 1 - i, len(ys) - 1 - i) for i in range(tail)]
         total = sum(xs[i].size for i, _ in found)
         rows, columns = len(xs) - lead - tail, len(ys) - lead - tail
         if not rows or not columns:
             return total, found
         kinds: dict[int, np.ndarray] = {}
+        y_text = np.array(full[1][lead : lead + columns], np.int64)
 
         def weights(i: int) -> np.ndarray:
             x = xs[lead + i]
             if x.sign not in kinds:
                 of_sign = {y.sign: self._weight(x, y) for y in ys[lead : lead + columns]}
                 kinds[x.sign] = np.array([of_sign[y.sign] for y in ys[lead : lead + columns]], np.int64)
-            if not pairs:
-                return kinds[x.sign]
-            return (kinds[x.sign] << 20) + (y_text == x_text[lead + i])
+            return (kinds[x.sign] << 20) + (y_text == full[0][lead + i]) if texts else kinds[x.sign]
 
         def following(row: np.ndarray, i: int) -> np.ndarray:
             new = row.copy()
@@ -285,7 +282,7 @@ class _Aligned:
             if i % step == 0:
                 kept.append(row)
             row = following(row, i)
-        total += int(row[-1] >> 20 if pairs else row[-1])
+        total += int(row[-1] >> 20 if texts else row[-1])
         if pairs:
             j = columns
             for block in reversed(range(len(kept))):
@@ -311,7 +308,11 @@ def match(a: Node, b: Node) -> dict[int, int]:
     while stack:
         x, y = stack.pop()
         out[x.number] = y.number
-        stack += [(x.kids[i], y.kids[j]) for i, j in aligned.align(x.kids, y.kids, True)[1]]
+        if len(x.kids) == 1 and len(y.kids) == 1:
+            if x.kids[0].label == y.kids[0].label:
+                stack.append((x.kids[0], y.kids[0]))
+        elif x.kids and y.kids:
+            stack += [(x.kids[i], y.kids[j]) for i, j in aligned.align(x.kids, y.kids, True)[1]]
     return out
 
 
