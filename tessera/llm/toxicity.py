@@ -1,21 +1,29 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (``MAX_SAMPLE``) is searched for word and word-stem
-   patterns (found once, twice, three times) that occur in toxic texts beyond chance; with a small lexicon of insults and
-   patterns of punctuation they are the voters (at most ``MAX_VOTERS``).
-2. A generative label model (latent class, EM) estimates each voter's accuracy in either
-   class; voters that stay correlated within a class share their weight. The human label
-   is one more voter, so single labels can be outvoted.
-3. A linear classifier (logistic regression) is trained on the posterior labels.
+   patterns (found once, twice, three times) that occur in toxic texts beyond chance. Of
+   patterns found in just the same rows one is kept, of those that nearly agree (``ALIKE``)
+   the strongest; there is no other bound on their number.
+2. The voters of the label model are a small lexicon of insults, patterns of punctuation and
+   mined patterns, one of each family (stems of one another). The generative model (two latent classes, EM)
+   estimates each voter's rates in either class, starting from and held near those the labels
+   show, and their correlations within a class: voters that say the same share their weight.
+   The given label is one more voter; what it is right in is estimated by what the others
+   say, so they can outvote it.
+3. A linear classifier (logistic regression) over all kept patterns is trained on the
+   posterior labels, each row's likelier class. The labels calibrate it: two numbers, scale and offset of its scores,
+   are fitted on rows that a classifier trained without them scored.
 4. Every whole text is scored by the classifier alone, in one pass without a shuffle.
 
 Labels only enter through the sample; ids, sources and languages are never inputs.
 
-Edge cases: null or empty text scores as a text without any hit; repeated rows are scored
-alike; an empty table gives no rows; labels with null id or null label are skipped, and of
-contradicting labels of one id the larger counts; without labels of both classes there are
-only the lexicon's voters and the base rate. Extra columns pass through, and columns named
-like an output are replaced.
+Edge cases: null or empty text scores as a text without any hit; a very long text is read
+whole, its patterns are counted as any other's; repeated rows are scored alike; an empty
+table gives no rows; labels with null id or null label are skipped, and of contradicting
+labels of one id the larger counts, of texts with one id the least; patterns of equal
+evidence are taken in their bytes' order; without labels of both classes there are only the
+lexicon's voters and the base rate. Extra columns pass through, and columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +41,11 @@ from pyspark.sql import types as T
 
 from ._common import appended, map_arrow, map_arrow_stream, texts, with_columns
 
-#: Labelled rows the model is fitted on, at most, and voters it may use.
-MAX_SAMPLE, MAX_VOTERS = 12_000, 500
+#: Labelled rows the model is fitted on, at most. Patterns whose rows overlap by more than
+#: ``ALIKE`` (Jaccard) are one; voters this correlated within a class share their weight.
+MAX_SAMPLE, ALIKE, CORRELATED = 12_000, 0.8, 0.2
+#: Parts of the sample that calibrate each other's scores.
+FOLDS = 5
 #: Nats of evidence a mined pattern needs (a bound for some 10^5 patterns tried), and rows.
 MIN_EVIDENCE, MIN_ROWS = 13.0, 4
 #: Scores from which a text counts as toxic.
@@ -116,39 +127,44 @@ class Scorer:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
-    """(text, label) of at most ``limit`` labelled ids, chosen by a hash of the id."""
+    """(label, text, mark) of at most ``limit`` labelled ids, chosen by a hash of the id."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(limit)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `limit` pairs
-    return found.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(16, "id").select("label", "text")
+    return found.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(16, "id").select("label", "text", F.xxhash64("id").alias("mark"))
 
 
 def mine(sample: DataFrame, positives: int, total: int) -> list[bytes]:
-    """Patterns that occur in toxic texts beyond chance, strongest first."""
+    """Patterns that occur in toxic texts beyond chance, strongest first; of those found in
+    the same rows the shortest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos, neg = Counter(), Counter()
+        pos, neg, rows = Counter(), Counter(), {}
 
         def out() -> pa.RecordBatch:
-            keys = list(pos.keys() | neg.keys())
-            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], names=["pattern", "pos", "neg"])
-            pos.clear(), neg.clear()
-            return rows
+            keys = list(rows)
+            columns = [pa.array(keys, pa.binary()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64()), pa.array(list(rows.values()), pa.int64())]
+            pos.clear(), neg.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["pattern", "pos", "neg", "rows"])
 
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                (pos if label else neg).update(found_in(text))
-                if len(pos) + len(neg) > 200_000:
+            for label, text, mark in zip(batch.column(0).to_pylist(), texts(batch, "text"), batch.column(2).to_pylist(), strict=True):
+                found = found_in(text)
+                (pos if label else neg).update(found)
+                for p in found:
+                    rows[p] = rows.get(p, 0) ^ mark
+                if len(rows) > 200_000:
                     yield out()
         yield out()
 
     rate = positives / total
-    counts = map_arrow_stream(sample, run, T.StructType([T.StructField("pattern", T.BinaryType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())]))
-    both = counts.groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos >= {MIN_ROWS}")
+    counts = map_arrow_stream(sample, run, T.StructType([T.StructField("pattern", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("pos", "neg", "rows"))]))
+    both = counts.groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_xor("rows").alias("rows")).where(f"pos >= {MIN_ROWS}")
     p = F.col("pos") / (F.col("pos") + F.col("neg"))
     evidence = (F.col("pos") + F.col("neg")) * (p * F.log(p / rate) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0.0))
-    best = both.withColumn("evidence", F.round(evidence, 6)).where((p > 2 * rate) & (F.col("evidence") >= MIN_EVIDENCE)).orderBy(F.desc("evidence"), "pattern").limit(MAX_VOTERS)
-    return [bytes(r["pattern"]) for r in best.select("pattern").collect()]
+    strong = both.withColumn("evidence", F.round(evidence, 6)).where((p > 2 * rate) & (F.col("evidence") >= MIN_EVIDENCE))
+    best = strong.groupBy("rows", "pos", "neg").agg(F.min(F.struct(F.octet_length("pattern").alias("n"), "pattern")).alias("p"), F.max("evidence").alias("evidence"))
+    return [bytes(r["pattern"]) for r in best.orderBy(F.desc("evidence"), "p").select("p.pattern").collect()]  # different subsets of a bounded sample
 
 
 def votes(sample: DataFrame, voters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,53 +178,125 @@ def votes(sample: DataFrame, voters: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
     rows = map_arrow(sample, run, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("hits", T.ArrayType(T.IntegerType()))])).collect()
     rows.sort(key=lambda r: (r["label"], r["hits"]))  # reruns agree
-    x = np.zeros((len(rows), len(voters)), np.float64)
+    x = np.zeros((len(rows), len(voters)), bool)
     for i, r in enumerate(rows):
-        x[i, r["hits"]] = 1
+        x[i, r["hits"]] = True
     return x, np.array([r["label"] for r in rows], np.float64)
 
 
-def label_model(x: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row by EM over the voters' accuracies, correlations discounted."""
-    n, voters = x.shape
-    base = min(max(gold.mean(), 1e-3), 1 - 1e-3)
-    q = np.where(gold > 0, 0.95, 0.02)
-    share, label_hit, label_false = np.ones(voters), 0.95, 0.02
+def unlike(x: np.ndarray, alike: float = ALIKE) -> list[int]:
+    """Columns, first ones preferred, without those that overlap a kept one too far."""
+    packed, sizes, kept = np.packbits(x, axis=0).T.copy(), x.sum(0), []
+    held = np.zeros_like(packed)
+    for j in range(x.shape[1]):
+        if not sizes[j]:
+            continue
+        both = np.bitwise_count(held[: len(kept)] & packed[j]).sum(1, dtype=np.int64)
+        if len(kept) and (both >= alike * (sizes[kept] + sizes[j] - both)).any():
+            continue
+        held[len(kept)] = packed[j]
+        kept.append(j)
+    return kept
+
+
+def families(patterns: Sequence[bytes]) -> list[int]:
+    """Patterns found once, first ones preferred, none of which is a stem of another."""
+    kept: list[bytes] = []
+    out = []
+    for j, p in enumerate(patterns):
+        base = p.rstrip(b"$")
+        if b"*" not in p and not any(base.startswith(k) or k.startswith(base) for k in kept):
+            kept.append(base)
+            out.append(j)
+    return out
+
+
+@dataclass
+class LabelModel:
+    """Rates of votes in the toxic and the other class, weights shared among correlated
+    voters."""
+
+    base: float
+    hit: np.ndarray
+    false: np.ndarray
+    share: np.ndarray
+    label_hit: float
+    label_false: float
+
+    def posterior(self, x: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) of each row by its votes, and its label if that is given."""
+        x = np.asarray(x, np.float64)
+        z = math.log(self.base / (1 - self.base)) + x @ (np.log(self.hit / self.false) * self.share)
+        z += (1 - x) @ (np.log((1 - self.hit) / (1 - self.false)) * self.share)
+        if gold is not None:
+            z += np.where(gold > 0, math.log(self.label_hit / self.label_false), math.log((1 - self.label_hit) / (1 - self.label_false)))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_label_model(x: np.ndarray, gold: np.ndarray, rounds: int = 25) -> LabelModel:
+    """EM over rows of votes (0 or 1) and labels. Rates of the labels count as much as those
+    of the posterior, so the classes keep their meaning."""
+    full = np.asarray(x, np.float64)
+    on, off = gold.sum(), (1 - gold).sum()
+    hit_0, false_0 = (gold @ full + 0.5) / (on + 1), ((1 - gold) @ full + 0.5) / (off + 1)
+    q, hit, false, share = gold.astype(np.float64), hit_0, false_0, np.ones(full.shape[1])
     for step in range(rounds):
-        on, off = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-        hit, false = (q @ x + 0.05) / (on + 1), ((1 - q) @ x + 0.05) / (off + 1)
-        if step:
-            label_hit, label_false = (q @ gold + 9) / (on + 10), ((1 - q) @ gold + 0.2) / (off + 10)
-        if step in (1, 5, 10):  # what voters of one class still have in common
-            c = np.zeros((voters, voters))
-            for weight, mean, mass in ((q, hit, on), (1 - q, false, off)):
-                d = (x - mean) * np.sqrt(weight)[:, None]
+        if step in (4, 8, 12):  # what voters of one class still have in common
+            c = np.zeros((full.shape[1],) * 2)
+            for weight in (q, 1 - q):
+                mass = weight.sum() + 1e-9
+                d = (full - weight @ full / mass) * np.sqrt(weight)[:, None]
                 cov = d.T @ d / mass
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 c = np.maximum(c, cov / sd[:, None] / sd[None, :])
-            share = 1 / np.maximum(np.where(c > 0.2, c, 0).sum(0), 1)
-        up, down = np.log(hit / false) * share, np.log((1 - hit) / (1 - false)) * share
-        z = math.log(base / (1 - base)) + x @ up + (1 - x) @ down
-        z += np.where(gold > 0, math.log(label_hit / label_false), math.log((1 - label_hit) / (1 - label_false)))
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            share = 1 / np.maximum(np.where(c > CORRELATED, c, 0).sum(0), 1)
         base = min(max(q.mean(), 1e-3), 1 - 1e-3)
-    return q
+        model = LabelModel(base, hit, false, share, 0.5, 0.5)
+        by_votes = model.posterior(x)  # what the label is right in, by the voters alone
+        model.label_hit = min(0.98, (by_votes @ gold + 9) / (by_votes.sum() + 10))
+        model.label_false = max(0.005, ((1 - by_votes) @ gold + 0.2) / ((1 - by_votes).sum() + 10))
+        q = model.posterior(x, gold)
+        hit = np.clip((q @ full + on * hit_0) / (q.sum() + on), 1e-4, 1 - 1e-4)
+        false = np.clip(((1 - q) @ full + off * false_0) / ((1 - q).sum() + off), 1e-5, 1 - 1e-4)
+    return model
 
 
-def linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton's method."""
-    a = np.hstack([x, np.ones((len(x), 1))])
+def label_model(x: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """P(toxic) of each row."""
+    return fit_label_model(x, gold).posterior(x, gold)
+
+
+def linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, rounds: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the bias of logistic regression on soft labels, by Newton's method."""
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(a.shape[1])
-    w[-1] = math.log(max(q.mean(), 1e-4) / max(1 - q.mean(), 1e-4))
+    w = np.zeros(a.shape[1]) if start is None else start.copy()
+    if start is None:
+        w[-1] = math.log(max(q.mean(), 1e-4) / max(1 - q.mean(), 1e-4))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * np.maximum(p * (1 - p), 1e-6)) @ a + np.diag(penalty), a.T @ (q - p) - penalty * w)
+        gradient = (q - p) @ a - penalty * w
+        curve = (a * np.maximum(p * (1 - p), 1e-6).astype(a.dtype)[:, None]).T @ a
+        step = np.linalg.solve(curve.astype(np.float64) + np.diag(penalty), gradient)
         w += step * min(1.0, 8 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    return np.round(w[:-1], 9), round(float(w[-1]), 9)
+    return w
+
+
+def calibrated(x: np.ndarray, q: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of the classifier, its scores calibrated by the labels of rows that
+    weren't trained on: rows are dealt to ``FOLDS`` parts in their order."""
+    whole = linear(x, q)
+    part, z = np.arange(len(x)) % FOLDS, np.zeros(len(x))
+    for k in range(FOLDS):
+        w = linear(x[part != k], q[part != k], rounds=8, start=whole)
+        z[part == k] = x[part == k] @ w[:-1] + w[-1]
+    scale, offset = linear(z[:, None], gold, 1e-3)
+    if scale <= 0:  # the scores say nothing
+        scale, offset = 1.0, 0.0
+    return np.round(whole[:-1] * scale, 9), round(float(whole[-1] * scale + offset), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_SAMPLE) -> Model:
@@ -220,18 +308,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not n or not 0 < positives < n:
             rate = min(max((positives or 0) / n if n else 0.05, 0.01), 0.99)
             return Model({w: 4.0 for w in lexicon}, math.log(rate / (1 - rate)))
-        voters = list(dict.fromkeys([*lexicon, *mine(sample, positives, n)]))
-        x, gold = votes(sample, voters)
+        patterns = list(dict.fromkeys([*lexicon, *mine(sample, positives, n)]))
+        x, gold = votes(sample, patterns)
     finally:
         sample.unpersist()
-    used = np.zeros(x.shape[1], bool)
-    used[np.unique(x, axis=1, return_index=True)[1]] = True  # of voters that always agree, one
-    used &= x.any(axis=0)
-    x, voters = x[:, used], [v for v, u in zip(voters, used, strict=True) if u]
-    if not voters:
+    kept = unlike(x)
+    if not kept:
         return Model({w: 4.0 for w in lexicon}, math.log(gold.mean() / (1 - gold.mean())))
-    weights, bias = linear(x, label_model(x, gold))
-    return Model(dict(zip(voters, weights.tolist(), strict=True)), bias)
+    x, patterns = x[:, kept], [patterns[j] for j in kept]
+    q = label_model(x[:, families(patterns)], gold)
+    weights, bias = calibrated(x.astype(np.float32), (q > 0.5).astype(np.float64), gold)
+    return Model(dict(zip(patterns, weights.tolist(), strict=True)), bias)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted", threshold: float = THRESHOLD) -> DataFrame:

@@ -356,7 +356,7 @@ def test_toxicity_on_held_out_labels(spark):
     out = both[both.held_out]
     hit = ((out.predicted == 1) & (out.toxic == 1)).sum()
     assert hit / max(1, (out.predicted == 1).sum()) > 0.95
-    assert hit / (out.toxic == 1).sum() > 0.85
+    assert hit / (out.toxic == 1).sum() >= 0.9
 
 
 def test_toxicity_odd_rows(spark):
@@ -379,6 +379,81 @@ def test_label_model_discounts_correlated_and_weak_voters():
     assert ((q > 0.5) == y).mean() > 0.95
 
 
+def test_mined_patterns_equal_plain_counts(spark, docs):
+    """Of patterns with equal rows one stays; none beyond chance is left out."""
+    import math
+    from collections import Counter
+
+    labels = pd.read_parquet(f"{SF}/labels.parquet").dropna()
+    rows = docs.merge(labels, on="doc_id")[["doc_id", "text", "toxic"]].drop_duplicates("doc_id")
+    rows = pd.concat([rows, pd.DataFrame([(9000 + i, f"fine zzgrump{'ab'[i % 2]} text {i}", 1) for i in range(30)], columns=rows.columns)])
+    sample = toxicity.sample_rows(spark.createDataFrame(rows[["doc_id", "text"]]), spark.createDataFrame(rows[["doc_id", "toxic"]]), "doc_id", "text", "toxic", 10_000)
+    n, positives = len(rows), int(rows.toxic.sum())
+    got = toxicity.mine(sample, positives, n)
+    where, pos = defaultdict(set), Counter()
+    for d, t, y in rows.itertuples(index=False):
+        for p in toxicity.found_in(t.encode()):
+            where[p].add(d)
+            pos[p] += y
+    rate, strong = positives / n, {}
+    for p, ids in where.items():
+        r = pos[p] / len(ids)
+        if pos[p] >= 4 and r > 2 * rate:
+            evidence = len(ids) * (r * math.log(r / rate) + ((1 - r) * math.log((1 - r) / (1 - rate)) if r < 1 else 0))
+            if round(evidence, 6) >= 13:
+                strong.setdefault(frozenset(ids), []).append(p)
+    want = [min(ps, key=lambda p: (len(p), p)) for ps in strong.values()]
+    assert sorted(got) == sorted(want)
+    assert len(got) > 2 and any(b"zzgrump" in p for p in got)
+
+
+def test_posterior_equals_bayes_row_by_row():
+    rng = np.random.default_rng(4)
+    y = rng.random(800) < 0.2
+    x = np.stack([np.where(y, rng.random(800) < 0.6, rng.random(800) < 0.02) for _ in range(5)] + [np.where(y, 0.1, 0.05) > rng.random(800)], 1)
+    x = np.column_stack([x, x[:, 0], x[:, 0]])  # said three times
+    gold = np.where(rng.random(800) < 0.08, ~y, y).astype(float)
+    model = toxicity.fit_label_model(x, gold)
+    q = model.posterior(x, gold)
+    for i in range(0, 800, 7):
+        odds = model.base / (1 - model.base)
+        for j, v in enumerate(x[i]):
+            odds *= (model.hit[j] / model.false[j] if v else (1 - model.hit[j]) / (1 - model.false[j])) ** model.share[j]
+        odds *= model.label_hit / model.label_false if gold[i] else (1 - model.label_hit) / (1 - model.label_false)
+        assert abs(q[i] - odds / (1 + odds)) < 1e-9
+    assert model.share[0] < 0.45 and model.share[1] > 0.6  # correlations within a class
+    outvoted = (q > 0.5) != (gold > 0)
+    assert outvoted.sum() > 20 and ((q > 0.5) == y).mean() > ((gold > 0) == y).mean()
+    # the classifier's weights are where the penalised likelihood is greatest
+    w = toxicity.linear(x[:, :6].astype(float), q)
+    a = np.column_stack([x[:, :6], np.ones(800)])
+    penalty = np.array([0.1] * 6 + [1e-6])
+    loss = lambda w: -(q * -np.logaddexp(0, -a @ w) + (1 - q) * -np.logaddexp(0, a @ w)).sum() + (penalty * w * w).sum() / 2
+    assert all(loss(w) <= loss(w + d) for k in range(7) for d in (np.eye(7)[k] * 1e-3, np.eye(7)[k] * -1e-3))
+
+
+def test_like_patterns_and_families_are_one():
+    rng = np.random.default_rng(6)
+    a = rng.random(500) < 0.3
+    b, none = a.copy(), np.zeros(500, bool)
+    b[np.flatnonzero(a)[:5]] = False
+    c = rng.random(500) < 0.3
+    assert toxicity.unlike(np.column_stack([a, b, none, c])) == [0, 3]
+    assert toxicity.families([b"idiot$", b"idi", b"tra*2", b"tra", b"trash$", b"#bangs"]) == [0, 3, 5]
+
+
+def test_voters_outvote_labels_and_no_voter_is_cut(spark):
+    """Hundreds of rare patterns, each of a language of its own, and some wrong labels."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}xinsult" for i in range(500)]
+    rows = [(k * 10_000 + i, f"some plain text {w} and {words[(i + 1) % 500]}", 1) for i, w in enumerate(words) for k in range(8)]
+    rows += [(10**6 + i, f"some plain text number {i} and the weather {i % 97}", int(i % 50 == 0)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = toxicity.score(df, model).toPandas()
+    assert len(model.weights) >= 500
+    assert (got.predicted == (got.doc_id < 10**6)).all()
+
+
 @pytest.mark.parametrize("as_text", [False, True])
 def test_encoder_equals_the_library_on_odd_texts(as_text):
     import public_tokenizers
