@@ -7,6 +7,7 @@ order. Two levels of null are kept apart: a null struct is a null array, a null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,21 +28,39 @@ def product(sizes: Column) -> Column:
     return F.aggregate(sizes, F.lit(1).cast("long"), lambda a, x: a * x)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _names(names: Column | Sequence[str]) -> Column:
-    return names if isinstance(names, Column) else (F.array(*map(F.lit, names)) if len(names) else F.array()).cast("array<string>")
+    return names if isinstance(names, Column) else F.expr(f"cast(array({', '.join(map(_text, names))}) as array<string>)")
 
 
 def _sizes(sizes: Column | Sequence[int | Column]) -> Column:
-    return sizes.cast("array<bigint>") if isinstance(sizes, Column) else (F.array(*[s if isinstance(s, Column) else F.lit(s) for s in sizes]) if len(sizes) else F.array()).cast("array<bigint>")
+    if isinstance(sizes, Column):
+        return sizes.cast("array<bigint>")
+    if any(isinstance(s, Column) for s in sizes):
+        return F.array(*[s if isinstance(s, Column) else F.lit(s) for s in sizes]).cast("array<bigint>")
+    return F.expr(f"cast(array({', '.join(f'{int(s)}L' for s in sizes)}) as array<bigint>)")
 
 
 # Constructors
 
 
 def nd_array(values: Column, names: Column | Sequence[str], sizes: Column | Sequence[int | Column], validate: bool = True) -> Column:
-    """An array; null values make a null array. Validation raises when a row is wrong."""
-    built = F.when(values.isNotNull(), F.struct(_names(names).alias(NAMES), _sizes(sizes).alias(SIZES), values.alias(VALUES)))
-    return nd_decode(built) if validate else built
+    """An array; null values make a null array. Validation raises when a row is wrong; where
+    names and sizes are known to the planner, only the number of values is left to check."""
+    known = not isinstance(names, Column) and not isinstance(sizes, Column) and not any(isinstance(s, Column) for s in sizes)
+
+    def built(v: Column) -> Column:
+        return F.struct(_names(names).alias(NAMES), _sizes(sizes).alias(SIZES), v.alias(VALUES))
+
+    if validate and known and len(names) == len(sizes) and None not in names and all(s >= 0 for s in sizes):
+        n = math.prod(sizes)
+        wrong = F.raise_error(F.concat(F.lit(f"{ShapeAndLengthMismatch.code}: {n} cells, "), F.size(values).cast("string"), F.lit(" values")))
+        return let(values, lambda v: F.when(v.isNull(), None).when(F.size(v) == n, built(v)).otherwise(wrong))
+    made = F.when(values.isNotNull(), built(values))
+    return nd_decode(made) if validate else made
 
 
 def nd_scalar(value: Column) -> Column:
@@ -142,7 +161,12 @@ def nd_error_code(a: Column) -> Column:
 
 def nd_decode(a: Column) -> Column:
     """The array itself; a row that is wrong fails the job with its error's code."""
-    return F.when(a.isNull(), None).when(nd_error_code(a).isNull(), a).otherwise(F.raise_error(F.concat(nd_error_code(a), F.lit(": "), F.to_json(F.struct(a[NAMES].alias(NAMES), a[SIZES].alias(SIZES), F.size(a[VALUES]).alias("values"))))))
+
+    def decided(x: Column, code: Column) -> Column:
+        said = F.to_json(F.struct(x[NAMES].alias(NAMES), x[SIZES].alias(SIZES), F.size(x[VALUES]).alias("values")))
+        return F.when(x.isNull() | code.isNull(), x).otherwise(F.raise_error(F.concat(code, F.lit(": "), said)))
+
+    return let(a, lambda x: let(nd_error_code(x), lambda code: decided(x, code)))
 
 
 def encode_batches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -166,5 +190,9 @@ def decode_batches(df: DataFrame, columns: Sequence[str] | None = None, need_met
 
 def nd_cast(a: Column, element: str, strict: bool = False) -> Column:
     """Cells cast to the type, shape kept; what can't be cast is null, or fails if strict."""
-    cells = F.transform(a[VALUES], lambda x: x.cast(element) if strict else x.try_cast(element))
-    return F.when(a.isNotNull(), F.struct(a[NAMES].alias(NAMES), a[SIZES].alias(SIZES), cells.alias(VALUES)))
+
+    def cast(x: Column) -> Column:
+        cells = F.transform(x[VALUES], lambda v: v.cast(element) if strict else v.try_cast(element))
+        return F.when(x.isNotNull(), F.struct(x[NAMES].alias(NAMES), x[SIZES].alias(SIZES), cells.alias(VALUES)))
+
+    return let(a, cast)

@@ -5,7 +5,12 @@ Three ways give the same cells:
 * static: dimensions known to the planner; repeat counts are literals;
 * dynamic: dimensions are data and may differ by row;
 * relational: cells are rows, arrays meet by a join on the dimensions they share. Nothing
-  is repeated in memory and a join is spread over the cluster: the way for large arrays.
+  is repeated in memory and a join is spread over the cluster.
+
+A table is made by exploding positions and reading every array at its own place of the
+position, so no array is expanded in memory; only ``nd_broadcast``, whose result is an
+array, does that. A row whose target is larger than ``PACKED_CELLS`` is cut into slabs
+first, which are dealt over the cluster, each with its part of the largest arrays.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from ..functions.arrays import let, literal_dimensions, nd_dimensions, product
 from ..functions.schema import NAMES, SIZES, VALUES, check_nd, element_type
 from ..plans.dims import Dimension, broadcast_target, dimensions, flat_size, repeats_or_raise, strides
 
-#: Cells of one array in one row beyond which ``broadcast_to_table`` should give way to tables.
+#: Cells of a row's target that one task turns into rows; beyond, the row is cut into slabs.
 PACKED_CELLS = 10_000_000
 
 
@@ -105,27 +110,78 @@ def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims
         raise NoBroadcastShape("NO_BROADCAST_SHAPE: there are no columns")
     for c in columns:
         check_nd(df.schema[c].dataType, c)
-    kinds = {c: element_type(df, c).simpleString() for c in columns}
+    taken = {c.lower() for c in df.columns} | {c.lower() for c in coordinates}
+
+    def own(name: str) -> str:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        return name
+
+    at, part = own("__pos"), own("__slab")
     if dims is not None:
-        target = broadcast_target([dimensions(dims[c]) for c in columns])
-        # A scalar's value goes along as a plain column: nothing is repeated in memory.
-        scalars = [c for c in columns if target and not len(dims[c])]
-        flat = [(F.element_at(F.col(c)[VALUES], 1) if c in scalars else broadcast_static(F.col(c), dims[c], target, kinds[c])).alias(c) for c in columns]
-        packed = df.select(*keep, *flat)
-    else:
-        if coordinates:
-            raise ValueError("coordinates need static dimensions")
-        held = df.withColumn("__target", target_of([F.col(c) for c in columns]))
-        scalars = []
-        packed = held.select(*keep, *[broadcast_dynamic(F.col(c), F.col("__target"), kinds[c]).alias(c) for c in columns])
-    arrays = [c for c in columns if c not in scalars]
-    cells = F.arrays_zip(*arrays)
-    if not coordinates:
-        return packed.select(*keep, *scalars, F.inline(cells)).select(*keep, *columns)
-    rows = packed.select(*keep, *scalars, F.posexplode(cells).alias("__pos", "__cell"))
-    sizes = [d.size for d in target]
-    where = [F.col("__pos").cast("long").alias(coordinates[0])] + [F.expr(f"__pos div {step} % {size}").alias(name) for name, step, size in zip(coordinates[1:], strides(sizes), sizes, strict=False)]
-    return rows.select(*keep, *where, *[c if c in scalars else F.col(f"__cell.{c}").alias(c) for c in columns])
+        known = {c: dimensions(dims[c]) for c in columns}
+        target = broadcast_target(list(known.values()))
+        n = flat_size(target)
+        each = {c: repeats_or_raise(known[c], target).each for c in columns}
+        whole = [c for c in columns if known[c] == target]
+        rows = df.select(*keep, *[F.col(c)[VALUES].alias(c) for c in columns])
+        first = F.lit(0)
+        if n > PACKED_CELLS:  # slabs of the arrays that have the target's shape; the others go along
+            rows = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(PACKED_CELLS).cast("long")))).repartition()
+            first = F.col(part)
+            rows = rows.withColumns({c: F.slice(c, (first + 1).cast("int"), F.lit(PACKED_CELLS)) for c in whole})
+            count = F.least(F.lit(PACKED_CELLS).cast("long"), F.lit(n) - first)
+        else:
+            count = F.lit(n).cast("long")
+        cells = rows.withColumn(at, F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))))
+        place = F.col(at) + first
+
+        def cell(c: str) -> Column:
+            if not known[c]:
+                return F.get(F.col(c), F.lit(0))
+            if known[c] == target:
+                return F.get(F.col(c), F.col(at).cast("int"))
+            return F.get(F.col(c), _div(place, each[c], flat_size(known[c])))
+
+        names, sizes = list(coordinates), [d.size for d in target]
+        where = [place.cast("long").alias(name) for name in names[:1]] + [_div(place, step, size).cast("long").alias(name) for name, step, size in zip(names[1:], strides(sizes), sizes, strict=False)]
+        return cells.select(*keep, *where, *[cell(c).alias(c) for c in columns])
+    if coordinates:
+        raise ValueError("coordinates need static dimensions")
+    # SQL text, as these expressions are long and every row's dimensions are asked for often.
+    best, total, top = own("__target"), own("__cells"), own("__rank")
+    shapes, steps = {c: own(f"__dims_{i}") for i, c in enumerate(columns)}, {c: own(f"__each_{i}") for i, c in enumerate(columns)}
+    own_dims = [f"zip_with({_quoted(c)}.{NAMES}, {_quoted(c)}.{SIZES}, (n, s) -> named_struct('name', n, 'size', cast(s as bigint))) as {shapes[c]}" for c in columns]
+    kept = [_quoted(k) for k in keep]
+    held = df.selectExpr(*kept, *map(_quoted, columns), *own_dims)
+    largest = ", ".join(f"coalesce(size({d}), 0)" for d in shapes.values())
+    first = " ".join(f"when coalesce(size({d}), 0) = {top} then {d}" for d in shapes.values())
+    held = held.selectExpr("*", f"greatest({largest}, 0) as {top}").selectExpr("*", f"coalesce(case {first} end, cast(array() as array<struct<name: string, size: bigint>>)) as {best}")
+    held = held.selectExpr(*kept, f"aggregate({best}, 1L, (n, d) -> n * d.size) as {total}", *[f"{_each_sql(_quoted(c), shapes[c], best)} as {steps[c]}" for c in columns], *[f"{_quoted(c)} as {shapes[c]}" for c in columns])
+    held = held.selectExpr(*kept, total, *steps.values(), *[f"{shapes[c]}.{VALUES} as {_quoted(c)}" for c in columns])
+    # Errors of a row must show though it has no cells: its counts are asked for first.
+    asked = " + ".join(steps.values())
+    cells = held.withColumn(at, F.expr(f"explode(case when {total} > 0 then sequence(0L, {total} - 1) when {asked} < 0 then array(0L) end)"))
+    return cells.selectExpr(*kept, *[f"get({_quoted(c)}, cast({at} div {steps[c]} % size({_quoted(c)}) as int)) as {_quoted(c)}" for c in columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _each_sql(a: str, dims: str, target: str) -> str:
+    """How often each cell of ``a`` is repeated in the shape ``target``; 1 for a null array,
+    an error where ``a`` can't be expanded to it."""
+    wrong = f"raise_error(concat('{InvalidShapes.code}: ', to_json({dims}), ' can\\'t be expanded to ', to_json({target})))"
+    start = f"get(filter(sequence(0, greatest(size({target}) - size({dims}), 0)), i -> slice({target}, i + 1, size({dims})) = {dims}), 0)"
+    each = f"aggregate(slice({target}, {start} + size({dims}) + 1, size({target})), 1L, (n, d) -> n * d.size)"
+    return f"case when {a} is null or {dims} = {target} then 1L when size({dims}) = 0 then greatest(1L, aggregate({target}, 1L, (n, d) -> n * d.size)) when size({dims}) > size({target}) or {start} is null then cast({wrong} as bigint) else greatest(1L, {each}) end"
+
+
+def _div(place: Column, step: int, size: int) -> Column:
+    """``place div step % size``, as an index."""
+    return (F.call_function("div", place, F.lit(max(1, step)).cast("long")) % F.lit(max(1, size))).cast("int")
 
 
 def broadcast_tables(target: DataFrame, *others: tuple[DataFrame, Sequence[str]]) -> DataFrame:

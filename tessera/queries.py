@@ -136,16 +136,17 @@ def user_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select e.vec_id, c.i as comp, e.label, e.embedding[c.i + 1] as value, 0.5::double as weight from embeddings e, range(64) c(i)")
 def nd_broadcast_batch(spark, sf_dir):
-    """The flagship: one batch per vector with one-dimensional and scalar arrays, dimensions
-    known to the planner. Narrow from scan to result."""
-    dims = {"value": [("comp", COMPONENTS)], "label": [], "comp": [("comp", COMPONENTS)], "weight": []}
-    return bc.broadcast_to_table(vector_batches(spark, sf_dir), list(dims), dims, keep=["vec_id"]).select("vec_id", "comp", "label", "value", "weight")
+    """The flagship: two-dimensional arrays over (vec, comp) of many vectors, one-dimensional
+    ones over vec and over comp, and a scalar, dimensions read from each batch."""
+    return bc.broadcast_to_table(embedding_batches(spark, sf_dir), ["value", "vec_id", "label", "comp", "weight"]).select("vec_id", "comp", "label", "value", "weight")
 
 
 @query(ORACLES["nd_broadcast_batch"])
 def nd_broadcast_block(spark, sf_dir):
-    """The same cells from two-dimensional batches of many vectors, dimensions read from each."""
-    return bc.broadcast_to_table(embedding_batches(spark, sf_dir), ["value", "vec_id", "label", "comp", "weight"]).select("vec_id", "comp", "label", "value", "weight")
+    """The same cells from batches cut to one vector each, dimensions known to the planner:
+    narrow from scan to result."""
+    dims = {"value": [("comp", COMPONENTS)], "label": [], "comp": [("comp", COMPONENTS)], "weight": []}
+    return bc.broadcast_to_table(vector_batches(spark, sf_dir), list(dims), dims, keep=["vec_id"]).select("vec_id", "comp", "label", "value", "weight")
 
 
 @query("select e.vec_id, e.embedding[c.i + 1] as value, 0.5::double as weight from embeddings e, range(64) c(i)")
