@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DimensionSizeMismatch, NoDimensionNames, NoDimensionSizes, NoValues, NullDimension, ShapeAndLengthMismatch
 from ..plans.dims import Dimension, dimensions
-from .schema import NAMES, SIZES, VALUES, check_marked, check_nd, marked, nd_type
+from .schema import METADATA_KEY, NAMES, SIZES, VALUES, check_marked, check_nd, marked, nd_type
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -70,7 +70,7 @@ def nd_scalar(value: Column) -> Column:
 
 def timestamp_of(value: Column, unit: str, zoned: bool = False) -> Column:
     """A timestamp from its count of s, ms, us or ns since 1970 (ns are cut to us)."""
-    made = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros, "ns": lambda v: F.timestamp_micros(F.floor(v / 1000).cast("long"))}[unit](value)
+    made = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros, "ns": lambda v: F.timestamp_micros(F.call_function("div", v - F.pmod(v, F.lit(1000)), F.lit(1000).cast("long")))}[unit](value)
     return made if zoned else F.to_utc_timestamp(made, F.current_timezone()).cast("timestamp_ntz")
 
 
@@ -91,15 +91,32 @@ def nd_batch(df: DataFrame, **columns: Column) -> DataFrame:
     return marked(df.select(*[c.alias(n) for n, c in columns.items()]))
 
 
-def nd_from_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], dim: str) -> DataFrame:
+def nd_from_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], dim: str, max_cells: int | None = None, origin: str = "origin") -> DataFrame:
     """One batch per key: each value column as an array over ``dim``, ordered by ``order``.
-    A key's rows meet in one task, so keys should be of bounded size (see ``chunk_table``)."""
+
+    A key's rows meet in one row of the result. Where they may be too many for that,
+    ``max_cells`` cuts each key into batches of so many cells, told apart by column
+    ``origin``, the place of their first cell; ranks come from a sort, which spills."""
+    if max_cells is not None:
+        rank = _free(df, "__rank")
+        df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        df = df.withColumn(origin, F.col(rank) - F.col(rank) % max_cells)
+        keys, order = [*keys, origin], [rank]
     cells = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])))
-    packed = df.groupBy(*keys).agg(cells.alias("__cells"))
-    arrays = [nd_array(F.col(f"__cells.v{i}"), [dim], [F.size("__cells")], validate=False).alias(c) for i, c in enumerate(values)]
+    held = _free(df, "__cells")
+    packed = df.groupBy(*keys).agg(cells.alias(held))
+    arrays = [nd_array(F.col(f"{held}.v{i}"), [dim], [F.size(held)], validate=False).alias(c) for i, c in enumerate(values)]
     return marked(packed.select(*keys, *arrays), list(values))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 # Accessors
 
 
@@ -169,20 +186,20 @@ def nd_decode(a: Column) -> Column:
     return let(a, lambda x: let(nd_error_code(x), lambda code: decided(x, code)))
 
 
-def encode_batches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def encode_batches(df: DataFrame, columns: Sequence[str] | None = None, key: str = METADATA_KEY) -> DataFrame:
     """``df`` with its arrays validated and marked: ready for any Spark writer."""
     columns = list(columns) if columns is not None else df.columns
     for c in columns:
         check_nd(df.schema[c].dataType, c)
-    return marked(df.withColumns({c: nd_decode(F.col(c)) for c in columns}), columns)
+    return marked(df.withColumns({c: nd_decode(F.col(c)) for c in columns}), columns, key)
 
 
-def decode_batches(df: DataFrame, columns: Sequence[str] | None = None, need_metadata: bool = True) -> DataFrame:
+def decode_batches(df: DataFrame, columns: Sequence[str] | None = None, need_metadata: bool = True, key: str = METADATA_KEY) -> DataFrame:
     """Read-side of ``encode_batches``: checks metadata (unless told not to), types and rows."""
     columns = list(columns) if columns is not None else df.columns
     if need_metadata:
-        check_marked(df, columns)
-    return encode_batches(df, columns)
+        check_marked(df, columns, key)
+    return encode_batches(df, columns, key)
 
 
 # Cast

@@ -14,9 +14,9 @@ from ..errors import DimensionSizeMismatch, ListExpected, MissingEncodingMetadat
 
 #: The fields of an encoded array.
 NAMES, SIZES, VALUES = "dimension_names", "dimension_sizes", "values"
-#: Metadata key that marks a field as encoded; other producers' keys of this form are read too.
+#: Metadata key that marks a field as encoded. Other producers use keys of their own: every
+#: function that reads or writes metadata takes the key as a parameter.
 METADATA_KEY = "nd-array-schema"
-_KEYS = re.compile(r"nd-(?:\w+-)?array-schema")
 
 #: Element types other engines of the format support; Spark's others are accepted unless strict.
 STRICT_TYPES = (T.NullType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BinaryType)
@@ -76,6 +76,17 @@ def to_nd_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, nd_type(f.dataType, f.nullable), False) for f in schema.fields])
 
 
+def plain_field(name: str, kind: T.DataType) -> T.StructField:
+    """The plain field of an encoded one: its elements' type and nullability."""
+    values = check_nd(kind, name)[VALUES].dataType
+    return T.StructField(name, values.elementType, values.containsNull)
+
+
+def encoded_schema(schema: T.StructType, key: str = METADATA_KEY, version: str = __version__) -> T.StructType:
+    """``to_nd_schema`` with the metadata that encoded batches carry; no data is needed."""
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {key: version}) for f in to_nd_schema(schema).fields])
+
+
 def to_plain_schema(schema: T.StructType, strict: bool = False) -> T.StructType:
     """The inverse; fields that aren't encoded arrays are left out, or an error if strict."""
     out = []
@@ -101,15 +112,15 @@ def marked(df: DataFrame, columns: Sequence[str] | None = None, key: str = METAD
     return df
 
 
-def check_marked(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+def check_marked(df: DataFrame, columns: Sequence[str] | None = None, key: str = METADATA_KEY) -> list[str]:
     """The array columns, all of which must carry encoding metadata of a known version."""
     found = list(columns) if columns is not None else df.columns
     for c in found:
-        versions = [v for k, v in (df.schema[c].metadata or {}).items() if _KEYS.fullmatch(k)]
-        if not versions:
-            raise MissingEncodingMetadata(f"MISSING_ENCODING_METADATA: {c}")
-        if not compatible_version(versions[0]):
-            raise UnsupportedEncodingVersion(f"UNSUPPORTED_ENCODING_VERSION: {versions[0]}")
+        version = (df.schema[c].metadata or {}).get(key)
+        if version is None:
+            raise MissingEncodingMetadata(f"MISSING_ENCODING_METADATA: {c} has no {key}")
+        if not compatible_version(version):
+            raise UnsupportedEncodingVersion(f"UNSUPPORTED_ENCODING_VERSION: {version}")
     return found
 
 
@@ -117,8 +128,3 @@ def schema_rows(df_or_schema: DataFrame | T.StructType) -> list[tuple[int, str,
     """(position, name, type, nullable) of each field."""
     schema = df_or_schema.schema if isinstance(df_or_schema, DataFrame) else df_or_schema
     return [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema.fields)]
-
-
-def null_array(element: T.DataType | str):
-    """A null array of the type."""
-    return F.lit(None).cast(nd_type(element))

@@ -128,7 +128,7 @@ def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims
         rows = df.select(*keep, *[F.col(c)[VALUES].alias(c) for c in columns])
         first = F.lit(0)
         if n > PACKED_CELLS:  # slabs of the arrays that have the target's shape; the others go along
-            rows = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(PACKED_CELLS).cast("long")))).repartition()
+            rows = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(PACKED_CELLS).cast("long")))).repartition(part)
             first = F.col(part)
             rows = rows.withColumns({c: F.slice(c, (first + 1).cast("int"), F.lit(PACKED_CELLS)) for c in whole})
             count = F.least(F.lit(PACKED_CELLS).cast("long"), F.lit(n) - first)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import ChunkShapeMismatch
 from ..functions.arrays import let, nd_rank, product
 from ..functions.schema import SIZES, VALUES, check_nd
-from ..plans.dims import check_chunk_shape, strides
+from ..plans.dims import check_chunk_shape
 
 
 def starts(size: Column, chunk: int) -> Column:
@@ -55,7 +55,7 @@ def nd_chunks(a: Column, chunk_shape: Sequence[int]) -> Column:
                 flat, inner = at, F.lit(1).cast("long")
                 stride = F.lit(1).cast("long")
                 for d in reversed(range(n)):
-                    flat = flat + (o[d] + F.floor(k / inner) % e[d]) * stride
+                    flat = flat + (o[d] + F.call_function("div", k, inner) % e[d]) * stride
                     inner, stride = inner * e[d], stride * F.element_at(sizes, d + 1)
                 return F.get(a[VALUES], flat.cast("int"))
 
@@ -131,8 +131,3 @@ def unchunk(chunks: DataFrame, dims: Sequence[str], value: str, keys: Sequence[s
         at.insert(0, F.expr(f"o{i} + (pos div ({inner})) % s{i}").cast("long").alias(dims[i]))
         inner += f" * s{i}"
     return rows.select(*keys, *at, value)
-
-
-def grid_strides(sizes: Sequence[int]) -> list[int]:
-    """Row-major strides, in elements."""
-    return strides(sizes)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import UnsupportedEncodingVersion
 from .functions import arrays as nd
 from .functions import schema as nds
 from .operators import broadcast as bc
@@ -238,6 +239,75 @@ def nd_broadcast_batch_relational(spark, sf_dir):
     return bc.broadcast_tables(cells, (e.select("vec_id", "label"), ["vec_id"]), (spark.range(1).select(F.lit(0.5).alias("weight")), []))
 
 
+# Constructors of moments and bytes
+
+
+@query("select event_id, ts as chrono, ts as micros, date_trunc('milliseconds', ts) as millis, date_trunc('second', ts) as seconds, ts as nanos, encode(event_type) as bytes, date_trunc('second', ts) as pair_0, date_trunc('second', ts) + interval 1 second as pair_1 from events")
+def nd_moments(spark, sf_dir):
+    """Scalars of a moment, of its counts in each unit, and of bytes; a vector of counts."""
+    e = _table(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp")) + F.expr("unix_micros(cast(timestamp_ntz'1970-01-01 00:00:00' as timestamp)) * -1")
+    s = F.call_function("div", us, F.lit(1_000_000).cast("long"))
+    batch = e.select(
+        "event_id",
+        nd.nd_scalar(F.col("ts")).alias("chrono"),
+        nd.nd_scalar_timestamp(us, "us").alias("micros"),
+        nd.nd_scalar_timestamp(F.call_function("div", us, F.lit(1000).cast("long")), "ms").alias("millis"),
+        nd.nd_scalar_timestamp(s, "s").alias("seconds"),
+        nd.nd_scalar_timestamp(us * 1000 + 999, "ns").alias("nanos"),
+        nd.nd_scalar(F.encode("event_type", "UTF-8")).alias("bytes"),
+        nd.nd_timestamps(F.array(s, s + 1), "s", ["moment"], [2]).alias("pair"),
+    )
+    first = lambda c: F.element_at(F.col(f"{c}.values"), 1).alias(c)
+    return batch.select("event_id", *map(first, ("chrono", "micros", "millis", "seconds", "nanos", "bytes")), *[F.element_at("pair.values", i + 1).alias(f"pair_{i}") for i in (0, 1)])
+
+
+@query("select o_orderkey, trunc(o_totalprice)::bigint as price, substr(o_orderpriority, 1, 1)::int as priority from orders")
+def nd_cast_strict(spark, sf_dir):
+    """What can't be cast would fail the job (see tests); here everything can."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", nd.nd_cast(nd.nd_scalar(F.col("o_totalprice")), "bigint", strict=True).alias("p"), nd.nd_cast(nd.nd_scalar(F.substring("o_orderpriority", 1, 1)), "int", strict=True).alias("q"))
+    return o.select("o_orderkey", F.element_at("p.values", 1).alias("price"), F.element_at("q.values", 1).alias("priority"))
+
+
+@query("select c_custkey, c_acctbal, c_name from customer")
+def nd_decode_unmarked(spark, sf_dir):
+    """Arrays of a producer that leaves no metadata: types and rows are checked all the same."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", nd.nd_scalar(F.col("c_acctbal")).alias("c_acctbal"), nd.nd_scalar(F.col("c_name")).alias("c_name"))
+    decoded = nd.decode_batches(c, ["c_acctbal", "c_name"], need_metadata=False)
+    return bc.broadcast_to_table(decoded, ["c_acctbal", "c_name"], keep=["c_custkey"])
+
+
+@query("select r_regionkey, list_contains(['0.1.0', '1.2', '10', '2.0.0-rc1'], v) as known, v as version from region, (values ('0.1.0'), ('1.2'), ('10'), ('2.0.0-rc1'), ('?'), (''), ('a.1')) t(v)")
+def nd_versions(spark, sf_dir):
+    """Whether a batch marked with a version is decoded."""
+    r = _table(spark, sf_dir, "region")
+    out = None
+    for v in ("0.1.0", "1.2", "10", "2.0.0-rc1", "?", "", "a.1"):
+        marked = nds.marked(r.select(nd.nd_scalar(F.col("r_regionkey")).alias("r_regionkey")), ["r_regionkey"], version=v)
+        try:
+            rows, known = nd.decode_batches(marked), True
+        except UnsupportedEncodingVersion:
+            rows, known = marked, False
+        rows = rows.select(F.element_at("r_regionkey.values", 1).alias("r_regionkey"), F.lit(known).alias("known"), F.lit(v).alias("version"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("select row_number() over ()::int - 1 as pos, column_name as name, 'nd-array-schema' as key, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end as element from (describe events)")
+def nd_encoded_schema(spark, sf_dir):
+    """The encoded schema with its metadata, from a schema alone."""
+    there = nds.encoded_schema(_table(spark, sf_dir, "events").schema)
+    rows = [(i, f.name, *f.metadata, nds.plain_field(f.name, f.dataType).dataType.simpleString()) for i, f in enumerate(there.fields)]
+    return spark.createDataFrame(rows, "pos int, name string, key string, element string")
+
+
+@query("select user_id, (r // 50) * 50 as origin, count(*) as cells, min(event_id) as first_event from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as r from events) group by all")
+def nd_from_table_in_parts(spark, sf_dir):
+    """A key's rows in batches of bounded size."""
+    b = nd.nd_from_table(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id"], "event", max_cells=50)
+    return b.select("user_id", "origin", nd.nd_flat_size(F.col("event_id")).alias("cells"), F.array_min("event_id.values").alias("first_event"))
+
+
 # Accessors and shape algebra
 
 
@@ -261,7 +331,11 @@ def _dims(text: str) -> tuple[Dimension, ...]:
 COMPARED = [("", "", 0), ("", "x2", -1), ("x2", "", 1), ("x2", "x2 y3", -1), ("x2 y3", "y3", 1), ("x2 y3", "x2 y3 z4", None), ("x2", "y3", None), ("x2", "x3 y3", None), ("x2 y3", "y3 x2", None)]
 
 
-@query(_values(COMPARED, "a, b, relation"))
+_SHAPES_SQL = """with recursive given as ({rows}),
+dims as (select *, list_filter(string_split(a, ' '), lambda p: p <> '') as da, list_filter(string_split(b, ' '), lambda p: p <> '') as db from given)"""
+
+
+@query(_SHAPES_SQL.format(rows=_values([c[:2] for c in COMPARED], "a, b")) + " select a, b, case when a = b then 0 when len(da) < len(db) and (len(da) = 0 or (len(da) = 1 and list_contains(db, da[1]))) then -1 when len(db) < len(da) and (len(db) = 0 or (len(db) = 1 and list_contains(da, db[1]))) then 1 end as relation from dims")
 def nd_compare_shapes(spark, sf_dir):
     return spark.createDataFrame([(a, b, plan.compare(_dims(a), _dims(b))) for a, b, _ in COMPARED], "a string, b string, relation int")
 
@@ -269,7 +343,7 @@ def nd_compare_shapes(spark, sf_dir):
 TARGETS = [("", "", "", ""), ("x2", "", "y3", "x2"), ("x2", "x2 y3", "", "x2 y3"), ("x2 y3", "y3 z4", "x2", "x2 y3"), ("", "x2", "x2 y3 z4", "x2 y3 z4")]
 
 
-@query(_values(TARGETS, "a, b, c, target"))
+@query("select a, b, c, case when n_a >= n_b and n_a >= n_c then a when n_b >= n_c then b else c end as target from (select *, len(string_split(trim(a || ' .'), ' ')) as n_a, len(string_split(trim(b || ' .'), ' ')) as n_b, len(string_split(trim(c || ' .'), ' ')) as n_c from (" + _values([t[:3] for t in TARGETS], "a, b, c") + "))")
 def nd_find_target(spark, sf_dir):
     """By the row's own data; the planner's choice is the same (see tests)."""
     rows = spark.createDataFrame([t[:3] for t in TARGETS], "a string, b string, c string")
@@ -285,7 +359,13 @@ def nd_find_target(spark, sf_dir):
 RESHAPES = [("", "", 1, 1), ("", "x2 y3", 1, 6), ("x2", "x2 y3", 1, 3), ("y3", "x2 y3", 2, 1), ("y3", "x2 y3 z4", 2, 4), ("x2 y3", "x2 y3 z4", 1, 4), ("y3 z4", "x2 y3 z4", 2, 1), ("x2 z4", "x2 y3 z4", None, None), ("y3 x2", "x2 y3", None, None), ("y2", "x2 y3", None, None), ("x2 y3", "x2", None, None), ("x2", "y3", None, None), ("x2", "e0 x2", 0, 1), ("", "e0", 1, 0), ("x2", "x2", 1, 1), ("e0", "e0 x2", 1, 2), ("x2", "x2 y3 x2", 1, 6)]
 
 
-@query("select source, target, whole::bigint as whole, each::bigint as each from (" + _values(RESHAPES, "source, target, whole, each") + ")")
+@query(f"""with given as ({_values([r[:2] for r in RESHAPES], 'source, target')}),
+dims as (select *, list_filter(string_split(source, ' '), lambda p: p <> '') as s, list_filter(string_split(target, ' '), lambda p: p <> '') as t from given),
+placed as (select *, case when s = t then -1 when len(s) = 0 then 0 else list_min(list_filter(range(0, greatest(len(t) - len(s), -1) + 1), lambda i: list_slice(t, i + 1, i + len(s)) = s)) end as place from dims)
+select source, target,
+  case when place = -1 then 1 else list_aggregate(list_transform(list_slice(t, 1, place), lambda p: substr(p, 2)::double) || [1.0], 'product') end::bigint as whole,
+  case when place = -1 then 1 else list_aggregate(list_transform(list_slice(t, place + len(s) + 1, len(t)), lambda p: substr(p, 2)::double) || [1.0], 'product') end::bigint as each
+from placed where place is not null union all select source, target, null, null from placed where place is null""")
 def nd_reshape_args(spark, sf_dir):
     rows = spark.createDataFrame([r[:2] for r in RESHAPES], "source string, target string")
 
@@ -305,7 +385,14 @@ INVALID = [
 ]
 
 
-@query(_values([(r[0], r[4]) for r in INVALID], "id, code") + " union all select 14, null")
+_lists = lambda v: "null" if v is None else "[" + ", ".join("null" if x is None else repr(x) for x in v) + "]"
+
+
+@query("with given as (" + " union all ".join(f"select {i} as id, {_lists(n)}::varchar[] as n, {_lists(s)}::bigint[] as s, {_lists(v)}::int[] as v" for i, n, s, v, _ in INVALID) + """)
+select id, case when n is null then 'NO_DIMENSION_NAMES' when s is null then 'NO_DIMENSION_SIZES' when v is null then 'NO_VALUES'
+  when len(list_filter(n, lambda x: x is null)) + len(list_filter(s, lambda x: x is null)) > 0 then 'NULL_DIMENSION' when len(n) <> len(s) then 'DIMENSION_SIZE_MISMATCH'
+  when len(list_filter(s, lambda x: x < 0)) > 0 or list_aggregate(list_transform(s, lambda x: x::double) || [1.0], 'product') <> len(v) then 'SHAPE_AND_LENGTH_MISMATCH' end as code
+from given union all select 14, null""")
 def nd_validate_codes(spark, sf_dir):
     rows = spark.createDataFrame([(r[0], {"dimension_names": r[1], "dimension_sizes": r[2], "values": r[3]}) for r in INVALID] + [(14, None)], "id int, a struct<dimension_names array<string>, dimension_sizes array<bigint>, values array<int>>")
     return rows.select("id", nd.nd_error_code(F.col("a")).alias("code"))
@@ -405,11 +492,41 @@ def nd_chunk_in_row(spark, sf_dir):
 
 @query(f"select i as vec_id, (j // 24) * 24 as origin, (j % 24)::int as pos, v as value from ({_CELLS_SQL})")
 def nd_chunk_stream(spark, sf_dir):
-    """Arrays as they arrive: the stateless cut a stream runs (tests start it as one)."""
-    c = streaming.stream_chunks(vector_batches(spark, sf_dir), "value", (24,), keep=["vec_id"])
+    """A stream over the table's files, each arriving micro-batch of arrays cut on its own,
+    written exactly once until all that is there is read; the result is what was written."""
+    fields = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    e = spark.readStream.schema(fields).parquet(f"{sf_dir}/embeddings.parque[t]")  # a pattern may name a file or a folder
+    arrays = e.select("vec_id", nd.nd_array(F.col("embedding"), ["comp"], [COMPONENTS]).alias("value"))
+    folder = streaming.shared_folder(spark)
+    cut = streaming.stream_chunks(arrays, "value", (24,), keep=["vec_id"])
+    streaming.write_available(cut, f"{folder}/chunks", f"{folder}/state").awaitTermination()
+    c = spark.read.schema(cut.schema).parquet(f"{folder}/chunks")
     return c.select("vec_id", F.element_at("chunk_indices", 1).alias("origin"), F.posexplode("values").alias("pos", "value"))
 
 
+def _typed_chunks(name: str, cell: tuple[str, str]) -> None:
+    """Chunks of arrays of one type, with null cells; cut within rows."""
+
+    def run(spark, sf_dir):
+        e = _table(spark, sf_dir, "events")
+        packed = nd.nd_from_table(e.select("user_id", "event_id", F.expr(cell[0]).alias("v")), ["user_id"], ["event_id"], ["v"], "event")
+        c = ch.chunk_batches(packed, "v", (16,), keep=["user_id"])
+        return c.select("user_id", F.element_at("chunk_indices", 1).alias("origin"), F.posexplode("values").alias("pos", "v"))
+
+    run.__name__ = f"nd_chunk_{name}"
+    query(f"select user_id, (r // 16) * 16 as origin, (r % 16)::int as pos, v from (select user_id, row_number() over (partition by user_id order by event_id) - 1 as r, {cell[1]} as v from events)")(run)
+
+
+for _name, _cell in {
+    "boolean": ("if(event_id % 5 = 0, null, value > 50)", "case when event_id % 5 = 0 then null else value > 50 end"),
+    "string": ("if(event_id % 5 = 0, null, event_type)", "case when event_id % 5 = 0 then null else event_type end"),
+    "binary": ("if(event_id % 5 = 0, null, encode(event_type, 'UTF-8'))", "case when event_id % 5 = 0 then null else encode(event_type) end"),
+    "timestamp": ("if(event_id % 5 = 0, null, ts)", "case when event_id % 5 = 0 then null else ts end"),
+    "null": ("cast(null as int)", "null::int"),
+}.items():
+    _typed_chunks(_name, _cell)
+
+
 AUTO = [(1, 131072, (("N_PROF", 44452), ("N_LEVELS", 3660))), (2, 131072, (("a", 1_000_000), ("b", 2))), (3, 4096, (("a", 100_000), ("b", 3), ("c", 3), ("d", 3))), (4, 4096, (("a", 50), ("b", 40))), (5, 4096, (("a", 4096), ("b", 4096), ("c", 4096))), (6, 1000, (("a", 7),)), (7, 1000, (("a", 99_999),))]
 _AUTO_ROWS = [(g, target, i, name, size) for g, target, dims in AUTO for i, (name, size) in enumerate(dims)]
 
@@ -427,7 +544,10 @@ def nd_auto_chunk(spark, sf_dir):
     return spark.createDataFrame(rows, "g int, pos int, name string, chunk long")
 
 
-@query(_values([("N_PROF", 0, 1261), ("N_LEVELS", 0, 103), ("N_PROF", 1, 1261)], "name, g, chunk"))
+@query("""with d as (select * from (values (0, 2, 'N_PROF', 44452, 44452.0), (0, 2, 'N_LEVELS', 3660, 44452.0), (1, 1, 'N_PROF', 44452, 44452.0)) t(g, rank, name, size, largest)),
+s as (select g, any_value(rank) as rank, power(131072.0::double / product(size / largest), 1.0::double / any_value(rank)) as scale from d group by g),
+c as (select g, name, size, greatest(1, least(floor(size / largest * scale), size)) as chunk from d join s using (g))
+select name, g, (min(chunk) over (partition by name))::int as chunk from c""")
 def nd_auto_chunk_aligned(spark, sf_dir):
     groups = [plan.dimensions([("N_PROF", 44452), ("N_LEVELS", 3660)]), plan.dimensions([("N_PROF", 44452)])]
     rows = [(d.name, g, d.size) for g, dims in enumerate(plan.aligned_chunks(groups, 131072)) for d in dims]

@@ -14,9 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import __version__
 from ..errors import SizeOutOfRange
 from ..functions.arrays import decode_batches, encode_batches
-from ..functions.schema import METADATA_KEY, NAMES, SIZES, VALUES, marked, nd_columns
+from ..functions.schema import METADATA_KEY, NAMES, SIZES, VALUES, check_marked, marked, nd_columns
 
 _SIGNED = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
 
@@ -54,24 +55,24 @@ def _converted(array: pa.Array, kind: pa.DataType) -> pa.Array:
     return array.cast(kind)
 
 
-def from_arrow(spark: SparkSession, table: pa.Table, need_metadata: bool = True) -> DataFrame:
-    """Encoded batches of an Arrow table. Its schema-level metadata becomes the columns'."""
+def from_arrow(spark: SparkSession, table: pa.Table, need_metadata: bool = True, key: str = METADATA_KEY) -> DataFrame:
+    """Encoded batches of an Arrow table. The value its schema has under ``key`` becomes the
+    columns' metadata; give the key that the table's producer writes."""
     columns = []
     for field, column in zip(table.schema, table.columns, strict=True):
         kind = spark_type(field.type)
         columns.append(pa.chunked_array([_converted(c, kind) for c in column.chunks], kind))
-    names = table.schema.names
-    df = spark.createDataFrame(pa.table(columns, names=names))
-    for key, value in (table.schema.metadata or {}).items():
-        if key.decode().endswith("array-schema"):
-            df = marked(df, nd_columns(df), key.decode(), value.decode())
-    return decode_batches(df, need_metadata=need_metadata)
-
-
-def to_arrow(df: DataFrame, columns: Sequence[str] | None = None) -> pa.Table:
-    """An Arrow table in the format's wire types. For results the size of one machine;
-    larger ones go through ``write_parquet``."""
-    table = encode_batches(df, columns).toArrow()
+    df = spark.createDataFrame(pa.table(columns, names=table.schema.names))
+    version = (table.schema.metadata or {}).get(key.encode())
+    if version is not None:
+        df = marked(df, nd_columns(df), key, version.decode())
+    return decode_batches(df, need_metadata=need_metadata, key=key)
+
+
+def to_arrow(df: DataFrame, columns: Sequence[str] | None = None, key: str = METADATA_KEY) -> pa.Table:
+    """An Arrow table in the format's wire types, marked under ``key`` (the one its readers
+    look for). For results the size of one machine; larger ones go through ``write_parquet``."""
+    table = encode_batches(df, columns, key).toArrow()
     columns_out, fields = [], []
     for name, column in zip(table.schema.names, table.columns, strict=True):
         array = column.combine_chunks()
@@ -84,23 +85,20 @@ def to_arrow(df: DataFrame, columns: Sequence[str] | None = None) -> pa.Table:
             array = pa.StructArray.from_arrays([array.field(NAMES), sizes.cast(pa.list_(pa.uint32())), array.field(VALUES)], names=[NAMES, SIZES, VALUES], mask=pc.is_null(array))
         columns_out.append(array)
         fields.append(pa.field(name, array.type))
-    version = next((f.metadata[METADATA_KEY] for f in marked(df).schema.fields if METADATA_KEY in (f.metadata or {})), "")
-    return pa.Table.from_arrays(columns_out, schema=pa.schema(fields, {METADATA_KEY: version}))
+    return pa.Table.from_arrays(columns_out, schema=pa.schema(fields, {key: __version__}))
 
 
-def write_parquet(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "error") -> None:
+def write_parquet(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "error", key: str = METADATA_KEY) -> None:
     """Validated batches as Parquet; metadata travels with the fields."""
-    encode_batches(df, columns).write.mode(mode).parquet(path)
+    encode_batches(df, columns, key).write.mode(mode).parquet(path)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, need_metadata: bool = True, validate: bool = True) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, need_metadata: bool = True, validate: bool = True, key: str = METADATA_KEY) -> DataFrame:
     """Batches back from Parquet. Validation reads whole arrays; without it a query that asks
     for one field of an array reads only that field."""
     df = spark.read.parquet(path)
     if validate:
-        return decode_batches(df, columns, need_metadata)
-    from ..functions.schema import check_marked
-
+        return decode_batches(df, columns, need_metadata, key)
     if need_metadata:
-        check_marked(df, columns)
+        check_marked(df, columns, key)
     return df

@@ -195,11 +195,43 @@ def test_metadata_and_round_trip(spark, tmp_path):
     future = encoded.withMetadata("a", {"nd-array-schema": "?"})
     with pytest.raises(errors.UnsupportedEncodingVersion):
         nd.decode_batches(future)
-    other = df.select(F.col("a").alias("a")).withMetadata("a", {"nd-other-array-schema": "0.4.2"})
-    assert nd.decode_batches(other).count() == 2
+    other = df.select(F.col("a").alias("a")).withMetadata("a", {"another-producers-key": "0.4.2"})
+    with pytest.raises(errors.MissingEncodingMetadata):
+        nd.decode_batches(other)
+    assert nd.decode_batches(other, key="another-producers-key").count() == 2
     assert nd.decode_batches(df, need_metadata=False).count() == 2
 
 
+def test_large_targets_are_cut_into_slabs(spark, monkeypatch):
+    monkeypatch.setattr(bc, "PACKED_CELLS", 7)
+    df = table(spark, [(array_row(list(range(12)), dims("x4 y3")), array_row([5, 6, 7], dims("y3")), array_row([9], ()), None), (array_row(list(range(100, 112)), dims("x4 y3")), array_row([1, None, 3], dims("y3")), array_row([8], ()), None)], ["a", "b", "c", "d"])
+    shapes = {"a": dims("x4 y3"), "b": dims("y3"), "c": (), "d": dims("x4")}
+    rows = bc.broadcast_to_table(df, list("abcd"), shapes, coordinates=["at", "x", "y"])
+    got = sorted(tuple(r) for r in rows.collect())
+    assert got == sorted((i, i // 3, i % 3, base + i, b[i % 3], c, None) for base, b, c in ((0, [5, 6, 7], 9), (100, [1, None, 3], 8)) for i in range(12))
+
+
+def test_columns_named_like_our_own(spark):
+    df = table(spark, [(array_row([1, 2], dims("x2")), array_row([3], ()))], ["__pos", "__target"]).withColumn("__cells", F.lit("k")).withColumn("__each_0", F.lit(1))
+    for given in (None, {"__pos": dims("x2"), "__target": ()}):
+        got = bc.broadcast_to_table(df, ["__pos", "__target"], given, keep=["__cells", "__each_0"]).collect()
+        assert sorted(tuple(r) for r in got) == [("k", 1, 1, 3), ("k", 1, 2, 3)]
+
+
+def test_moments_before_the_epoch(spark):
+    got = spark.range(1).select(*[nd.timestamp_of(F.lit(v).cast("long"), u).alias(f"{u}{i}") for i, (v, u) in enumerate([(-1, "ns"), (-1_000, "ns"), (1_700_000_000_123_456_789, "ns"), (-1, "us")])]).first()
+    assert [x.isoformat() for x in got] == ["1969-12-31T23:59:59.999999", "1969-12-31T23:59:59.999999", "2023-11-14T22:13:20.123456", "1969-12-31T23:59:59.999999"]
+
+
+def test_arrow_tables_carry_the_readers_key(spark):
+    df = table(spark, [(array_row([1, 2], dims("x2")),)], ["a"])
+    out = src.to_arrow(df, key="their-key")
+    assert list(out.schema.metadata) == [b"their-key"]
+    assert src.from_arrow(spark, out, key="their-key").count() == 1
+    with pytest.raises(errors.MissingEncodingMetadata):
+        src.from_arrow(spark, out)
+
+
 def test_arrow_tables_in_and_out(spark):
     own = dims("x2")
     df = table(spark, [(array_row([1, None], own),), (array_row([7], ()),), (None,)], ["a"])
