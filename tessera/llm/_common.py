@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows and bytes a function sees at once: Spark's Arrow batches (64 MB at most unless a
 #: session says otherwise) are cut to these inside the function, the session's settings stay.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: Rows (a place in a file, some 100 bytes in memory) that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,6 +109,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = ARROW_BYTES
             yield batch.slice(at, step)
 
 
+def without(df: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``df`` without the rows whose ``row`` is in ``gone`` (a written table of one column):
+    it is broadcast while it has at most ``BROADCAST_ROWS`` rows, so texts stay where they
+    are, else joined."""
+    gone = gone.toDF(row)
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """``fn`` over each batch of at most ``ARROW_ROWS`` rows."""
 

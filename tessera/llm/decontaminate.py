@@ -15,11 +15,12 @@ window's elements are its word shingles of ``SHINGLE`` words (all words, if it h
 
 Equal windows of many items are one window in the join; items are added per document.
 
-Edge cases: null or empty texts have no words and are never hit; null ids are kept for
+Edge cases: null or empty texts have no words and are never hit; a very long text is read
+whole, what is kept of it are its runs of marked words; null ids are kept for
 documents; items with null id count as hits without being named, their texts' windows
 still hit words; repeated item ids count once; repeated document rows each get their
 result; empty tables give no rows or no hits. Extra columns are ignored, or passed through
-by ``clean``.
+by ``clean``, whatever their names; ties don't arise.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, numbered, texts, written
+from ._common import fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
 
 #: Words in a shingle; bits of the Bloom filter at most (16 MB, whatever the benchmark).
 SHINGLE, MAX_BITS = 5, 1 << 27
@@ -209,7 +210,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
-    marked = numbered(docs, "decontam-docs")
-    found = contamination(marked, items, window, "__row", text_col, item_col, item_text_col)
-    bad = found.where("n_hit > 0").select(F.col("id").alias("__row"))
-    return marked.join(bad, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "__row")
+    marked = numbered(docs, "decontam-docs", row)
+    found = contamination(marked, items, window, row, text_col, item_col, item_text_col)
+    gone = written(found.where("n_hit > 0").select(F.col("id").alias("row")), "decontam-gone")
+    return without(marked, gone, row).select(*docs.columns)

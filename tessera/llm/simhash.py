@@ -8,18 +8,21 @@
    times all words on the remaining bits. A fingerprint is at home at the anchor that
    covers it (within radius 1) and is replicated to every anchor within
    ``1 + t // m`` of it: a link's one end meets the other's home anchor for certain.
-4. Per anchor, those at home are compared with all there; a batch of anchors yields a spanning forest of
-   its links, not all pairs, so a group of copies costs rows in proportion to its size.
+4. Per anchor, those at home are compared with all there; a batch of anchors yields a
+   spanning forest of its links, not all pairs, so a group of copies costs rows in proportion
+   to its size. An anchor with more than ``HOMES`` homes is cut into blocks of homes, each a
+   task's work, to which all others there stream by; a task holds one block and a chunk.
 5. Components of the forest edges by min-label contraction (``_graph.components``).
 
 The number of segments is chosen by the number of distinct fingerprints (fewer, longer
 segments mean more replicas and fewer comparisons); each choice finds every link.
 
-Edge cases: null text is an empty text; a text of fewer words than a shingle is hashed
+Edge cases: null text is an empty text; a very long text is hashed whole, some thousand
+shingles at a time; a text of fewer words than a shingle is hashed
 whole; a text without words has fingerprint 0 and is linked like any other; repeated rows
 and repeated ids keep their rows; an empty table gives no rows; null ids are kept, and a
-component's id is its smallest id that isn't null (null if there is none). Extra columns
-are ignored.
+component's id is its smallest id that isn't null (null if there is none); ties don't arise. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,58 +32,43 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, numbered, texts, written
+from . import jaccard
+from ._common import BROADCAST_ROWS, fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
 from ._graph import components
-from .jaccard import near_copies
 
 BITS = 64
-#: Groups up to this many fingerprints are compared pair by pair.
-SMALL = 48
+#: Groups up to this many fingerprints are compared pair by pair; bits that links may differ in.
+SMALL, NEAR = 48, 4
+#: Homes of an anchor that one task holds; fingerprints compared with them at once; bits of a
+#: key that tell an anchor's blocks apart.
+HOMES, CHUNK, KEY_BITS = 8192, 1 << 18, 24
 
 
 def fingerprint_of(text: bytes, words: int) -> int:
     """Unsigned SimHash of one text: bit i is set if over half the shingle hashes set it."""
-    return fingerprints_of(text, words)[0]
+    h = jaccard.hashes(text, words)
+    return majority(h) if len(h) else 0
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 15):
         counts += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints_of(text: bytes, words: int, check: bool = False) -> tuple[int, int]:
-    """The fingerprint, and with ``check`` a second one over hashes mixed anew (else 0)."""
-    w = text.lower().split()  # bytes: A-Z only, and \x20 \x09-\x0D
-    if not w:
-        return 0, 0
-    joined = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(words, len(w))
-    h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
-    if not check:
-        return _majority(h), 0
-    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _majority(h), _majority(mixed ^ (mixed >> np.uint64(32)))
-
-
-def fingerprint(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
-    """(id, fp, mate): one row per row of ``df``; the fingerprint as a signed long, and the
-    check word (0 without ``check``)."""
+def fingerprint(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): one row per row of ``df``; the fingerprint as a signed long."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("mate", T.LongType())])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprints_of(t, words, check) for t in texts(batch, "text")], np.uint64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(found[:, 1]).view(np.int64))], names=["id", "fp", "mate"])
+        found = np.array([fingerprint_of(t, words) for t in texts(batch, "text")], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     return map_arrow(rows, run, schema)
 
@@ -166,30 +154,22 @@ class _Forest:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _near(a: np.ndarray, a_mate: np.ndarray, b: np.ndarray, b_mate: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
-    near = np.bitwise_count(a ^ b) <= limits[0]
-    if limits[1] < BITS and near.any():
-        near &= np.bitwise_count(a_mate ^ b_mate) <= limits[1]
-    return near
-
-
-def _link_dense(fp: np.ndarray, mate: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
+def _link_dense(fp: np.ndarray, limit: int, forest: _Forest) -> None:
     """Links of a group most of which is linked: what is reached isn't compared again."""
-    left, left_mate = fp, mate
+    left = fp
     while len(left) > 1:
-        queue = [(left[0], left_mate[0])]
-        left, left_mate = left[1:], left_mate[1:]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            x, x_mate = queue.pop()
-            near = _near(left, left_mate, x, x_mate, limits)
+            x = queue.pop()
+            near = np.bitwise_count(left ^ x) <= limit
             if near.any():
                 for y in left[near].view(np.int64).tolist():
                     forest.join(int(x.view(np.int64)), y)
-                queue.extend(zip(left[near], left_mate[near], strict=True))
-                left, left_mate = left[~near], left_mate[~near]
+                queue.extend(left[near])
+                left = left[~near]
 
 
-def _link_homes(fp: np.ndarray, mate: np.ndarray, home: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
+def _link_homes(fp: np.ndarray, home: np.ndarray, limit: int, forest: _Forest) -> None:
     """Links of one anchor's homes with all its fingerprints, some homes at a time. Where
     links are many, those they touch are linked as a dense group instead of one by one."""
     homes = np.flatnonzero(home)
@@ -197,7 +177,7 @@ def _link_homes(fp: np.ndarray, mate: np.ndarray, home: np.ndarray, limits: tupl
     touched = np.zeros(len(fp), bool)
     for i in range(0, len(homes), step):
         part = homes[i : i + step]
-        near = _near(fp[part][:, None], mate[part][:, None], fp[None, :], mate[None, :], limits)
+        near = np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= limit
         near[np.arange(len(part)), part] = False
         if np.count_nonzero(near) > 4 * len(fp):
             touched[part[near.any(axis=1)]] = True
@@ -207,15 +187,15 @@ def _link_homes(fp: np.ndarray, mate: np.ndarray, home: np.ndarray, limits: tupl
         for x, y in zip(fp[part[a]].view(np.int64).tolist(), fp[b].view(np.int64).tolist(), strict=True):
             forest.join(x, y)
     if touched.any():
-        _link_dense(fp[touched], mate[touched], limits, forest)
+        _link_dense(fp[touched], limit, forest)
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, mate: np.ndarray, limits: tuple[int, int], forest: _Forest) -> None:
+def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, limit: int, forest: _Forest) -> None:
     """Compare within each run of equal ``key``: homes against all."""
     cuts = np.flatnonzero(np.diff(key)) + 1
     starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(key)])))
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        _link_homes(fp[s : s + n], mate[s : s + n], home[s : s + n], limits, forest)
+        _link_homes(fp[s : s + n], home[s : s + n], limit, forest)
     start_of, size_of = np.repeat(starts, sizes), np.repeat(sizes, sizes)
     rows = np.flatnonzero(home & (size_of <= SMALL) & (size_of > 1))
     for i in range(0, len(rows), 1 << 16):
@@ -223,79 +203,78 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, mate: np.ndarray
         n = size_of[part]
         a = np.repeat(part, n)
         b = np.repeat(start_of[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(a))
-        near = _near(fp[a], mate[a], fp[b], mate[b], limits) & (a != b)
+        near = (np.bitwise_count(fp[a] ^ fp[b]) <= limit) & (a != b)
         for x, y in zip(fp[a[near]].view(np.int64).tolist(), fp[b[near]].view(np.int64).tolist(), strict=True):
             forest.join(x, y)
 
 
-def links(distinct: DataFrame, count: int, threshold: int = 4, check: int = BITS) -> DataFrame:
-    """(a, b): edges that connect distinct fingerprints (fp, and mate if there is a ``check``)
-    just as all links do: at most ``threshold`` bits apart, their check words ``check``."""
-    segments, limits, checked = covering(count, threshold), (threshold, check), check < BITS
-
-    def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys, rows_, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for i, segment in enumerate(segments):
-            for rows, anchor, home in segment.anchors(fp):
-                keys.append((anchor * np.uint64(len(segments)) + np.uint64(i)).view(np.int64))
-                rows_.append(rows)
-                homes.append(home)
-        rows = np.concatenate(rows_)
-        columns = [pa.array(np.concatenate(keys)), pa.array(fp[rows].view(np.int64)), pa.array(np.concatenate(homes))]
-        if checked:
-            columns.append(pa.array(batch.column(1).to_numpy(zero_copy_only=False)[rows]))
-        return pa.RecordBatch.from_arrays(columns, names=names)
+def links(distinct: DataFrame, count: int, threshold: int = NEAR) -> DataFrame:
+    """(a, b): edges that connect the distinct fingerprints (column fp) just as all links of
+    at most ``threshold`` bits do; ``count`` is about how many there are."""
+    segments = covering(count, threshold)
+    fields = [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("home", T.BooleanType())]
+
+    def placed(at_home: bool) -> DataFrame:
+        def replicate(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, rows_, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, segment in enumerate(segments):
+                for rows, anchor, home in segment.anchors(fp):
+                    if at_home:
+                        rows, anchor, home = rows[home], anchor[home], home[home]
+                    keys.append(((anchor * np.uint64(len(segments)) + np.uint64(i)) << np.uint64(KEY_BITS)).view(np.int64))
+                    rows_.append(rows)
+                    homes.append(home)
+            columns = [pa.array(np.concatenate(keys)), pa.array(fp[np.concatenate(rows_)].view(np.int64)), pa.array(np.concatenate(homes))]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "fp", "home"])
+
+        return map_arrow(distinct.select("fp"), replicate, T.StructType(fields))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
         forest = _Forest()
-        waiting: list[list[np.ndarray]] = []
-
-        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            k, f, h, *m = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            f = f.view(np.uint64)
-            return [k, f, h, m[0].view(np.uint64) if m else np.zeros(len(f), np.uint64)]
-
         for batch in batches:
-            if not batch.num_rows:
+            k, f, h = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held = [np.concatenate(x) for x in zip(held, (k, f.view(np.uint64), h), strict=True)]
+            if not len(held[0]):
                 continue
-            now = columns(batch)
-            if len(held[0]) and now[0][-1] == held[0][-1]:
-                waiting.append(now)  # the anchor at the end goes on
-                continue
-            held = [np.concatenate(x) for x in zip(held, *waiting, now, strict=True)]
-            waiting = []
-            last = int(np.searchsorted(held[0], held[0][-1]))  # keys are sorted
-            _compare(*(x[:last] for x in held), limits, forest)
-            held = [x[last:] for x in held]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # keys are sorted; the last one may go on
+            if last:
+                _compare(*(x[:last] for x in held), threshold, forest)
+                held = [x[last:] for x in held]
+            if len(held[0]) > CHUNK:  # its homes came first and stay for what follows
+                _compare(*held, threshold, forest)
+                held = [x[held[2]] for x in held]
             if len(forest.up) > 200_000:
                 yield forest.batch()
-        held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
         if len(held[0]):
-            _compare(*held, limits, forest)
+            _compare(*held, threshold, forest)
         if forest.up:
             yield forest.batch()
 
-    fields = [T.StructField("anchor", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("home", T.BooleanType())] + ([T.StructField("mate", T.LongType())] if checked else [])
-    names = [f.name for f in fields]
-    places = map_arrow_stream(distinct.select("fp", *(["mate"] if checked else [])), lambda it: (replicate(b) for b in it), T.StructType(fields))
-    near = places.repartition("anchor").sortWithinPartitions("anchor")
-    return map_arrow_stream(near, compare, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-
-
-def near_duplicates(df: DataFrame, words: int = 4, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text", check: int = BITS) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links.
-    ``check`` below 64 bounds the bits that a second, independent fingerprint may differ in:
-    wider thresholds then stay free of chance links, however many documents there are."""
-    rows = written(fingerprint(df, words, id_col, text_col, check < BITS), "simhash-fp")
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min("mate").alias("mate")), "simhash-distinct")
-    edges = links(distinct, distinct.count(), threshold, check)
-    roots = components(edges)  # (node, root)
-    of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = written(of_fp.join(of_root, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(component, "fp").select("id", "fp", "component_id")
+    places = placed(False)
+    crowded = placed(True).groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOMES}")
+    crowded = written(crowded.select("key", F.expr(f"cast(ceil(n / {float(HOMES)}) as int)").alias("blocks")), "simhash-crowded")
+    n = crowded.count()
+    if n:
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        dealt = places.join(F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        places = dealt.select((F.col("key") + F.col("block")).alias("key"), "fp", (F.col("home") & F.coalesce(mine == F.col("block"), F.lit(True))).alias("home"))
+    near = places.repartition("key").sortWithinPartitions("key", F.desc("home"))
+    return map_arrow_stream(near, compare, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), 50_000)
+
+
+def near_duplicates(df: DataFrame, words: int = 4, threshold: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id reachable over links."""
+    rows = written(fingerprint(df, words, id_col, text_col), "simhash-fp")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    groups = components(links(distinct, distinct.count(), threshold)).withColumnRenamed("node", "fp")
+    # Only fingerprints that have links, and of each group its root, take part in the join.
+    linked = written(groups.join(distinct, "fp").select("fp", "root", "least"), "simhash-linked")
+    of_root = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
+    named = linked.join(F.broadcast(of_root) if of_root.count() <= BROADCAST_ROWS else of_root, "root").select("fp", "component_id")
+    of_fp = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    return rows.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,10 +284,12 @@ def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
 
     Rows that share that id (repeated rows) are told apart by their place; one stays. Rows
     with a null id belong to groups by text and stay only if their whole group has no id.
+    Extra columns pass through, whatever their names.
     """
-    columns = df.columns
-    df = numbered(df, "simhash-docs")
-    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("id"), F.col(text_col).alias("text"))
-    found = near_copies(df.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), keyed, words, similarity)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row"))
-    return df.join(keep, "__row", "left_semi").select(*columns)
+    columns, row = df.columns, fresh(df, "__row")
+    df = numbered(df, "simhash-docs", row)
+    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
+    rows, kept = jaccard.kept_rows(df.select(F.col(row).alias("row"), F.col(text_col).alias("text")), keyed, words, similarity)
+    kept = written(kept.select(F.col("id.row").alias("row")), "simhash-kept")
+    gone = written(rows.select(F.col("id.row").alias("row")).join(kept, "row", "left_anti"), "simhash-gone")
+    return without(df, gone, row).select(*columns)

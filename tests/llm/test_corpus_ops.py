@@ -114,6 +114,13 @@ def test_every_link_is_found_by_each_covering(spark, count, threshold):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_crowded_anchors_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOMES", 50)
+    monkeypatch.setattr(simhash, "CHUNK", 200)
+    test_simhash_large_groups_and_chains(spark)
+    test_every_link_is_found_by_each_covering(spark, 1, 4)
+
+
 def test_simhash_large_groups_and_chains(spark):
     rng = np.random.default_rng(5)
     centre, fps = int(rng.integers(0, 2**62)), set()

@@ -77,6 +77,30 @@ def test_forest_connects_what_all_pairs_do(n):
         assert label == want
 
 
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """A family whose members are near its base but seldom near each other: many groups meet
+    in one bucket, which is cut into blocks of a few texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    rng, rows = random.Random(9), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for n in [*range(2, 9)] * 12:
+        rows.append((len(rows), " ".join(changed(rng, base, n))))
+    check_dedup(spark, rows)
+
+
+def test_one_hot_group_and_extra_columns(spark):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join(changed(rng, base, 1 + i % 2)), i) for i in range(500)] + [(500 + i, f"other text number {i} of its own kind", i) for i in range(500)] + [(None, " ".join(base), 1), (None, "alone without an id at all", 2), (3, " ".join(base), 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    want = brute_components([brute_shingles(r[1]) for r in rows], list(range(len(rows))), linked=lambda a, b: brute_similarity(a, b) >= 0.8)
+    got = kept.collect()
+    assert len(got) == len(set(want)) and sum(r.doc_id is None for r in got) == 1
+    assert sum(r.doc_id is not None and (r.doc_id < 500) for r in got) == len({w for w in want if w < 500 or w in (1000, 1002)})
+
+
 def test_documents_of_the_tables(spark):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     check_dedup(spark, list(zip(docs.doc_id.tolist(), docs.text.tolist())))
@@ -86,5 +110,5 @@ def test_texts_of_lower_similarity_stay_though_fingerprints_link_them(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (6973, 9542)").select("doc_id", "text")
     a, b = (brute_shingles(r.text) for r in docs.collect())
     assert 0.5 < brute_similarity(a, b) < 0.6
-    assert simhash.near_duplicates(docs, 5, 7, check=14).select("component_id").distinct().count() == 1
+    assert simhash.near_duplicates(docs, 5, 7).select("component_id").distinct().count() == 1
     assert simhash.deduplicate(docs).count() == 2
