@@ -5,23 +5,26 @@
    share ``share`` of all sizes; a target stops at ``max_repeat`` times its source's size
    and the excess goes to the others by weight until none is above.
 3. A source is taken whole as often as its target holds it; the budget that remains is
-   fitted from its count of documents by length: all but ``DP_BUDGET`` tokens are dealt to
-   the lengths by their share (which keeps the source's mixture of lengths), what rounding
-   leaves goes to the longest that fit, and the last ``DP_BUDGET`` tokens are what bounded-knapsack dynamic programming fills as
-   closely as the lengths left allow. If the budget isn't met, documents are given back and
-   what they leave is filled by sums of all choices, while these take 64 MB at most.
+   fitted from its count of documents by length: all but a window of it is dealt to the
+   lengths by their share (which keeps the source's mixture of lengths), what rounding leaves
+   goes to the longest that fit, and the window is what bounded-knapsack dynamic programming
+   fills as closely as the lengths left allow. The window is ``DP_BUDGET`` tokens or eight
+   times the longest document, the more. If the budget isn't met, documents are given back
+   and what they leave is filled by sums of all choices, while these take 64 MB at most.
 4. So many documents of each (source, length) are taken by a hash of seed, id and text, so
-   the same seed takes the same documents wherever their files lie. A group is cut
-   into hash buckets by its count; only the bucket where the number is reached is ranked,
-   so a group with a third of all rows is never gathered.
+   the same seed takes the same documents wherever their files lie: those up to the last one
+   taken. To find that one, a group is cut into ranges of the hash by its count and only the
+   range where the number is reached is ranked, so a group with a third of all rows is never
+   gathered, and texts never move: a row's copies follow from the table of (source, length).
 
 A source's lengths differ by one at least, so their number is at most the square root of
 twice its size: that histogram is all that one task ever gathers.
 
-Edge cases: null text has length 0; documents of length 0 are taken as often as their
-source is whole; null sources are one source, the last; repeated rows are documents of
-their own (equal ids rank by text, and beyond that are interchangeable); an empty table
-gives no rows; negative sizes can't arise. Extra columns pass through ``mix``.
+Edge cases: null text has length 0; a very long text is one document of its length;
+documents of length 0 are taken as often as their source is whole; null sources are one
+source, the last; repeated rows are documents of their own; ties of the hash rank by id,
+text's hash and place, so of equal rows any may be taken; an empty table gives no rows;
+negative sizes can't arise. Extra columns pass through ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import numbered, written
+from ._common import fresh, numbered, written
 
-#: Tokens that are left to dynamic programming, documents of a hash bucket.
+#: Tokens that are left to dynamic programming at least, documents of a range of the hash.
 DP_BUDGET, BUCKET = 1 << 16, 128
 #: Memory for the sums of documents given back, where that leaves a budget unmet.
 REFIT_BYTES = 1 << 26
@@ -56,24 +59,26 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= total:
         return counts.copy()
-    take = np.array([c * max(0, budget - DP_BUDGET) // total for c in counts.tolist()], np.int64)
+    window = max(DP_BUDGET, 8 * int(lengths.max()))
+    take = np.array([c * max(0, budget - window) // total for c in counts.tolist()], np.int64)
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable").tolist()
     for i in order:  # the longest that fit, while the budget is beyond the table below
-        if left <= DP_BUDGET:
+        if left <= window:
             break
-        n = min(int(counts[i] - take[i]), max(0, left - DP_BUDGET // 2) // int(lengths[i]))
+        n = min(int(counts[i] - take[i]), max(0, left - window // 2) // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
     for i in order:
-        if left <= DP_BUDGET:
+        if left <= window:
             break
         n = min(int(counts[i] - take[i]), left // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
-    left = min(left, DP_BUDGET)
+    left = min(left, window)
     # Bounded knapsack: bit s of `reached` says that some choice sums to s.
-    full, reached, item, parent = (1 << (left + 1)) - 1, 1, {}, {}
+    full, reached = (1 << (left + 1)) - 1, 1
+    item, times = np.zeros(left + 1, np.int32), np.zeros(left + 1, np.int32)
     for i in sorted(i for i in order if lengths[i] <= left):
         spare, size = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
         while spare > 0 and not reached >> left & 1:
@@ -83,17 +88,15 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             if new:
                 reached |= new
                 bits = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes((left >> 3) + 1, "little"), np.uint8), bitorder="little"))
-                for s in bits.tolist():
-                    item[s], parent[s] = (i, n), s - shift
+                item[bits], times[bits] = i, n
             spare -= n
             size *= 2
         if reached >> left & 1:
             break
     s = reached.bit_length() - 1
     while s:
-        i, n = item[s]
-        take[i] += n
-        s = parent[s]
+        take[item[s]] += times[s]
+        s -= int(times[s]) * int(lengths[item[s]])
     return _refit(lengths, counts, budget, take)
 
 
@@ -175,44 +178,63 @@ def plan(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     return wanted, written(chosen, "mix-chosen")
 
 
+def _place(seed: int) -> Column:
+    """Where a row stands in its group: columns id, mark (the text's hash) and row."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.col("mark")), 1)
+    return F.struct(h.alias("h"), F.col("id").alias("id"), F.col("mark").alias("mark"), F.col("row").alias("row"))
+
+
 def choose(sizes: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
-    """``sizes`` (id, row, source, size, mark) with ``copies``: how often each row is taken.
-    By seed, id and the text's hash ``mark``; ``row`` only tells equal rows apart."""
-    mixed = F.xxhash64(F.lit(seed), F.col("id"), F.col("mark"))
-    s = sizes.withColumn("h", F.shiftrightunsigned(mixed, 1))
-    c = chosen.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "whole", "extra")
-    rows = s.join(c, s["source"].eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
-    rows = rows.withColumn("bucket", F.expr(f"h % (n div {BUCKET} + 1)")).drop("c_source", "c_size")
+    """``chosen`` with ``last``: the place of the last row that is taken once more, of
+    ``sizes`` (id, row, source, size, mark); null where all are or none is."""
+    part = chosen.where("extra > 0 and extra < n").select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "extra")
+    rows = sizes.join(part, sizes["source"].eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).withColumn("place", _place(seed))
+    rows = rows.select("c_source", "c_size", "extra", "place", F.expr(f"cast(cast(place.h as double) * {2.0**-63!r}D * (n div {BUCKET} + 1) as long)").alias("bucket"))
     rows = written(rows, "mix-rows")
-    counts = rows.where("extra > 0 and extra < n").groupBy("source", "size", "bucket", "extra").agg(F.count("*").alias("in_bucket"))
-    upto = F.sum("in_bucket").over(Window.partitionBy("source", "size").orderBy("bucket"))
-    edge = counts.withColumn("upto", upto).where((F.col("upto") - F.col("in_bucket") <= F.col("extra")) & (F.col("upto") > F.col("extra")))
-    edge = written(edge.select(F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("bucket").alias("e_bucket"), (F.col("extra") - F.col("upto") + F.col("in_bucket")).alias("need")), "mix-edge")
-    # Buckets before the edge are taken whole; in the edge the first by hash.
-    rows = rows.join(edge, rows["source"].eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")), "left")
-    at_edge = rows.where("extra > 0 and extra < n and bucket = e_bucket")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "id", "mark", "row"))
-    ranked = at_edge.withColumn("more", (rank <= F.col("need")).cast("long"))
-    others = rows.where("not (extra > 0 and extra < n and bucket <=> e_bucket)").withColumn("more", F.expr("case when extra >= n then 1L when extra = 0 then 0L when bucket < e_bucket then 1L else 0L end"))
-    return ranked.unionByName(others).select("id", "row", "source", "size", (F.col("whole") + F.col("more")).alias("copies"))
+    counts = rows.groupBy("c_source", "c_size", "bucket", "extra").agg(F.count("*").alias("in_bucket"))
+    upto = F.sum("in_bucket").over(Window.partitionBy("c_source", "c_size").orderBy("bucket"))
+    edge = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("in_bucket") < F.col("extra")))
+    edge = written(edge.select(F.col("c_source").alias("e_source"), F.col("c_size").alias("e_size"), F.col("bucket").alias("e_bucket"), (F.col("extra") - F.col("upto") + F.col("in_bucket")).alias("need")), "mix-edge")
+    at_edge = rows.join(edge, rows["c_source"].eqNullSafe(F.col("e_source")) & (F.col("c_size") == F.col("e_size")) & (F.col("bucket") == F.col("e_bucket")))
+    rank = F.row_number().over(Window.partitionBy("e_source", "e_size").orderBy("place"))
+    last = at_edge.withColumn("rank", rank).where("rank = need").select("e_source", "e_size", F.col("place").alias("last"))
+    both = chosen.join(last, chosen["source"].eqNullSafe(F.col("e_source")) & (F.col("size") == F.col("e_size")), "left")
+    return written(both.select("source", "size", "n", "whole", "extra", "last"), "mix-last")
+
+
+def _copies(seed: int) -> Column:
+    more = F.when(F.col("extra") >= F.col("n"), True).when(F.col("extra") <= 0, False).otherwise(_place(seed) <= F.col("last"))
+    return F.col("whole") + more.cast("long")
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, row: Column | None = None) -> DataFrame:
     """(id, row, source, size, source_size, target, copies, taken), one row per row of
     ``docs``; ``row`` is its monotonically increasing id if none is given, ``taken`` its
     tokens taken."""
+    sizes, table = _decided(docs, weights, share, max_repeat, seed, id_col, text_col, source_col, size, row)
+    t = table.withColumnsRenamed({"source": "t_source", "size": "t_size"})
+    out = sizes.join(t, sizes["source"].eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size"))).withColumn("copies", _copies(seed))
+    return out.select("id", "row", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _decided(docs: DataFrame, weights: Sequence[float], share: float, max_repeat: int, seed: int, id_col: str, text_col: str, source_col: str, size: Column | None, row: Column | None) -> tuple[DataFrame, DataFrame]:
+    """The rows' sizes, and what is taken of each (source, size)."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.xxhash64(F.col(text_col)).alias("mark"))
     sizes = written(base, "mix-sizes")
     wanted, chosen = plan(sizes, weights, share, max_repeat)
-    copies = choose(sizes, chosen, seed)
     w = wanted.withColumnRenamed("source", "w_source")
-    out = copies.join(w, copies["source"].eqNullSafe(F.col("w_source")))
-    return out.select("id", "row", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` as the mix takes them: rows left out are gone, repeated rows come twice."""
-    marked = numbered(docs, "mix-docs")
-    found = mixture(marked, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col("__row"), **how).where("copies > 0")
-    copies = found.select(F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
-    return marked.join(copies, "__row").select(*docs.columns, F.explode(F.expr("array_repeat(0, __copies)")).alias("__copy")).drop("__copy")
+    table = choose(sizes, chosen, seed)
+    return sizes, written(table.join(w, table["source"].eqNullSafe(F.col("w_source"))).drop("w_source"), "mix-table")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: rows left out are gone, repeated rows come twice. Texts
+    meet the table of (source, size) where they lie while that is small enough to broadcast."""
+    row, copy = fresh(docs, "__row"), fresh(docs, "__copy")
+    marked = numbered(docs, "mix-docs", row)
+    _, table = _decided(marked, weights, share, max_repeat, seed, id_col, text_col, source_col, None, F.col(row))
+    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
+    rows = marked.select(doc, F.col(id_col).alias("id"), F.col(source_col).alias("t_source"), word_count(F.col(text_col)).alias("t_size"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(row).alias("row"))
+    found = rows.join(table, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")))
+    taken = found.select("doc", F.explode(F.array_repeat(F.lit(0), _copies(seed).cast("int"))).alias(copy))
+    return taken.select("doc.*")

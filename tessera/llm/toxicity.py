@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import appended, map_arrow, map_arrow_stream, texts, with_columns
+from ._common import appended, fresh, map_arrow, map_arrow_stream, texts, with_columns
 
 #: Labelled rows the model is fitted on, at most. Patterns whose rows overlap by more than
 #: ``ALIKE`` (Jaccard) are one; voters this correlated within a class share their weight.
@@ -332,3 +332,9 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
             yield with_columns(batch, schema, **{score_col: pa.array(s), predicted_col: pa.array((s >= threshold).astype(np.int32))})
 
     return map_arrow_stream(df, run, schema)
+
+
+def clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` without the rows that count as toxic."""
+    score_col, predicted = fresh(df, "__score"), fresh(df, "__toxic")
+    return score(df, model, text_col, score_col, predicted, threshold).where(F.col(predicted) == 0).select(*df.columns)

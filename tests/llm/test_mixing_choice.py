@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tessera.llm import mixing
 
 
@@ -19,6 +21,9 @@ def test_choice_depends_on_the_seed_not_on_files(spark, tmp_path):
 
 
 def test_few_long_documents_meet_the_budget():
+    for lengths, counts, budget in (([75_000, 90_000], [2, 1], 150_000), ([40_000, 50_000, 66_000], [3, 2, 1], 130_000), ([300_000, 500_001], [40, 40], 20 * 300_000 + 7 * 500_001)):
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert sum(n * t for n, t in zip(lengths, take)) == budget
     assert mixing.fit_budget([70_000, 100_000], [2, 1], 140_000).tolist() == [2, 0]
     rng = random.Random(2)
     for _ in range(40):
@@ -31,3 +36,22 @@ def test_few_long_documents_meet_the_budget():
         take = mixing.fit_budget(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts))
         assert sum(n * t for n, t in zip(lengths, take)) == max(s for s in sums if s <= budget)
+
+
+def test_plan_moves_no_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mixed = mixing.mix(docs)
+    assert mixed.count() > 0
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_extra_columns_and_equal_rows(spark):
+    rows = [(1, "a b", "s", i % 2) for i in range(40)] + [(None, "a b", None, 5)] * 30 + [(i, None, "t", 9) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").withColumn("last", F.lit(1)).withColumn("__row", F.lit("r")).withColumn("copies", F.lit(2))
+    got = mixing.mixture(df)
+    taken = {r[0]: r[1] for r in got.groupBy("source").agg(F.sum("taken")).collect()}
+    target = {r.source: r.target for r in got.select("source", "target").distinct().collect()}
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.count() == got.agg(F.sum("copies")).first()[0]

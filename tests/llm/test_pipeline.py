@@ -5,30 +5,18 @@ from collections import Counter
 
 import pandas as pd
 import pytest
-import xxhash
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
-from .test_corpus_ops import brute_components, brute_contamination, brute_fingerprint, brute_tokens, check_mix
+from .test_corpus_ops import brute_components, brute_contamination, brute_tokens, check_mix, odd_rows
+from .test_jaccard import brute_shingles, brute_similarity
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def brute_mate(text, k):
-    """The check word: SimHash over the shingles' hashes, mixed."""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
-    out = [0] * 64
-    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
-    for s in shingles:
-        h = xxhash.xxh64_intdigest(s.encode(), 42)
-        h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64
-        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
-        h ^= h >> 32
-        out = [n + (h >> b & 1) for b, n in enumerate(out)]
-    return sum(1 << b for b, n in enumerate(out) if 2 * n > len(shingles))
-
-
 @pytest.fixture(scope="module")
 def kept(spark):
     from tessera.llm import _common
@@ -51,14 +39,10 @@ def test_toxic_documents_go(spark, kept):
 
 
 def test_one_of_each_group_stays(kept):
+    """Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8."""
     before, after = kept[1], kept[2]
-    both = [(brute_fingerprint(t, 5), brute_mate(t, 5)) for t in before.text]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    mate = {}
-    for fp, m in both:
-        mate[fp] = min(mate.get(fp, m), m, key=signed)
-    linked = lambda a, b: (a ^ b).bit_count() <= 7 and (mate[a] ^ mate[b]).bit_count() <= 14
-    component = brute_components([fp for fp, _ in both], before.doc_id.tolist(), linked=linked)
+    sets = [brute_shingles(t) for t in before.text]
+    component = brute_components(sets, before.doc_id.tolist(), linked=lambda a, b: brute_similarity(a, b) >= 0.8)
     assert sorted(after.doc_id) == sorted(set(component))
     assert list(after.columns) == COLUMNS
 
@@ -101,3 +85,35 @@ def test_run_and_empty_tables(spark, tmp_path):
         df.where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
     assert pipeline.ORACLE_SQL is None and len(pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, null and repeated ids, repeated rows, extra columns of our own names."""
+    rows = [(*r, "x") for r in odd_rows()] + [(None, None, None, None, None, None), (9, "an idiot and a moron, scum and trash", "en", "a", 5, "y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string").withColumn("__toxic", F.lit(7)).withColumn("__copies", F.lit(None).cast("int")).withColumn("score", F.lit("s"))
+    before = Counter(map(tuple, docs.collect()))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        after = Counter(map(tuple, out.collect()))
+        assert set(after) <= set(before), name
+        if name == "toxicity":
+            assert after == Counter({r: n for r, n in before.items() if r[0] != 9})
+        if name == "simhash near-dedup":
+            texts = [r[1] for r in rows]
+            assert sum(after.values()) == len(set(brute_components([brute_shingles(t) for t in texts], list(range(len(texts))), linked=lambda a, b: brute_similarity(a, b) >= 0.8)))
+        if name == "benchmark decontamination":
+            assert after == before
+    tokens = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(tokens) == len(rows) and sum(r.n_tokens for r in tokens) == max(r.start + r.n_tokens for r in tokens)
+
+
+def test_runs_in_other_folders_agree(spark, tmp_path):
+    """The same rows in other files: the same documents, tokens and checksums."""
+    runs = []
+    for n in (1, 3):
+        for t in ("documents", "labels", "benchmark"):
+            df = spark.read.parquet(f"{SF}/{t}.parquet")
+            (df.repartition(n) if n > 1 else df).write.parquet(f"{tmp_path}/{n}/{t}.parquet")
+        runs.append(sorted(map(tuple, pipeline.run(spark, f"{tmp_path}/{n}").collect())))
+    assert runs[0] == runs[1] and len(runs[0]) > 50
