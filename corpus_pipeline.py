@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import _common, decontaminate, mixing, simhash, token_output, toxicity
 from tessera.llm.queries import held_out
@@ -18,8 +17,7 @@ from tessera.llm.queries import held_out
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; held-out labels stay unseen."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, score_col="__score", predicted_col="__toxic").where("__toxic = 0").select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
