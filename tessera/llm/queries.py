@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
+#: For these queries alone: a key that is written down hides nothing.
+EXAMPLE_KEY = "tessera-example-key"
+
+
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is that of the label with its id: good if its quality is 1
     and it isn't toxic."""
@@ -33,7 +37,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
