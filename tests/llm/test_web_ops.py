@@ -110,6 +110,18 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.where("false"), "id % 50 = 0").count() == 0
 
 
+def test_vectors_of_extreme_length_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BASE_BLOCK", 40)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(3)
+    plain = rng.standard_normal((200, 8))
+    rows = [(i, (plain[i] * (1e200, 1.0, 1e-200)[i % 3]).tolist()) for i in range(200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0").toPandas().sort_values(["query_id", "rank"])
+    want = sorted(brute_nearest(np.arange(200), plain.tolist(), np.arange(0, 200, 20)))
+    assert [tuple(map(int, r)) for r in got[["query_id", "rank", "id"]].to_numpy()] == [tuple(map(int, r[:3])) for r in want]
+    assert np.allclose(got.score, [r[3] for r in want], rtol=1e-12)
+
+
 # HTML
 
 
