@@ -14,10 +14,16 @@ of the plan, so they are meant to be short lists (``MAX_RULES``).
 Everything is DataFrame functions: counts per host combine before their shuffle, levels
 above are as small as the hosts, and priors are one row.
 
+Levels come from the host without user name and port; an address (four numbers, or in
+brackets) is its own domain and suffix. Suffixes of several labels are a parameter: a few
+are built in, callers give the list they trust.
+
 Edge cases: null URLs and URLs without ``://`` have empty host and path, which are a host
-like any other; ports and user names stay in the host; null outcomes and outcomes of
-unknown pages don't count, repeated ones do; repeated pages keep their rows; an empty table
-gives no rows. Extra columns pass through, but for those named like an output.
+like any other; very long URLs are judged whole; ports and user names stay in the host that
+is returned; null outcomes and outcomes of unknown pages don't count, repeated ones do;
+repeated pages keep their rows; of rules of equal length that fit, the last in code point
+order wins; an empty table gives no rows. Extra columns pass through, but for those named
+like an output.
 """
 
 from __future__ import annotations
@@ -31,12 +37,15 @@ from ._common import written
 
 #: Hosts whose good rate is below this, by a one-sided bound of so many deviations, are blocked.
 MIN_GOOD, DEVIATIONS = 0.5, 1.645
-MAX_RULES = 10_000
+MAX_RULES, MAX_SUFFIXES = 10_000, 20_000
 #: Correlation within a group at most: a prior then weighs two labels or more.
 MAX_RHO = 0.33
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "com.ar", "co.kr")
 
+#: Hosts that are addresses.
+ADDRESS = r"^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|[\[].*)$"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,14 +61,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def named_host(host: Column) -> Column:
+    """A host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def levels_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a ``named_host``; the longest of ``suffixes`` that the
+    host ends in is its suffix, else its last label."""
+    if len(suffixes) > MAX_SUFFIXES:
+        raise ValueError(f"{len(suffixes)} suffixes are more than a plan should hold")
+    domain, suffix = F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    by_labels: dict[int, list[str]] = {}
+    for x in suffixes:
+        by_labels.setdefault(x.count(".") + 1, []).append(x)
+    for n in sorted(by_labels):
+        last = F.substring_index(host, ".", -n)
+        known = last.isin(*by_labels[n])
+        domain, suffix = F.when(known, F.substring_index(host, ".", -n - 1)).otherwise(domain), F.when(known, last).otherwise(suffix)
+    address = host.rlike(ADDRESS)
+    return F.when(address, host).otherwise(domain), F.when(address, host).otherwise(suffix)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -89,9 +110,10 @@ def _strength(groups: DataFrame, parents: Sequence[str]) -> DataFrame:
     return one.select(F.round(F.coalesce((1 - rho) / rho, F.lit(9.0)), 6).alias("strength"))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
+def reputation(hosts: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, good, mean, upper) of (host, n, good): counts of labelled outcomes."""
-    levels = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good")
+    domain, suffix = levels_of(F.col("named"), suffixes)
+    levels = hosts.withColumn("named", named_host(F.col("host"))).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good")
     domains = levels.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.round((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2), 9).alias("mean"))
@@ -111,7 +133,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return h.select("host", "n", "good", F.round(mean, 6).alias("mean"), F.round(F.least(F.lit(1.0), upper), 6).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", min_good: float = MIN_GOOD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", min_good: float = MIN_GOOD, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """``pages`` with host, path, rule, reputation (upper bound of the good rate) and verdict.
     ``outcomes`` are (page id, good 0/1)."""
     out = ("host", "path", "rule", "action", "reputation", "verdict")
@@ -121,7 +143,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     labelled = seen.join(known, "id").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     hosts = seen.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
     counts = written(hosts.unionByName(labelled).groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "url-hosts")  # every level above is read from it
-    known_hosts = reputation(counts).select("host", F.col("upper").alias("reputation"))
+    known_hosts = reputation(counts, suffixes).select("host", F.col("upper").alias("reputation"))
     rows = pages.drop(*[c for c in pages.columns if c.lower() in out and c not in (id_col, url_col)])
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("action", action)
@@ -141,7 +163,7 @@ def oracle(rules: Sequence[tuple[str, str]], pages: str, outcomes: str, min_good
         cases["rule"].append(f"when {fits} then {text(rule)}")
         cases["action"].append(f"when {fits} then {text(what)}")
     twos = ", ".join(map(text, TWO_LABEL_SUFFIXES))
-    last = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+    last = lambda k: f"array_to_string(list_slice(string_split(named, '.'), -{k}, -1), '.')"
 
     def strength(groups: str, parents: str) -> str:
         by = f"group by {parents}" if parents else ""
@@ -154,9 +176,9 @@ with urls as (select *, case when instr(url, '://') > 0 then substr(url, instr(u
 parts as (select *, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from urls),
 labelled as (select host, count(*) n, sum(good) good from parts join ({outcomes}) o on o.id = parts.page_id group by host),
 levels as (select h.host, coalesce(n, 0)::bigint n, coalesce(good, 0)::bigint good,
-  case when {last(2).replace('host', 'h.host')} in ({twos}) then {last(3).replace('host', 'h.host')} else {last(2).replace('host', 'h.host')} end as domain,
-  case when {last(2).replace('host', 'h.host')} in ({twos}) then {last(2).replace('host', 'h.host')} else {last(1).replace('host', 'h.host')} end as suffix
-  from (select distinct host from parts) h left join labelled l on l.host = h.host),
+  case when regexp_matches(named, {text(ADDRESS)}) then named when {last(2)} in ({twos}) then {last(3)} else {last(2)} end as domain,
+  case when regexp_matches(named, {text(ADDRESS)}) then named when {last(2)} in ({twos}) then {last(2)} else {last(1)} end as suffix
+  from (select host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as named from (select distinct host from parts)) h left join labelled l on l.host = h.host),
 domains as (select domain, suffix, sum(n) n, sum(good) good from levels group by all),
 suffixes as (select suffix, sum(n) n, sum(good) good from domains group by all),
 total as (select round((coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2)::double, 9) as mean from suffixes),

@@ -70,6 +70,36 @@ def test_reputation_blocks_only_on_evidence(spark):
     assert {v for h, v in verdict.items() if h != "bad.example.com"} == {"allow"}
 
 
+def test_levels_of_hosts(spark):
+    given = {"a.b.example.com": ("example.com", "com"), "u:p@x.example.co.uk:8080": ("example.co.uk", "co.uk"), "a.com:8080": ("a.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "com": ("com", "com"), "": ("", ""), "x.y.kawasaki.jp": ("kawasaki.jp", "jp")}
+    domain, suffix = urls.levels_of(urls.named_host(F.col("h")))
+    got = spark.createDataFrame([(h,) for h in given], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == given
+    domain, suffix = urls.levels_of(F.col("h"), ["y.kawasaki.jp", "kawasaki.jp", "co.uk"])
+    got = spark.createDataFrame([("w.x.y.kawasaki.jp",), ("w.z.kawasaki.jp",)], "h string").select(domain.alias("d"), suffix.alias("s")).collect()
+    assert [tuple(r) for r in got] == [("x.y.kawasaki.jp", "y.kawasaki.jp"), ("z.kawasaki.jp", "kawasaki.jp")]
+
+
+def test_the_bound_decides_verdicts_of_the_query(spark, tmp_path):
+    """Labelled tables on which hosts are blocked, through the query and its SQL."""
+    rng = np.random.default_rng(11)
+    hosts = [f"{'bad' if i % 3 == 0 else 'fine'}{i}.site{i % 5}.{('com', 'net', 'co.uk')[i % 3]}" for i in range(30)] + ["u@10.0.0.1:80", "10.0.0.1:81", "x.com:8080"]
+    pages = [(i, f"http://{hosts[i % 33]}/fr/{i}", "") for i in range(2000)]
+    labels = [(i, int(rng.random() > (0.9 if i % 33 % 3 == 0 else 0.05)), int(rng.random() < 0.02)) for i in range(0, 2000, 2)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op1_url_reputation(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op1_url_reputation"]).to_arrow_table()
+    columns = sorted(got.columns)
+    rows = lambda t: key(zip(*(t[c].to_pylist() for c in columns), strict=True))
+    assert rows(got.toArrow()) == rows(want)
+    blocked = {r.host for r in got.where("rule is null and verdict = 'block'").select("host").collect()}
+    assert len(blocked) >= 10 and all(hosts.index(h) % 3 == 0 for h in blocked)
+
+
 # Nearest neighbours
 
 
