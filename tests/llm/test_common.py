@@ -16,6 +16,38 @@ def test_intermediates_lie_in_the_shared_folder_and_go(spark):
     assert spark.sparkContext.applicationId in folder and os.path.isdir(folder)
 
 
+def test_written_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_common, "_app_dir", lambda spark: f"file://{tmp_path}/app")
+    df = _common.written(spark.range(3), "numbers")
+    assert df.count() == 3 and os.path.isdir(tmp_path / "app")
+    _common.drop_written(spark)
+    assert not os.path.exists(tmp_path / "app")
+
+
+def test_batches_are_cut_inside_and_settings_stay(spark):
+    from pyspark.sql import types as T
+
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    df = spark.range(5000).selectExpr("id", "repeat('x', 3000) as t").coalesce(1)
+
+    def sizes(batch):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    got = [r.n for r in _common.map_arrow(df, sizes, T.StructType([T.StructField("n", T.LongType())])).collect()]
+    assert sum(got) == 5000 and max(got) <= 1000 and len(got) >= 5
+    long = spark.range(40).selectExpr("repeat('x', 1000000) as t").coalesce(1)
+    got = [r.n for r in _common.map_arrow(long, sizes, T.StructType([T.StructField("n", T.LongType())])).collect()]
+    assert sum(got) == 40 and max(got) <= 5
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_names_of_our_own_give_way(spark):
+    df = spark.createDataFrame([(1, 2)], "__ROW int, ___row int")
+    assert _common.fresh(df, "__row") == "____row" and _common.fresh(df, "x") == "x"
+
+
 def test_texts_of_nulls():
     import pyarrow as pa
 
