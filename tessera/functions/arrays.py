@@ -63,6 +63,14 @@ def nd_array(values: Column, names: Column | Sequence[str], sizes: Column | Sequ
     return nd_decode(made) if validate else made
 
 
+def nd_array_sql(values: str, names: Sequence[str], sizes: Sequence[int | str]) -> str:
+    """SQL text of an array whose values and sizes are SQL text (or numbers); not validated.
+    A query of many arrays is planned faster from text than from columns."""
+    named, sized = ", ".join(map(_text, names)), ", ".join(f"cast({s} as bigint)" for s in sizes)
+    made = f"named_struct('{NAMES}', cast(array({named}) as array<string>), '{SIZES}', cast(array({sized}) as array<bigint>), '{VALUES}', {values})"
+    return f"if(({values}) is null, null, {made})"
+
+
 def nd_scalar(value: Column) -> Column:
     """An array without dimensions and with one value, which may be null."""
     return F.struct(_names([]).alias(NAMES), _sizes([]).alias(SIZES), F.array(value).alias(VALUES))

@@ -57,17 +57,16 @@ def _values(rows: Sequence[tuple], names: str) -> str:
 
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch per 256 vectors: two-dimensional, one-dimensional and scalar arrays."""
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.expr(f"vec_id div {BLOCK}").alias("block"))
-    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("c"))
-    n = F.size("c")
-    return packed.select(
-        "block",
-        nd.nd_array(F.flatten("c.embedding"), ["vec", "comp"], [n, COMPONENTS], validate=False).alias("value"),
-        nd.nd_array(F.col("c.vec_id"), ["vec"], [n], validate=False).alias("vec_id"),
-        nd.nd_array(F.col("c.label"), ["vec"], [n], validate=False).alias("label"),
-        nd.nd_array(F.sequence(F.lit(0).cast("long"), F.lit(COMPONENTS - 1).cast("long")), ["comp"], [COMPONENTS], validate=False).alias("comp"),
-        nd.nd_scalar(F.lit(0.5)).alias("weight"),
-    )
+    rows = _table(spark, sf_dir, "embeddings").selectExpr(f"vec_id div {BLOCK} as block", "struct(vec_id, label, embedding) as line")
+    packed = rows.groupBy("block").agg(F.expr("array_sort(collect_list(line)) as c"))
+    arrays = {
+        "value": nd.nd_array_sql("flatten(c.embedding)", ["vec", "comp"], ["size(c)", COMPONENTS]),
+        "vec_id": nd.nd_array_sql("c.vec_id", ["vec"], ["size(c)"]),
+        "label": nd.nd_array_sql("c.label", ["vec"], ["size(c)"]),
+        "comp": nd.nd_array_sql(f"sequence(0L, {COMPONENTS - 1}L)", ["comp"], [COMPONENTS]),
+        "weight": nd.nd_array_sql("array(0.5D)", [], []),
+    }
+    return packed.selectExpr("block", *[f"{sql} as {name}" for name, sql in arrays.items()])
 
 
 def vector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
