@@ -106,10 +106,12 @@ def compatible_version(version: str) -> bool:
 
 def marked(df: DataFrame, columns: Sequence[str] | None = None, key: str = METADATA_KEY, version: str = __version__) -> DataFrame:
     """``df`` with encoding metadata on its array columns."""
-    for c in columns if columns is not None else nd_columns(df):
-        check_nd(df.schema[c].dataType, c)
-        df = df.withMetadata(c, (df.schema[c].metadata or {}) | {key: version})
-    return df
+    schema = df.schema
+    chosen = set(columns if columns is not None else [f.name for f in schema.fields if is_nd(f.dataType)])
+    for c in chosen:
+        check_nd(schema[c].dataType, c)
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return df.select(*[quoted(f.name).alias(f.name, metadata=(f.metadata or {}) | {key: version}) if f.name in chosen else quoted(f.name) for f in schema.fields])
 
 
 def check_marked(df: DataFrame, columns: Sequence[str] | None = None, key: str = METADATA_KEY) -> list[str]:

@@ -375,6 +375,13 @@ def nd_reshape_args(spark, sf_dir):
     return rows.select("source", "target", r["whole"].alias("whole"), r["each"].alias("each"))
 
 
+@query("select source, target, case when source = target then 1 when source = '' then 1 when source = t[1] then 1 else substr(t[1], 2)::bigint end as whole, case when source = target then 1 when source = '' then coalesce(list_aggregate(list_transform(t, lambda p: substr(p, 2)::double), 'product'), 1)::bigint when source = t[1] then coalesce(list_aggregate(list_transform(t[2:], lambda p: substr(p, 2)::double), 'product'), 1)::bigint else coalesce(list_aggregate(list_transform(t[3:], lambda p: substr(p, 2)::double), 'product'), 1)::bigint end as each from (select *, list_filter(string_split(target, ' '), lambda p: p <> '') as t from (" + _values([r[:2] for r in RESHAPES], "source, target") + ")) where source = target or source = '' or (source not like '% %' and len(t) <= 3 and (source = t[1] or source = t[2]))")
+def nd_single_repeats(spark, sf_dir):
+    """Repeat counts of scalars, single dimensions and equal shapes, by the planner."""
+    found = [(a, b, plan.single_repeats(_dims(a), _dims(b))) for a, b, *_ in RESHAPES]
+    return spark.createDataFrame([(a, b, r.whole, r.each) for a, b, r in found if r is not None], "source string, target string, whole long, each long")
+
+
 # Encode, decode, validation, schemas
 
 INVALID = [
