@@ -60,7 +60,7 @@ SKIPPED = frozenset("nav footer aside form button select option input textarea s
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification newsletter subscribe subscription popup modal overlay comment comments commentlist reply replies respond disqus share sharing social related recommended widget login signin signup register pagination pager masthead toolbar topbar skip toc paywall disclaimer copyright legal".split())
 #: Those of them that count within articles too.
-INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies gdpr notice notices comment comments commentlist reply replies respond disqus".split())
+INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored newsletter subscribe signup nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies gdpr notice notices comment comments commentlist reply replies respond disqus".split())
 #: Words that may stand beside them in a name.
 BESIDE = frozenset("site main page top bottom left right bar box list item items link links area section wrapper container inner outer block global primary secondary header head to text message".split())
 HEADS = frozenset("header topbar masthead".split())

@@ -43,6 +43,15 @@ def test_batches_are_cut_inside_and_settings_stay(spark):
     assert before == {k: spark.conf.get(k, None) for k in before}
 
 
+def test_rows_are_left_out_by_broadcast_or_join(spark, monkeypatch):
+    df = spark.range(100).withColumnRenamed("id", "row")
+    gone = _common.written(df.where("row % 3 = 0").select("row"), "gone")
+    for bound in (1000, 0):
+        monkeypatch.setattr(_common, "BROADCAST_ROWS", bound)
+        left = _common.without(df, gone, "row")
+        assert left.count() == 66 and left.where("row % 3 = 0").count() == 0
+
+
 def test_names_of_our_own_give_way(spark):
     df = spark.createDataFrame([(1, 2)], "__ROW int, ___row int")
     assert _common.fresh(df, "__row") == "____row" and _common.fresh(df, "x") == "x"
