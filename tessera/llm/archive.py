@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
-from ._common import new_path, numbered, written
+from ._common import bound_batches, new_path, numbered, written
 
 #: Payloads from so many bytes on are stored once; what record ids begin with.
 LEAST, URN, ROW_URN = 100, "urn:page:", "urn:row:"
@@ -59,6 +59,7 @@ def write(pages: DataFrame, path: str | None = None, mode: str = "append", **how
     """Archive ``pages``; the folder's path. ``append`` adds to what is there."""
     spark = pages.sparkSession
     warc.register(spark)
+    bound_batches(spark)
     path = path or new_path(spark, "warc")
     records(pages, **how).write.format("warc").mode(mode).save(path)
     return path

@@ -3,7 +3,8 @@
 1. A bounded sample of labelled rows (``MAX_SAMPLE``) is searched for word and word-stem
    patterns (found once, twice, three times) that occur in toxic texts beyond chance. Of
    patterns found in just the same rows one is kept, of those that nearly agree (``ALIKE``)
-   the strongest; there is no other bound on their number.
+   the strongest, and each must tell something of rows that fewer than ``TIMES_TOLD``
+   stronger ones tell of; there is no other bound on their number.
 2. The voters of the label model are a small lexicon of insults, patterns of punctuation and
    mined patterns, one of each family (stems of one another). The generative model (two latent classes, EM)
    estimates each voter's rates in either class, starting from and held near those the labels
@@ -44,8 +45,8 @@ from ._common import appended, fresh, map_arrow, map_arrow_stream, texts, with_c
 #: Labelled rows the model is fitted on, at most. Patterns whose rows overlap by more than
 #: ``ALIKE`` (Jaccard) are one; voters this correlated within a class share their weight.
 MAX_SAMPLE, ALIKE, CORRELATED = 12_000, 0.8, 0.2
-#: Parts of the sample that calibrate each other's scores.
-FOLDS = 5
+#: Parts of the sample that calibrate each other's scores; patterns that tell of a row.
+FOLDS, TIMES_TOLD = 5, 5
 #: Nats of evidence a mined pattern needs (a bound for some 10^5 patterns tried), and rows.
 MIN_EVIDENCE, MIN_ROWS = 13.0, 4
 #: Scores from which a text counts as toxic.
@@ -199,6 +200,20 @@ def unlike(x: np.ndarray, alike: float = ALIKE) -> list[int]:
     return kept
 
 
+def needed(x: np.ndarray, gold: np.ndarray) -> list[int]:
+    """Columns, first ones preferred, that tell something of rows which fewer than ``TIMES_TOLD``
+    kept ones have spoken of. What is peculiar to a text and its copies is told by others."""
+    told, rate, kept = np.zeros(len(x), np.int64), gold.mean(), []
+    for j in range(x.shape[1]):
+        rows = x[:, j] & (told < TIMES_TOLD)
+        n, p = rows.sum(), gold[rows].mean() if rows.any() else 0.0
+        evidence = n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0)) if p > rate else 0.0
+        if evidence >= MIN_EVIDENCE / 2:
+            kept.append(j)
+            told[x[:, j]] += 1
+    return kept
+
+
 def families(patterns: Sequence[bytes]) -> list[int]:
     """Patterns found once, first ones preferred, none of which is a stem of another."""
     kept: list[bytes] = []
@@ -313,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     finally:
         sample.unpersist()
     kept = unlike(x)
+    kept = [kept[j] for j in needed(x[:, kept], gold)]
     if not kept:
         return Model({w: 4.0 for w in lexicon}, math.log(gold.mean() / (1 - gold.mean())))
     x, patterns = x[:, kept], [patterns[j] for j in kept]

@@ -27,6 +27,7 @@ def test_written_tables_can_be_dropped(spark, tmp_path, monkeypatch):
 def test_batches_are_cut_inside_and_settings_stay(spark):
     from pyspark.sql import types as T
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "77000000")  # a session's own bound stays
     before = {k: spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
     df = spark.range(5000).selectExpr("id", "repeat('x', 3000) as t").coalesce(1)
 
@@ -41,6 +42,9 @@ def test_batches_are_cut_inside_and_settings_stay(spark):
     got = [r.n for r in _common.map_arrow(long, sizes, T.StructType([T.StructField("n", T.LongType())])).collect()]
     assert sum(got) == 40 and max(got) <= 5
     assert before == {k: spark.conf.get(k, None) for k in before}
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    _common.map_arrow(df, sizes, T.StructType([T.StructField("n", T.LongType())]))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(_common.BATCH_BYTES)
 
 
 def test_rows_are_left_out_by_broadcast_or_join(spark, monkeypatch):
