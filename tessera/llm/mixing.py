@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ._common import fresh, numbered, written
 
 #: Tokens that are left to dynamic programming at least, documents of a range of the hash.
-DP_BUDGET, BUCKET = 1 << 16, 128
+DP_BUDGET, BUCKET = 1 << 16, 16
 #: Memory for the sums of documents given back, where that leaves a budget unmet.
 REFIT_BYTES = 1 << 26
 
