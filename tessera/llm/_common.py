@@ -82,6 +82,11 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def column(name: str) -> Column:
+    """The column called so, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

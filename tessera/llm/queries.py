@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archive, decontaminate, html, mixing, pii, simhash, token_output, toxicity, urls
+from . import _common, ann, archive, decontaminate, html, mixing, passages, periodic, pii, simhash, token_output, toxicity, urls, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +91,52 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_nearest, op3_pii, op4_mixing, op5_simhash, op6_html_text, op7_token_output, op8_toxicity, op9_decontaminate, op10_warc)}
+def drop_one(doc_id: str, run: str) -> str:
+    """The contract's misspellings: one run in 31 of a document loses a letter."""
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, edit=drop_one)
+    return variants.group(words, ratio=10)
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of one document in ten, what follows word a repeats the words
+    from a to a + p - 1. A null id leaves its text alone."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.call_function("div", h, F.lit(10).cast("long"))
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.call_function("div", n - a, 3 + g % 8)
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        made = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int")))
+        return F.when(n > 0, F.array_join(made, " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), _common.let(words, repeated)).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")), least=6, exponent=4)
+    by_length = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    longest = F.get(F.array_sort(by_length), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    told = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    length = -F.col("longest.less")
+    return told.select("doc_id", "n_runs", F.col("longest.start").alias("start"), length.alias("length"), F.col("longest.period").alias("period"), F.call_function("div", length * 1000, F.col("longest.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.deduplicate(_table(spark, sf_dir, "documents"), window=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_nearest, op3_pii, op4_mixing, op5_simhash, op6_html_text, op7_token_output, op8_toxicity, op9_decontaminate, op10_warc, op11_spelling_variants, op12_periodic_runs, op13_substring_dedup)}
 
 #: What DuckDB can express.
 ORACLES: dict[str, str] = {
