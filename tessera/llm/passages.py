@@ -36,10 +36,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +51,7 @@ from .decontaminate import Hasher, _places, bloom
 
 #: Words of an anchor at most, windows of a phrase at most, words of an automaton and
 #: documents of a task about.
-PHRASE, LONGEST, SHARD_WORDS, TASK_DOCS = 12, 512, 200_000, 2_000
+PHRASE, LONGEST, SHARD_WORDS, TASK_DOCS = 12, 64, 200_000, 2_000
 #: Rows of a batch that is sent.
 SENT = 1 << 16
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -73,18 +75,43 @@ def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the phrases at each place, place of each window's anchor)."""
+    """(hashes of the phrases at each place, place of each window's anchor): the least by the
+    upper half of its hash, the first of equals."""
     size = min(PHRASE, window)
-    phrases, span = Hasher.shingles(h, size), window - size + 1
+    phrases, span = window_hashes(h, size), window - size + 1
     if len(phrases) < span:
         return phrases, np.zeros(0, np.int64)
-    bits = np.uint64(max(24, len(phrases).bit_length()))
-    least, width = (phrases >> bits << bits) | np.arange(len(phrases), dtype=np.uint64), 1
+    half, width = np.uint64(32), 1
+    least = (phrases >> half << half) | np.arange(len(phrases), dtype=np.uint64)
     while 2 * width <= span:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     if width < span:
         least = np.minimum(least[: len(phrases) - span + 1], least[span - width :])
-    return phrases, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return phrases, (least & np.uint64(2**32 - 1)).astype(np.int64)
+
+
+class _Batch:
+    """The texts of a batch, one after another: their words, hashes and anchors. Windows that
+    cross texts are ``inside`` none."""
+
+    def __init__(self, texts: list[bytes], hasher: Hasher, window: int) -> None:
+        self.words = [t.split() for t in texts]
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        self.h = hasher.words(list(chain.from_iterable(self.words)))
+        self.phrases, self.anchor = anchors(self.h, window)
+        n = len(self.anchor)
+        self.inside = np.arange(n) + window <= np.repeat(self.starts[1:], lengths)[:n]
+        self.used = np.zeros(len(self.phrases), bool)
+        self.used[self.anchor[self.inside]] = True
+
+    def marked(self, table: np.ndarray) -> np.ndarray:
+        """Places of anchors that may be in the filter."""
+        at = np.flatnonzero(self.used)
+        return at[maybe_in(self.phrases[at], table)]
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
 
 
 def maybe_in(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -102,15 +129,14 @@ def _placed(docs: DataFrame, row: str, text_col: str) -> DataFrame:
 def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hasher, found = Hasher(), [np.zeros(0, np.uint64)]
-        for text in texts(batch, "text"):
-            phrases, at = anchors(hasher.words(text.split()), window)
-            found.append(phrases[np.unique(at)])
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            own = _Batch(texts(batch, "text"), hasher, window)
+            hashes, counts = np.unique(own.phrases[own.used], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=schema.names)
 
-    return map_arrow(rows.select("text"), run, schema).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    return map_arrow_stream(rows.select("text"), run, schema).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
 
 
 def _recurring_windows(rows: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
@@ -125,39 +151,31 @@ def _recurring_windows(rows: DataFrame, window: int, bits: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            at_hand: list[list[pa.Array]] = [[] for _ in names]
-            size = 0
-            for text, file, at, doc in zip(texts(batch, "text"), *(batch.column(c).to_pylist() for c in ("file", "at", "doc")), strict=True):
-                h = hasher.words(text.split())
-                phrases, anchor = anchors(h, window)
-                pos = np.flatnonzero(maybe_in(phrases, table.value)[anchor])
-                if not len(pos):
-                    continue
-                hashes = window_hashes(h, window)[pos].view(np.int64)
-                first = np.zeros(len(pos), bool)
-                first[np.unique(hashes, return_index=True)[1]] = True
-                mark = Hasher.shingles(np.array([file, at], np.int64).view(np.uint64), 2)[0]
-                x = (mark ^ np.arange(len(h) + 1, dtype=np.uint64)) * _MIX
-                x = ((x ^ (x >> np.uint64(32))) * _ODD).view(np.int64)
-                n = len(pos)
-                values = (pa.array(hashes), pa.array(np.full(n, doc), mask=~first), pa.array(np.full(n, file)), pa.array(np.full(n, at)), pa.array(pos), pa.array(x[pos]), pa.array(x[pos + 1]))
-                for kept, value in zip(at_hand, values, strict=True):
-                    kept.append(value)
-                size += n
-                if size >= SENT:
-                    yield from _joined(at_hand, names)
-                    at_hand, size = [[] for _ in names], 0
-            if size:
-                yield from _joined(at_hand, names)
+            own = _Batch(texts(batch, "text"), hasher, window)
+            wanted = np.zeros(len(own.phrases), bool)
+            wanted[own.marked(table.value)] = True
+            pos = np.flatnonzero(own.inside & wanted[own.anchor])
+            file, at, doc = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("file", "at", "doc"))
+            mark = (file.view(np.uint64) * _ODD ^ at.view(np.uint64)) * _MIX
+            hashes, of = window_hashes(own.h, window)[pos].view(np.int64), own.text_of(pos)
+            order = np.argsort(hashes, kind="stable")
+            first = np.ones(len(pos), bool)
+            first[order[1:]] = (hashes[order[1:]] != hashes[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+            local = (pos - own.starts[of]).astype(np.uint64)
+            for a in range(0, len(pos), SENT):
+                c, k = slice(a, a + SENT), of[a : a + SENT]
+                x, y = (_place_hash(mark[k], local[c] + np.uint64(i)) for i in (0, 1))
+                values = (hashes[c], pa.array(doc[k], mask=~first[c]), file[k], at[k], local[c].view(np.int64), x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=list(names))
 
     owner = [F.min_by(c, "doc").alias(c) for c in ("file", "at", "pos")]  # of numbers only, so Spark keeps the groups in a hash table
     found = map_arrow_stream(keyed, run, schema).groupBy("hash").agg(F.count("*").alias("n"), F.count("doc").alias("docs"), *owner, F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     return found.where("n > 1").drop("hash")
 
 
-def _joined(columns: list[list[pa.Array]], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_arrays([pa.chunked_array(c).combine_chunks() for c in columns], names=list(names))
-    yield from table.to_batches(max_chunksize=SENT)
+def _place_hash(mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x = (mark ^ at) * _MIX
+    return ((x ^ (x >> np.uint64(32))) * _ODD).view(np.int64)
 
 
 def _phrases(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
@@ -175,15 +193,14 @@ def _phrases(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out: list[tuple] = []
-            for text, pieces in zip(texts(batch, "text"), batch.column("pieces").to_pylist(), strict=True):
-                words = text.split()
-                for p in pieces:
-                    own = words[p["start"] : p["start"] + p["n"] + window - 1]
-                    h = hasher.words(own[:window])
-                    hashes, at = anchors(h, window)
-                    out.append((window_hashes(h, window).view(np.int64)[0], hashes.view(np.int64)[at[0]], b" ".join(own).decode(), len(own), p["docs"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=schema.names)
+            own = _Batch(texts(batch, "text"), hasher, window)
+            pieces = batch.column("pieces")
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(pieces).to_numpy())
+            start, n, docs = (pieces.flatten().field(c).to_numpy() for c in ("start", "n", "docs"))
+            at = own.starts[of] + start
+            kept = [b" ".join(own.words[k][a : a + m]) for k, a, m in zip(of.tolist(), start.tolist(), (n + window - 1).tolist(), strict=True)]
+            anchor = own.phrases[own.anchor[at]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(window_hashes(own.h, window)[at].view(np.int64)), pa.array(anchor), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n + window - 1), pa.array(docs)], names=schema.names)
 
     return map_arrow_stream(_with(rows, owned, ["file", "at"]), run, schema)
 
@@ -207,25 +224,24 @@ def _parts(rows: DataFrame, window: int, bits: np.ndarray, shards: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
+            own = _Batch(texts(batch, "text"), hasher, window)
+            file, at = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "at"))
+            hit = own.marked(table.value)
+            shard, of = own.phrases[hit].view(np.int64) % shards, own.text_of(hit)
+            order = np.lexsort((hit, shard, of))
+            hit, shard, of = hit[order], shard[order], of[order]
+            local = hit - own.starts[of]
+            ends = np.flatnonzero((np.diff(of) != 0) | (np.diff(shard) != 0) | (np.diff(hit) > back + on)) if len(hit) else hit
+            firsts, lasts = (np.concatenate((x, y)).astype(np.int64)[: len(hit)] for x, y in (([0], ends + 1), (ends, [len(hit) - 1])))
             out: list[tuple] = []
             size = 0
-            for text, file, at in zip(texts(batch, "text"), *(batch.column(c).to_pylist() for c in ("file", "at")), strict=True):
-                words = text.split()
-                phrases, anchor = anchors(hasher.words(words), window)
-                anchor = np.unique(anchor)
-                hit = anchor[maybe_in(phrases[anchor], table.value)]
-                shard = phrases[hit].view(np.int64) % shards
-                for s in np.unique(shard).tolist():
-                    places = hit[shard == s]
-                    ends = np.flatnonzero(np.diff(places) > back + on)
-                    for a, b in zip(places[np.concatenate(([0], ends + 1))].tolist(), places[np.concatenate((ends, [-1]))].tolist(), strict=True):
-                        a = max(0, a - back)
-                        part = b" ".join(words[a : b + on])
-                        out.append((file, at, s, a, part.decode()))
-                        size += len(part)
-                        if size > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=list(names))
-                            out, size = [], 0
+            for k, s, a, b in zip(of[firsts].tolist(), shard[firsts].tolist(), np.maximum(local[firsts] - back, 0).tolist(), (local[lasts] + on).tolist(), strict=True):
+                part = b" ".join(own.words[k][a:b])
+                out.append((file[k], at[k], s, a, part.decode()))
+                size += len(part)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=list(names))
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=list(names))
 
@@ -302,7 +318,7 @@ def occurrences(docs: DataFrame, window: int = 35, text_col: str = "text", row:
     bits = bloom(phrases.select(F.col("anchor").alias("hash")).distinct(), total["n"])
     hits = written(_located(told, _parts(rows, window, bits, shards), written(plan, "passages-plan")), "passages-hits")
     chance = hits.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
-    real = hits.join(chance, "id", "left_anti")
+    real = without(hits, written(chance, "passages-chance"), "id")
     return real.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end")))).alias("spans"))
 
 
