@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import DimensionSizeMismatch, NoDimensionNames, NoDimensionSizes, NoValues, NullDimension, ShapeAndLengthMismatch
 from ..plans.dims import Dimension, dimensions
-from .schema import METADATA_KEY, NAMES, SIZES, VALUES, check_marked, check_nd, marked, nd_type
+from .schema import METADATA_KEY, NAMES, SIZES, VALUES, check_marked, check_nd, free_name, marked, nd_type, quoted
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -199,7 +199,7 @@ def encode_batches(df: DataFrame, columns: Sequence[str] | None = None, key: str
     columns = list(columns) if columns is not None else df.columns
     for c in columns:
         check_nd(df.schema[c].dataType, c)
-    return marked(df.withColumns({c: nd_decode(F.col(c)) for c in columns}), columns, key)
+    return marked(df.withColumns({c: nd_decode(quoted(c)) for c in columns}), columns, key)
 
 
 def decode_batches(df: DataFrame, columns: Sequence[str] | None = None, need_metadata: bool = True, key: str = METADATA_KEY) -> DataFrame:

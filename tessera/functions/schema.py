@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,19 @@ METADATA_KEY = "nd-array-schema"
 STRICT_TYPES = (T.NullType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BinaryType)
 
 
+def quoted(name: str) -> Column:
+    """The column called so, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, or it with underscores before it until none of ``taken`` is called so."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
 def check_element_type(kind: T.DataType) -> None:
     unsigned = isinstance(kind, T.DecimalType) and (kind.precision, kind.scale) == (20, 0)  # 64 bits without sign
     if not isinstance(kind, STRICT_TYPES) and not unsigned:
@@ -110,7 +123,6 @@ def marked(df: DataFrame, columns: Sequence[str] | None = None, key: str = METAD
     chosen = set(columns if columns is not None else [f.name for f in schema.fields if is_nd(f.dataType)])
     for c in chosen:
         check_nd(schema[c].dataType, c)
-    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
     return df.select(*[quoted(f.name).alias(f.name, metadata=(f.metadata or {}) | {key: version}) if f.name in chosen else quoted(f.name) for f in schema.fields])
 
 

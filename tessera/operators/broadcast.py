@@ -9,8 +9,13 @@ Three ways give the same cells:
 
 A table is made by exploding positions and reading every array at its own place of the
 position, so no array is expanded in memory; only ``nd_broadcast``, whose result is an
-array, does that. A row whose target is larger than ``PACKED_CELLS`` is cut into slabs
-first, which are dealt over the cluster, each with its part of the largest arrays.
+array, does that (``nd_broadcast_view`` gives a view instead). A row whose target is larger
+than ``PACKED_CELLS`` is cut into slabs of so many cells. Where the planner knows the target,
+slabs are sliced off before they are dealt over the cluster: arrays whose cells follow the
+target's leading dimensions move once, in parts, the others (vectors along trailing
+dimensions) with each slab. Where dimensions are data, ``spread`` does the same; without it
+slabs bound the positions a task holds, but a row stays in its task. ``largest_target`` tells
+how many cells that is, from names and sizes alone.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidShapes, NoBroadcastShape
 from ..functions.arrays import let, literal_dimensions, nd_dimensions, product
-from ..functions.schema import NAMES, SIZES, VALUES, check_nd, element_type
+from ..functions.schema import NAMES, SIZES, VALUES, check_nd, free_name, quoted
 from ..plans.dims import Dimension, broadcast_target, dimensions, flat_size, repeats_or_raise, strides
 
 #: Cells of a row's target that one task turns into rows; beyond, the row is cut into slabs.
@@ -97,13 +102,21 @@ def target_of(arrays: Sequence[Column]) -> Column:
     return best
 
 
-def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims: Mapping[str, Sequence[Dimension]] | None = None, keep: Sequence[str] = (), coordinates: Sequence[str] = ()) -> DataFrame:
+def largest_target(df: DataFrame, columns: Sequence[str]) -> int:
+    """Cells of the largest target among the rows: what ``spread`` is decided by. Reads names
+    and sizes, not values (of Parquet, only their columns)."""
+    cells = product(F.transform(target_of([quoted(c) for c in columns]), lambda d: d["size"]))
+    return df.agg(F.max(cells)).first()[0] or 0
+
+
+def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims: Mapping[str, Sequence[Dimension]] | None = None, keep: Sequence[str] = (), coordinates: Sequence[str] = (), spread: bool = False) -> DataFrame:
     """Flatten each row's batch to a table: one row per cell of the target shape.
 
     ``dims`` gives every array's dimensions if all rows share them (static); without it they
     are read from each row. ``keep`` columns are repeated as they are. ``coordinates`` names
     a position column and one column for each target dimension (static only), since rows of
-    a table have no order.
+    a table have no order. ``spread`` deals the slabs of large rows over the cluster though
+    dimensions are data (static targets are, by their size).
     """
     columns = [c for c in (columns if columns is not None else df.columns) if c not in keep]
     if not columns:
@@ -123,30 +136,35 @@ def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims
         known = {c: dimensions(dims[c]) for c in columns}
         target = broadcast_target(list(known.values()))
         n = flat_size(target)
-        each = {c: repeats_or_raise(known[c], target).each for c in columns}
-        whole = [c for c in columns if known[c] == target]
-        rows = df.select(*keep, *[F.col(c)[VALUES].alias(c) for c in columns])
-        first = F.lit(0)
-        if n > PACKED_CELLS:  # slabs of the arrays that have the target's shape; the others go along
-            rows = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(PACKED_CELLS).cast("long")))).repartition(part)
+        how = {c: repeats_or_raise(known[c], target) for c in columns}
+        each = {c: how[c].each for c in columns}
+        rows = df.select(*map(quoted, keep), *[quoted(c)[VALUES].alias(c) for c in columns])
+        first, begins = F.lit(0).cast("long"), dict.fromkeys(columns, F.lit(0).cast("long"))
+        count = F.lit(n).cast("long")
+        if n > PACKED_CELLS:
             first = F.col(part)
-            rows = rows.withColumns({c: F.slice(c, (first + 1).cast("int"), F.lit(PACKED_CELLS)) for c in whole})
             count = F.least(F.lit(PACKED_CELLS).cast("long"), F.lit(n) - first)
-        else:
-            count = F.lit(n).cast("long")
+            begins = {c: _whole_div(first, each[c]) if known[c] and how[c].whole == 1 else begins[c] for c in columns}
+            last = {c: _whole_div(first + count - 1, each[c]) for c in columns}
+            own = {c: F.slice(quoted(c), (begins[c] + 1).cast("int"), (last[c] - begins[c] + 1).cast("int")) if known[c] and how[c].whole == 1 else quoted(c) for c in columns}
+            slabs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"), F.lit(PACKED_CELLS).cast("long"))).alias(part)
+            # Sliced in the projection below the exchange; round robin, as few rows make many slabs.
+            rows = rows.select("*", slabs).select(*map(quoted, keep), *[own[c].alias(c) for c in columns], part).hint("rebalance")
         cells = rows.withColumn(at, F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))))
         place = F.col(at) + first
 
         def cell(c: str) -> Column:
             if not known[c]:
-                return F.get(F.col(c), F.lit(0))
+                return F.get(quoted(c), F.lit(0))
             if known[c] == target:
-                return F.get(F.col(c), F.col(at).cast("int"))
-            return F.get(F.col(c), _div(place, each[c], flat_size(known[c])))
+                return F.get(quoted(c), F.col(at).cast("int"))
+            if how[c].whole == 1:
+                return F.get(quoted(c), (_whole_div(place, each[c]) - begins[c]).cast("int"))
+            return F.get(quoted(c), _div(place, each[c], flat_size(known[c])))
 
         names, sizes = list(coordinates), [d.size for d in target]
         where = [place.cast("long").alias(name) for name in names[:1]] + [_div(place, step, size).cast("long").alias(name) for name, step, size in zip(names[1:], strides(sizes), sizes, strict=False)]
-        return cells.select(*keep, *where, *[cell(c).alias(c) for c in columns])
+        return cells.select(*map(quoted, keep), *where, *[cell(c).alias(c) for c in columns])
     if coordinates:
         raise ValueError("coordinates need static dimensions")
     # SQL text, as these expressions are long and every row's dimensions are asked for often.
@@ -162,8 +180,19 @@ def broadcast_to_table(df: DataFrame, columns: Sequence[str] | None = None, dims
     held = held.selectExpr(*kept, total, *steps.values(), *[f"{shapes[c]}.{VALUES} as {_quoted(c)}" for c in columns])
     # Errors of a row must show though it has no cells: its counts are asked for first.
     asked = " + ".join(steps.values())
-    cells = held.withColumn(at, F.expr(f"explode(case when {total} > 0 then sequence(0L, {total} - 1) when {asked} < 0 then array(0L) end)"))
-    return cells.selectExpr(*kept, *[f"get({_quoted(c)}, cast({at} div {steps[c]} % size({_quoted(c)}) as int)) as {_quoted(c)}" for c in columns])
+    whole = {c: own(f"__size_{i}") for i, c in enumerate(columns)}
+    slabs = held.selectExpr("*", f"explode(case when {total} > 0 then sequence(0L, {total} - 1, {PACKED_CELLS}L) when {asked} < 0 then array(0L) end) as {part}")
+    count = f"least({PACKED_CELLS}L, {total} - {part})"
+    begins = dict.fromkeys(columns, "0L")
+    if spread:  # an array along the leading dimensions goes with its part for the slab
+        leads = {c: f"{steps[c]} * size({_quoted(c)}) = {total}" for c in columns}
+        moved = {c: own(f"__from_{i}") for i, c in enumerate(columns)}
+        slabs = slabs.selectExpr(*kept, total, part, *steps.values(), *[f"size({_quoted(c)}) as {whole[c]}" for c in columns], *[f"if({leads[c]}, {part} div {steps[c]}, 0L) as {moved[c]}" for c in columns], *[f"if({leads[c]}, slice({_quoted(c)}, cast({part} div {steps[c]} as int) + 1, cast(({part} + {count} - 1) div {steps[c]} - {part} div {steps[c]} as int) + 1), {_quoted(c)}) as {_quoted(c)}" for c in columns]).hint("rebalance")
+        begins, sizes = moved, whole
+    else:
+        sizes = {c: f"size({_quoted(c)})" for c in columns}
+    cells = slabs.withColumn(at, F.expr(f"explode(sequence({part}, {part} + {count} - 1))"))
+    return cells.selectExpr(*kept, *[f"get({_quoted(c)}, cast({at} div {steps[c]} % {sizes[c]} - {begins[c]} as int)) as {_quoted(c)}" for c in columns])
 
 
 def _quoted(name: str) -> str:
@@ -179,6 +208,10 @@ def _each_sql(a: str, dims: str, target: str) -> str:
     return f"case when {a} is null or {dims} = {target} then 1L when size({dims}) = 0 then greatest(1L, aggregate({target}, 1L, (n, d) -> n * d.size)) when size({dims}) > size({target}) or {start} is null then cast({wrong} as bigint) else greatest(1L, {each}) end"
 
 
+def _whole_div(place: Column, step: int) -> Column:
+    return F.call_function("div", place, F.lit(max(1, step)).cast("long"))
+
+
 def _div(place: Column, step: int, size: int) -> Column:
     """``place div step % size``, as an index."""
     return (F.call_function("div", place, F.lit(max(1, step)).cast("long")) % F.lit(max(1, size))).cast("int")
@@ -196,7 +229,8 @@ def broadcast_tables(target: DataFrame, *others: tuple[DataFrame, Sequence[str]]
         if shared:
             out = out.join(table, list(shared), "left")
         else:
-            single = table.agg(*[F.first(c).alias(c) for c in table.columns], F.count("*").alias("__n"))
-            single = single.select(*[F.when(F.col("__n") == 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{InvalidShapes.code}: a scalar table has one row"))).alias(c) for c in table.columns])
+            rows = free_name(table.columns, "__n")
+            single = table.agg(*[F.first(quoted(c)).alias(c) for c in table.columns], F.count("*").alias(rows))
+            single = single.select(*[F.when(F.col(rows) == 1, quoted(c)).otherwise(F.raise_error(F.lit(f"{InvalidShapes.code}: a scalar table has one row"))).alias(c) for c in table.columns])
             out = out.crossJoin(F.broadcast(single))  # an aggregate without keys: one row
     return out
