@@ -12,9 +12,12 @@ from .functions import arrays as nd
 from .functions import schema as nds
 from .operators import broadcast as bc
 from .operators import chunk as ch
+from .operators import grid as gr
+from .operators import view as vw
 from .plans import dims as plan
 from .plans.dims import Dimension
 from .sources import arrow as src
+from .sources import chunk_store as store
 from .streaming import chunks as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,28 +536,136 @@ for _name, _cell in {
     _typed_chunks(_name, _cell)
 
 
-AUTO = [(1, 131072, (("N_PROF", 44452), ("N_LEVELS", 3660))), (2, 131072, (("a", 1_000_000), ("b", 2))), (3, 4096, (("a", 100_000), ("b", 3), ("c", 3), ("d", 3))), (4, 4096, (("a", 50), ("b", 40))), (5, 4096, (("a", 4096), ("b", 4096), ("c", 4096))), (6, 1000, (("a", 7),)), (7, 1000, (("a", 99_999),))]
-_AUTO_ROWS = [(g, target, i, name, size) for g, target, dims in AUTO for i, (name, size) in enumerate(dims)]
+# Chunks meet chunks: nothing below makes a row of a cell before its result does
 
+VEC_COMP = ("vec", "comp")
+#: Elements of a chunk, about, where grids are planned from the data.
+CHUNK_CELLS = 4096
+#: A box of the embeddings: vectors and components from, to.
+REGION = {"vec": (100, 300), "comp": (10, 50)}
 
-@query(f"""
-with d as ({_values(_AUTO_ROWS, 'g, target, i, name, size')}),
-m as (select *, greatest(1, max(size) over (partition by g)) as largest, count(*) over (partition by g) as rank from d),
-p as (select *, size::double / largest as ratio from m),
-s as (select g, power(any_value(target) / product(ratio), 1.0::double / any_value(rank)) as scale from p group by g),
-c as (select p.*, scale, greatest(1, least(floor(ratio * scale), size)) as once, greatest(1, least(floor(ratio * scale * 2), size)) as twice from p join s using (g)),
-t as (select g, product(once) as p1, product(twice) as p2 from c group by g)
-select c.g, i as pos, name, (case when p1 >= target // 2 then once when p2 >= target // 2 then twice else size end)::bigint as chunk from c join t on t.g = c.g""")
+
+@query("select vec_id as vec, c.i as comp, embedding[c.i + 1] as value, label, 2 * c.i as twice, 0.5::double as weight from embeddings e, range(64) c(i)")
+def nd_chunk_broadcast(spark, sf_dir):
+    """The flagship's cells, all arrays chunked on aligned grids: chunks meet by their origins."""
+    e = _table(spark, sf_dir, "embeddings")
+    n = e.count()
+    labels = ch.chunk_table(e, ["vec_id"], [n], (64,), "label")
+    twice = ch.chunk_table(spark.range(COMPONENTS).select("id", (2 * F.col("id")).alias("twice")), ["id"], [COMPONENTS], (16,), "twice")
+    weight = spark.range(1).select(F.array(F.lit(0.5)).alias("values"))
+    met = gr.broadcast_chunks(_embedding_chunks(spark, sf_dir, (64, 16)), VEC_COMP, {"label": (labels, ["vec"]), "twice": (twice, ["comp"]), "weight": (weight, [])})
+    return gr.chunk_cells(met, VEC_COMP, {"values": VEC_COMP, "label": ["vec"], "twice": ["comp"], "weight": []}).withColumnRenamed("values", "value")
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's batches, each array a view in the batch's common shape."""
+    b = embedding_batches(spark, sf_dir)
+    target = nd.nd_dimensions(F.col("value"))
+    return b.select("block", vw.nd_view(F.col("value")).alias("value"), *[vw.nd_broadcast_view(F.col(c), target).alias(c) for c in ("vec_id", "label", "comp", "weight")])
+
+
+@query("select vec_id // 256 as block, vec_id % 256 as row, c.i as col, embedding[c.i + 1] as value, vec_id, label, c.i as comp, 0.5::double as weight from embeddings e, range(64) c(i)")
+def nd_view_table(spark, sf_dir):
+    """Views of the common shape, flattened: cells are read through strides."""
+    columns = dict.fromkeys(("value", "vec_id", "label", "comp", "weight"), 2)
+    return vw.view_table(_views(spark, sf_dir), columns, keep=["block"], coordinates=["row", "col"])
+
+
+@query("""with b as (select vec_id // 256 as block, count(*) as n from embeddings group by all),
+g as (select b.block, n, r.i as o0, c.i as o1, row_number() over (partition by b.block order by r.i, c.i) - 1 as chunk_ordinal from b, range(0, 256, 100) r(i), range(0, 64, 20) c(i) where r.i < n)
+select block, chunk_ordinal, o0, o1, least(100, n - o0) as s0, least(20, 64 - o1) as s1, least(100, n - o0)::int as held, r.i as row, c.i as col, label
+from g, range(100) r(i), range(20) c(i), embeddings e where r.i < least(100, n - o0) and c.i < least(20, 64 - o1) and e.vec_id = block * 256 + o0 + r.i""")
+def nd_view_chunks(spark, sf_dir):
+    """A vector expanded to two dimensions and cut to chunks as a view: a chunk carries its part
+    of the vector (``held`` values), not its cells."""
+    cut = _views(spark, sf_dir).select("block", F.explode(vw.view_chunks(F.col("label"), (100, 20))).alias("c"))
+    at = F.col("c.chunk_indices")
+    told = cut.select("block", F.col("c.chunk_ordinal").alias("chunk_ordinal"), F.get(at, F.lit(0)).alias("o0"), F.get(at, F.lit(1)).alias("o1"), F.get("c.view.dimension_sizes", F.lit(0)).alias("s0"), F.get("c.view.dimension_sizes", F.lit(1)).alias("s1"), F.size("c.view.values").alias("held"), F.col("c.view").alias("label"))
+    return vw.view_table(told, {"label": 2}, keep=["block", "chunk_ordinal", "o0", "o1", "s0", "s1", "held"], coordinates=["row", "col"])
+
+
+@query("select vec_id as vec, c.i as comp, label, embedding[c.i + 1] as value from embeddings e, range(64) c(i)")
+def nd_view_array(spark, sf_dir):
+    """Views as arrays again."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", nd.nd_array(F.col("embedding"), ["comp"], [COMPONENTS]).alias("value"), nd.nd_scalar(F.col("label")).alias("label"))
+    label = vw.view_array(vw.nd_broadcast_view(F.col("label"), nd.nd_dimensions(F.col("value"))), 1)
+    cells = e.select("vec_id", F.posexplode(F.arrays_zip(label["values"].alias("label"), F.col("value.values").alias("value"))).alias("comp", "x"))
+    return cells.select(F.col("vec_id").alias("vec"), F.col("comp").cast("long").alias("comp"), "x.label", "x.value")
+
+
+def _chunk_store(spark: SparkSession, sf_dir: str, target: int = CHUNK_CELLS) -> dict[str, str]:
+    """Stores of the embeddings and their labels, on grids planned from the table; their paths."""
+    e = _table(spark, sf_dir, "embeddings")
+    vec, comp = store.measure(e.select(F.col("vec_id").alias("vec"), (F.size("embedding") - 1).alias("comp")), VEC_COMP)
+    grids = store.plan_grids({"value": [vec, comp], "label": [vec]}, target)
+    folder = streaming.shared_folder(spark)
+    value = ch.chunk_rows(e, ["vec_id"], [vec.size, comp.size], grids["value"].chunk_shape, "embedding")
+    label = ch.chunk_table(e, ["vec_id"], [vec.size], grids["label"].chunk_shape, "label")
+    for name, chunks in (("value", value), ("label", label)):
+        store.write_store(chunks, f"{folder}/{name}", grids[name])
+    return {name: f"{folder}/{name}" for name in grids}
+
+
+_PLAN_SQL = f"""with n as (select max(vec_id) + 1 as n_vec, max(len(embedding))::bigint as n_comp from embeddings),
+d as (select n_vec, n_comp, greatest(n_vec, n_comp) as largest from n),
+s as (select *, power({CHUNK_CELLS}::double / ((n_vec / largest) * (n_comp / largest)), 0.5::double) as scale from d),
+c as (select *, greatest(1, least(floor(n_vec / largest * scale), n_vec)) as v1, greatest(1, least(floor(n_comp / largest * scale), n_comp)) as c1, greatest(1, least(floor(n_vec / largest * scale * 2), n_vec)) as v2, greatest(1, least(floor(n_comp / largest * scale * 2), n_comp)) as c2 from s),
+p as (select n_vec, n_comp, (case when v1 * c1 >= {CHUNK_CELLS // 2} then v1 when v2 * c2 >= {CHUNK_CELLS // 2} then v2 else n_vec end)::bigint as own_vec, (case when v1 * c1 >= {CHUNK_CELLS // 2} then c1 when v2 * c2 >= {CHUNK_CELLS // 2} then c2 else n_comp end)::bigint as chunk_comp from c),
+plan as (select *, least(own_vec, n_vec, {CHUNK_CELLS}) as chunk_vec from p)
+"""
+
+
+@query(_PLAN_SQL + "select v.i as o0, c.i as o1, least(chunk_vec, n_vec - v.i) as s0, least(chunk_comp, n_comp - c.i) as s1, least(chunk_vec, n_vec - v.i) * least(chunk_comp, n_comp - c.i) as cells from plan, range(1000000) v(i), range(64) c(i) where v.i < n_vec and v.i % chunk_vec = 0 and c.i < n_comp and c.i % chunk_comp = 0")
 def nd_auto_chunk(spark, sf_dir):
-    rows = [(g, i, d.name, d.size) for g, target, dims in AUTO for i, d in enumerate(plan.aligned_chunks([plan.dimensions(dims)], target)[0])]
-    return spark.createDataFrame(rows, "g int, pos int, name string, chunk long")
+    """Dimensions measured in the table, a grid planned for them, chunks stored and read back."""
+    chunks, _ = store.open_store(spark, _chunk_store(spark, sf_dir)["value"])
+    return chunks.select("o0", "o1", "s0", "s1", F.size("values").cast("long").alias("cells"))
 
 
-@query("""with d as (select * from (values (0, 2, 'N_PROF', 44452, 44452.0), (0, 2, 'N_LEVELS', 3660, 44452.0), (1, 1, 'N_PROF', 44452, 44452.0)) t(g, rank, name, size, largest)),
-s as (select g, any_value(rank) as rank, power(131072.0::double / product(size / largest), 1.0::double / any_value(rank)) as scale from d group by g),
-c as (select g, name, size, greatest(1, least(floor(size / largest * scale), size)) as chunk from d join s using (g))
-select name, g, (min(chunk) over (partition by name))::int as chunk from c""")
+@query(_PLAN_SQL + "select 'value' as name, v.i as o0, least(chunk_vec, n_vec - v.i) as s0, (n_comp + chunk_comp - 1) // chunk_comp as chunks, n_comp * least(chunk_vec, n_vec - v.i) as cells from plan, range(1000000) v(i) where v.i < n_vec and v.i % chunk_vec = 0 union all select 'label', v.i, least(chunk_vec, n_vec - v.i), 1, least(chunk_vec, n_vec - v.i) from plan, range(1000000) v(i) where v.i < n_vec and v.i % chunk_vec = 0")
 def nd_auto_chunk_aligned(spark, sf_dir):
-    groups = [plan.dimensions([("N_PROF", 44452), ("N_LEVELS", 3660)]), plan.dimensions([("N_PROF", 44452)])]
-    rows = [(d.name, g, d.size) for g, dims in enumerate(plan.aligned_chunks(groups, 131072)) for d in dims]
-    return spark.createDataFrame(rows, "name string, g int, chunk int")
+    """Arrays that share a dimension are cut at the same places along it."""
+    out = None
+    for name, path in _chunk_store(spark, sf_dir).items():
+        chunks, _ = store.open_store(spark, path)
+        told = chunks.groupBy("o0", "s0").agg(F.count("*").alias("chunks"), F.sum(F.size("values")).alias("cells")).select(F.lit(name).alias("name"), "o0", "s0", "chunks", "cells")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("select vec_id as vec, c.i as comp, embedding[c.i + 1] as value, label from embeddings e, range(64) c(i)")
+def nd_auto_chunk_broadcast(spark, sf_dir):
+    """Stores on aligned grids, broadcast chunk to chunk."""
+    paths = _chunk_store(spark, sf_dir)
+    (value, _), (label, _) = (store.open_store(spark, paths[c]) for c in ("value", "label"))
+    met = gr.broadcast_chunks(value, VEC_COMP, {"label": (label, ["vec"])})
+    return gr.chunk_cells(met, VEC_COMP, {"values": VEC_COMP, "label": ["vec"]}).withColumnRenamed("values", "value")
+
+
+@query("select vec_id as vec, c.i as comp, embedding[c.i + 1] as value from embeddings e, range(64) c(i) where " + " and ".join(f"{c} >= {a} and {c} < {b}" for c, (a, b) in zip(("vec_id", "c.i"), REGION.values(), strict=True)))
+def nd_chunk_region(spark, sf_dir):
+    """A box of a stored array; row groups without it aren't read, chunks at its edge trimmed."""
+    part = store.read_region(spark, _chunk_store(spark, sf_dir)["value"], REGION)
+    return ch.unchunk(part, VEC_COMP, "value")
+
+
+@query(ORACLES["nd_chunk_values"])
+def nd_rechunk(spark, sf_dir):
+    """From the grid (70, 24) to (64, 16): slices of lines move."""
+    e = _table(spark, sf_dir, "embeddings")
+    moved = gr.rechunk(_embedding_chunks(spark, sf_dir, (70, 24)), [e.count(), COMPONENTS], (64, 16))
+    return moved.select("o0", "o1", F.posexplode("values").alias("pos", "value"))
+
+
+_MILLIONTHS = "select vec_id as i, c.i as j, case when vec_id % 7 = 0 and c.i % 5 = 0 then null else floor(embedding[c.i + 1]::double * 1000000)::bigint end as v from embeddings, range(64) c(i)"
+
+
+@query(f"select j as comp, count(v) as n, count(*) - count(v) as nulls, sum(v)::bigint as total, min(v) as least, max(v) as most, sum(v)::double / count(v) as mean from ({_MILLIONTHS}) group by j")
+def nd_chunk_mean(spark, sf_dir):
+    """Sums over the vectors for each component: within chunks, then over them."""
+    e = _table(spark, sf_dir, "embeddings")
+    cells = F.transform("embedding", lambda v, j: F.when((F.col("vec_id") % 7 == 0) & (j % 5 == 0), None).otherwise(F.floor(v.cast("double") * 1000000)))
+    chunks = ch.chunk_rows(e.select("vec_id", cells.alias("v")), ["vec_id"], [e.count(), COMPONENTS], (64, 16), "v")
+    summed = gr.reduce_chunks(chunks, 2, 0)
+    places = summed.select("o0", F.posexplode(F.arrays_zip("n", "nulls", "sum", "least", "most")).alias("pos", "x"))
+    return places.select((F.col("o0") + F.col("pos")).alias("comp"), "x.n", "x.nulls", F.col("x.sum").alias("total"), "x.least", "x.most", (F.col("x.sum").cast("double") / F.col("x.n")).alias("mean"))
