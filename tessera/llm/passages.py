@@ -47,33 +47,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import BROADCAST_ROWS, column, map_arrow, map_arrow_stream, numbered, texts, without, written
-from .decontaminate import Hasher, _places, bloom
+from .decontaminate import _places, bloom
 
 #: Words of an anchor at most, windows of a phrase at most, words of an automaton and
 #: documents of a task about.
 PHRASE, LONGEST, SHARD_WORDS, TASK_DOCS = 12, 64, 200_000, 2_000
-#: Rows of a batch that is sent.
-SENT = 1 << 16
+#: Rows of a batch that is sent, texts that are hashed together (their bytes take 24 each then).
+SENT, TEXTS = 1 << 16, 250
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
-
-def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
-    """A hash of each window, of its words' hashes, whatever the window's length: differences
-    of one running sum, brought to the same power."""
-    if len(h) < window:
-        return np.zeros(0, np.uint64)
-    up = np.full(len(h), _ODD, np.uint64)
-    up[0] = 1
-    down = np.full(len(h), _INVERSE, np.uint64)
-    down[0] = 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)))
-    x = (sums[window:] - sums[:-window]) * np.cumprod(down, dtype=np.uint64)[: len(h) - window + 1]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of values: differences of one running sum of values times powers
+    of an odd number, brought to the same power. Equal stretches have equal hashes wherever
+    they lie; different ones may have, which costs work but no right result."""
+    n = len(values)
+    up, down = np.full(n, _ODD, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[:1] = down[:1] = 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumprod(up, out=up)
+    np.multiply(up, values, out=up)
+    np.cumsum(up, out=sums[1:])
+    x = sums[ends] - sums[starts]
+    x *= np.cumprod(down, out=down)[starts]
     x ^= x >> np.uint64(32)
     x *= _MIX
     return x ^ (x >> np.uint64(29))
 
 
+def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each window, of its words' hashes."""
+    at = np.arange(max(0, len(h) - window + 1))
+    return _stretches(h, at, at + window)
+
+
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the phrases at each place, place of each window's anchor): the least by the
     upper half of its hash, the first of equals."""
@@ -91,20 +100,27 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Batch:
-    """The texts of a batch, one after another: their words, hashes and anchors. Windows that
-    cross texts are ``inside`` none."""
-
-    def __init__(self, texts: list[bytes], hasher: Hasher, window: int) -> None:
-        self.words = [t.split() for t in texts]
-        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
-        self.h = hasher.words(list(chain.from_iterable(self.words)))
+    """The texts of a batch, one after another: where their words are, the words' hashes and
+    the windows' anchors. Windows that cross texts are not ``inside``."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.bytes = b"\n".join([*texts, b""])
+        values = np.frombuffer(self.bytes or b"\n", np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[values], [True])).view(np.int8)))
+        self.begin, self.end = edges[::2], edges[1::2]
+        offsets = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.starts = np.concatenate((np.zeros(1, np.int64), np.searchsorted(self.begin, offsets)))
+        self.h = _stretches(values, self.begin, self.end)
         self.phrases, self.anchor = anchors(self.h, window)
         n = len(self.anchor)
-        self.inside = np.arange(n) + window <= np.repeat(self.starts[1:], lengths)[:n]
+        self.inside = np.arange(n) + window <= np.repeat(self.starts[1:], np.diff(self.starts))[:n]
         self.used = np.zeros(len(self.phrases), bool)
         self.used[self.anchor[self.inside]] = True
 
+    def cut(self, first: int, last: int) -> bytes:
+        """The words from ``first`` to before ``last`` as they stand in the text."""
+        return self.bytes[self.begin[first] : self.end[last - 1]]
+
     def marked(self, table: np.ndarray) -> np.ndarray:
         """Places of anchors that may be in the filter."""
         at = np.flatnonzero(self.used)
@@ -130,13 +146,12 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            own = _Batch(texts(batch, "text"), hasher, window)
+            own = _Batch(texts(batch, "text"), window)
             hashes, counts = np.unique(own.phrases[own.used], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=schema.names)
 
-    return map_arrow_stream(rows.select("text"), run, schema).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    return map_arrow_stream(rows.select("text"), run, schema, TEXTS).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
 
 
 def _recurring_windows(rows: DataFrame, window: int, bits: np.ndarray) -> DataFrame:
@@ -149,9 +164,8 @@ def _recurring_windows(rows: DataFrame, window: int, bits: np.ndarray) -> DataFr
     keyed = rows.withColumn("doc", F.xxhash64("file", "at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            own = _Batch(texts(batch, "text"), hasher, window)
+            own = _Batch(texts(batch, "text"), window)
             wanted = np.zeros(len(own.phrases), bool)
             wanted[own.marked(table.value)] = True
             pos = np.flatnonzero(own.inside & wanted[own.anchor])
@@ -169,7 +183,7 @@ def _recurring_windows(rows: DataFrame, window: int, bits: np.ndarray) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=list(names))
 
     owner = [F.min_by(c, "doc").alias(c) for c in ("file", "at", "pos")]  # of numbers only, so Spark keeps the groups in a hash table
-    found = map_arrow_stream(keyed, run, schema).groupBy("hash").agg(F.count("*").alias("n"), F.count("doc").alias("docs"), *owner, F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    found = map_arrow_stream(keyed, run, schema, TEXTS).groupBy("hash").agg(F.count("*").alias("n"), F.count("doc").alias("docs"), *owner, F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     return found.where("n > 1").drop("hash")
 
 
@@ -191,18 +205,17 @@ def _phrases(rows: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("docs", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            own = _Batch(texts(batch, "text"), hasher, window)
+            own = _Batch(texts(batch, "text"), window)
             pieces = batch.column("pieces")
             of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(pieces).to_numpy())
             start, n, docs = (pieces.flatten().field(c).to_numpy() for c in ("start", "n", "docs"))
             at = own.starts[of] + start
-            kept = [b" ".join(own.words[k][a : a + m]) for k, a, m in zip(of.tolist(), start.tolist(), (n + window - 1).tolist(), strict=True)]
+            kept = [own.cut(a, b) for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)]
             anchor = own.phrases[own.anchor[at]].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(window_hashes(own.h, window)[at].view(np.int64)), pa.array(anchor), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n + window - 1), pa.array(docs)], names=schema.names)
 
-    return map_arrow_stream(_with(rows, owned, ["file", "at"]), run, schema)
+    return map_arrow_stream(_with(rows, owned, ["file", "at"]), run, schema, TEXTS)
 
 
 def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,22 +235,22 @@ def _parts(rows: DataFrame, window: int, bits: np.ndarray, shards: int) -> DataF
     table = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            own = _Batch(texts(batch, "text"), hasher, window)
+            own = _Batch(texts(batch, "text"), window)
             file, at = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "at"))
             hit = own.marked(table.value)
             shard, of = own.phrases[hit].view(np.int64) % shards, own.text_of(hit)
             order = np.lexsort((hit, shard, of))
             hit, shard, of = hit[order], shard[order], of[order]
-            local = hit - own.starts[of]
             ends = np.flatnonzero((np.diff(of) != 0) | (np.diff(shard) != 0) | (np.diff(hit) > back + on)) if len(hit) else hit
             firsts, lasts = (np.concatenate((x, y)).astype(np.int64)[: len(hit)] for x, y in (([0], ends + 1), (ends, [len(hit) - 1])))
+            of, shard, low = of[firsts], shard[firsts], own.starts[of[firsts]]
+            begin, end = np.maximum(hit[firsts] - back, low), np.minimum(hit[lasts] + on, own.starts[of + 1])
             out: list[tuple] = []
             size = 0
-            for k, s, a, b in zip(of[firsts].tolist(), shard[firsts].tolist(), np.maximum(local[firsts] - back, 0).tolist(), (local[lasts] + on).tolist(), strict=True):
-                part = b" ".join(own.words[k][a:b])
-                out.append((file[k], at[k], s, a, part.decode()))
+            for k, s, a, b, c in zip(*(x.tolist() for x in (of, shard, begin, end, begin - low)), strict=True):
+                part = own.cut(a, b)
+                out.append((file[k], at[k], s, c, part.decode()))
                 size += len(part)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=list(names))
@@ -245,7 +258,7 @@ def _parts(rows: DataFrame, window: int, bits: np.ndarray, shards: int) -> DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=list(names))
 
-    return map_arrow_stream(rows, run, schema)
+    return map_arrow_stream(rows, run, schema, TEXTS)
 
 
 class _Automaton:
