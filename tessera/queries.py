@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import UnsupportedEncodingVersion
@@ -13,12 +13,15 @@ from .functions import schema as nds
 from .operators import broadcast as bc
 from .operators import chunk as ch
 from .operators import grid as gr
+from .operators import shapes as sh
 from .operators import view as vw
 from .plans import dims as plan
 from .plans.dims import Dimension
-from .sources import arrow as src
+from .sources import arrow_files as af
 from .sources import chunk_store as store
+from .sources import routing
 from .streaming import chunks as streaming
+from .streaming import parts as arriving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,13 +51,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(rows: Sequence[tuple], names: str) -> str:
-    def sql(v) -> str:
-        return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-
-    return f"select * from (values {', '.join('(' + ', '.join(map(sql, r)) + ')' for r in rows)}) t({names})"
-
-
 # Batches the queries start from
 
 
@@ -325,86 +321,106 @@ def nd_dimensions(spark, sf_dir):
     return b.select("user_id", F.explode(nd.nd_dimensions(F.col("value"))).alias("d"), nd.nd_is_null(F.col("value")).alias("missing")).select("user_id", "d.name", "d.size", "missing")
 
 
-def _dims(text: str) -> tuple[Dimension, ...]:
-    """``x2 y3`` as dimensions."""
-    return tuple(Dimension(p[0], int(p[1:])) for p in text.split())
+SHAPED = ("value", "vec_id", "label", "comp", "weight")
+#: A shape that one block of vectors has, and whose dimensions others share in part.
+FULL = (Dimension("vec", BLOCK), Dimension("comp", COMPONENTS))
+#: Shapes of a block of n vectors, as text: two dimensions, one, one, one, none.
+_SHAPED_SQL = f"""with blocks as (select vec_id // {BLOCK} as block, count(*) as n from embeddings group by all),
+shapes as (select block, name, case name when 'value' then 'vec' || n || ' comp{COMPONENTS}' when 'comp' then 'comp{COMPONENTS}' when 'weight' then '' else 'vec' || n end as dims, case name when 'value' then 2 when 'weight' then 0 else 1 end as rank, n from blocks, (values ('value'), ('vec_id'), ('label'), ('comp'), ('weight')) t(name))"""
 
 
-COMPARED = [("", "", 0), ("", "x2", -1), ("x2", "", 1), ("x2", "x2 y3", -1), ("x2 y3", "y3", 1), ("x2 y3", "x2 y3 z4", None), ("x2", "y3", None), ("x2", "x3 y3", None), ("x2 y3", "y3 x2", None)]
+def _text(dims):
+    return F.array_join(F.transform(dims, lambda d: F.concat(d["name"], d["size"].cast("string"))), " ")
 
 
-_SHAPES_SQL = """with recursive given as ({rows}),
-dims as (select *, list_filter(string_split(a, ' '), lambda p: p <> '') as da, list_filter(string_split(b, ' '), lambda p: p <> '') as db from given)"""
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block, name, dims) of each array of the embeddings' batches."""
+    each = F.array(*[F.struct(F.lit(c).alias("name"), nd.nd_dimensions(F.col(c)).alias("dims")) for c in SHAPED])
+    return embedding_batches(spark, sf_dir).select("block", F.explode(each).alias("x")).select("block", "x.name", "x.dims")
 
 
-@query(_SHAPES_SQL.format(rows=_values([c[:2] for c in COMPARED], "a, b")) + " select a, b, case when a = b then 0 when len(da) < len(db) and (len(da) = 0 or (len(da) = 1 and list_contains(db, da[1]))) then -1 when len(db) < len(da) and (len(db) = 0 or (len(db) = 1 and list_contains(da, db[1]))) then 1 end as relation from dims")
+@query(_SHAPED_SQL + f"select block, name, dims, case when dims = 'vec{BLOCK} comp{COMPONENTS}' then 0 when rank = 0 or (rank = 1 and dims in ('vec{BLOCK}', 'comp{COMPONENTS}')) then -1 end as to_full, case when dims = 'vec' || n then 0 when rank = 0 then -1 when rank = 2 then 1 end as to_vector from shapes")
 def nd_compare_shapes(spark, sf_dir):
-    return spark.createDataFrame([(a, b, plan.compare(_dims(a), _dims(b))) for a, b, _ in COMPARED], "a string, b string, relation int")
+    """Every array's shape against that of a full block, and against its own block's vectors."""
+    vectors = _shapes(spark, sf_dir).where("name = 'label'").select("block", F.col("dims").alias("own"))
+    rows = _shapes(spark, sf_dir).join(vectors, "block")
+    return rows.select("block", "name", _text(F.col("dims")).alias("dims"), sh.compare_dims(F.col("dims"), nd.literal_dimensions(FULL)).alias("to_full"), sh.compare_dims(F.col("dims"), F.col("own")).alias("to_vector"))
 
 
-TARGETS = [("", "", "", ""), ("x2", "", "y3", "x2"), ("x2", "x2 y3", "", "x2 y3"), ("x2 y3", "y3 z4", "x2", "x2 y3"), ("", "x2", "x2 y3 z4", "x2 y3 z4")]
-
-
-@query("select a, b, c, case when n_a >= n_b and n_a >= n_c then a when n_b >= n_c then b else c end as target from (select *, len(string_split(trim(a || ' .'), ' ')) as n_a, len(string_split(trim(b || ' .'), ' ')) as n_b, len(string_split(trim(c || ' .'), ' ')) as n_c from (" + _values([t[:3] for t in TARGETS], "a, b, c") + "))")
+@query(_SHAPED_SQL + "select block, max(case when block % 2 = 0 then case name when 'value' then dims end else case name when 'label' then dims end end) as target from shapes group by block")
 def nd_find_target(spark, sf_dir):
-    """By the row's own data; the planner's choice is the same (see tests)."""
-    rows = spark.createDataFrame([t[:3] for t in TARGETS], "a string, b string, c string")
+    """Each row's target; the two-dimensional array is null in every other row."""
+    b = embedding_batches(spark, sf_dir).withColumn("value", F.when(F.col("block") % 2 == 0, F.col("value")))
+    return b.select("block", _text(bc.target_of([F.col(c) for c in ("weight", "label", "value", "comp")])).alias("target"))
 
-    def array(c: str):
-        parts = F.filter(F.split(c, " "), lambda p: p != "")
-        return F.struct(F.transform(parts, lambda p: p.substr(1, 1)).alias(nds.NAMES), F.transform(parts, lambda p: p.substr(2, 9).cast("long")).alias(nds.SIZES), F.array(F.lit(1)).alias(nds.VALUES))
 
-    best = bc.target_of([array(c) for c in "abc"])
-    return rows.select("a", "b", "c", F.array_join(F.transform(best, lambda d: F.concat(d["name"], d["size"].cast("string"))), " ").alias("target"))
+@query(_SHAPED_SQL + f"select s.block, name, turned, case when turned then case when rank = 0 then 1 when name = 'comp' then 1 when name = 'value' then null else {COMPONENTS} end else case when name = 'comp' then s.n else 1 end end::bigint as whole, case when turned then case when rank = 0 then s.n * {COMPONENTS} when name = 'comp' then s.n when name = 'value' then null else 1 end else case when rank = 0 then s.n * {COMPONENTS} when name in ('value', 'comp') then 1 else {COMPONENTS} end end::bigint as each from shapes s, (values (false), (true)) t(turned)")
+def nd_reshape_args(spark, sf_dir):
+    """Repeat counts of every array in its block's shape, and in that with dimensions turned,
+    where the two-dimensional one doesn't lie."""
+    whole = _shapes(spark, sf_dir).where("name = 'value'").select("block", F.explode(F.array(F.struct(F.lit(False).alias("turned"), F.col("dims").alias("target")), F.struct(F.lit(True).alias("turned"), F.reverse("dims").alias("target")))).alias("t"))
+    rows = _shapes(spark, sf_dir).join(whole, "block")
+    r = bc.repeats_of(F.col("dims"), F.col("t.target"))
+    return rows.select("block", "name", "t.turned", r["whole"].alias("whole"), r["each"].alias("each"))
 
 
-RESHAPES = [("", "", 1, 1), ("", "x2 y3", 1, 6), ("x2", "x2 y3", 1, 3), ("y3", "x2 y3", 2, 1), ("y3", "x2 y3 z4", 2, 4), ("x2 y3", "x2 y3 z4", 1, 4), ("y3 z4", "x2 y3 z4", 2, 1), ("x2 z4", "x2 y3 z4", None, None), ("y3 x2", "x2 y3", None, None), ("y2", "x2 y3", None, None), ("x2 y3", "x2", None, None), ("x2", "y3", None, None), ("x2", "e0 x2", 0, 1), ("", "e0", 1, 0), ("x2", "x2", 1, 1), ("e0", "e0 x2", 1, 2), ("x2", "x2 y3 x2", 1, 6)]
+@query(_SHAPED_SQL + f"select block, name, case name when 'comp' then {BLOCK} when 'weight' then 1 else case when n = {BLOCK} then 1 end end::bigint as whole, case name when 'weight' then {BLOCK * COMPONENTS} when 'comp' then 1 when 'value' then case when n = {BLOCK} then 1 end else case when n = {BLOCK} then {COMPONENTS} end end::bigint as each from shapes")
+def nd_single_repeats(spark, sf_dir):
+    """Repeat counts in a full block's shape: shapes of more dimensions must equal it."""
+    r = sh.single_repeats_of(F.col("dims"), nd.literal_dimensions(FULL))
+    return _shapes(spark, sf_dir).select("block", "name", r["whole"].alias("whole"), r["each"].alias("each"))
 
 
-@query(f"""with given as ({_values([r[:2] for r in RESHAPES], 'source, target')}),
-dims as (select *, list_filter(string_split(source, ' '), lambda p: p <> '') as s, list_filter(string_split(target, ' '), lambda p: p <> '') as t from given),
-placed as (select *, case when s = t then -1 when len(s) = 0 then 0 else list_min(list_filter(range(0, greatest(len(t) - len(s), -1) + 1), lambda i: list_slice(t, i + 1, i + len(s)) = s)) end as place from dims)
-select source, target,
-  case when place = -1 then 1 else list_aggregate(list_transform(list_slice(t, 1, place), lambda p: substr(p, 2)::double) || [1.0], 'product') end::bigint as whole,
-  case when place = -1 then 1 else list_aggregate(list_transform(list_slice(t, place + len(s) + 1, len(t)), lambda p: substr(p, 2)::double) || [1.0], 'product') end::bigint as each
-from placed where place is not null union all select source, target, null, null from placed where place is null""")
-def nd_reshape_args(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in RESHAPES], "source string, target string")
+@query("""with u as (select user_id, count(*) as n from events group by all), k as (select n % 3 as k, n, count(*) as users from u group by all)
+select k, 'event' || max(n) as target, count(*) as shapes, sum(users)::bigint * 2 as arrays, case when min(n) < max(n) then 'event' || min(n) end as offending from k group by k
+union all select null, 'event' || max(n), count(*), sum(users)::bigint * 2, case when min(n) < max(n) then 'event' || min(n) end from k
+union all select -1, any_value(target), count(distinct dims), count(*), null from (select max(case when name = 'value' then dims end) over (partition by block) as target, dims from shapes where block = 0)""".replace("with u as", _SHAPED_SQL + ", u as", 1))
+def nd_table_target(spark, sf_dir):
+    """One target for all arrays of a table or of a key, or the shape that stands against it."""
+    users = user_batches(spark, sf_dir).withColumn("k", nd.nd_flat_size(F.col("value")) % 3)
+    by_key = sh.common_target(users, ["value", "ts"], ["k"])
+    whole = sh.common_target(users, ["value", "ts"]).withColumn("k", F.lit(None).cast("long"))
+    fitting = sh.common_target(embedding_batches(spark, sf_dir).where("block = 0"), SHAPED).withColumn("k", F.lit(-1).cast("long"))
+    rows = by_key.unionByName(whole).unionByName(fitting)
+    return rows.select("k", _text(F.col("target")).alias("target"), "shapes", "arrays", _text(F.col("offending")).alias("offending"))
 
-    def dims(c: str):
-        return F.transform(F.filter(F.split(c, " "), lambda p: p != ""), lambda p: F.struct(p.substr(1, 1).alias("name"), p.substr(2, 9).cast("long").alias("size")))
 
-    r = bc.repeats_of(dims("source"), dims("target"))
-    return rows.select("source", "target", r["whole"].alias("whole"), r["each"].alias("each"))
+# Encode, decode, validation, schemas
 
+#: What is wrong with the array of an event, by its id: names, sizes and values as SQL, of both
+#: engines; {a} and {b} are the event's value and its double.
+FAULTS = (
+    ("array('x', 'y')", "array(1L, 2L)", "array({a}, {b})"), ("array('x')", "array(1L, 2L)", "array({a}, {b})"), ("array('x')", "array(3L)", "array({a}, {b})"),
+    ("null", "array(1L)", "array({a})"), ("array('x')", "null", "array({a})"), ("array('x')", "array(1L)", "null"),
+    ("array('x', null)", "array(1L, 1L)", "array({a})"), ("array('x', 'y')", "array(null, 1L)", "array({a})"), ("array()", "array()", "array({a})"),
+    ("array()", "array()", "array({a}, {b})"), ("array('e')", "array(0L)", "array()"), ("array('x', 'y')", "array(-1L, -1L)", "array({a})"), ("array('x')", "array(1L)", "array(null)"),
+)
 
-@query("select source, target, case when source = target then 1 when source = '' then 1 when source = t[1] then 1 else substr(t[1], 2)::bigint end as whole, case when source = target then 1 when source = '' then coalesce(list_aggregate(list_transform(t, lambda p: substr(p, 2)::double), 'product'), 1)::bigint when source = t[1] then coalesce(list_aggregate(list_transform(t[2:], lambda p: substr(p, 2)::double), 'product'), 1)::bigint else coalesce(list_aggregate(list_transform(t[3:], lambda p: substr(p, 2)::double), 'product'), 1)::bigint end as each from (select *, list_filter(string_split(target, ' '), lambda p: p <> '') as t from (" + _values([r[:2] for r in RESHAPES], "source, target") + ")) where source = target or source = '' or (source not like '% %' and len(t) <= 3 and (source = t[1] or source = t[2]))")
-def nd_single_repeats(spark, sf_dir):
-    """Repeat counts of scalars, single dimensions and equal shapes, by the planner."""
-    found = [(a, b, plan.single_repeats(_dims(a), _dims(b))) for a, b, *_ in RESHAPES]
-    return spark.createDataFrame([(a, b, r.whole, r.each) for a, b, r in found if r is not None], "source string, target string, whole long, each long")
 
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with an array each, one in 13 right in its way; every 14th array is null."""
+    pick = lambda i, kind: "case event_id % 13 " + " ".join(f"when {k} then cast({f[i].format(a='value', b='value * 2')} as {kind})" for k, f in enumerate(FAULTS)) + " end"
+    made = f"named_struct('dimension_names', {pick(0, 'array<string>')}, 'dimension_sizes', {pick(1, 'array<bigint>')}, 'values', {pick(2, 'array<double>')})"
+    return _table(spark, sf_dir, "events").selectExpr("event_id", "event_type", f"if(event_id % 14 = 0, null, {made}) as a")
 
-# Encode, decode, validation, schemas
 
-INVALID = [
-    (1, ["x", "y"], [2, 2], [1, 2, 3, 4], None), (2, ["x"], [2, 2], [1, 2, 3, 4], "DIMENSION_SIZE_MISMATCH"), (3, ["x"], [3], [1, 2], "SHAPE_AND_LENGTH_MISMATCH"),
-    (4, None, [1], [1], "NO_DIMENSION_NAMES"), (5, ["x"], None, [1], "NO_DIMENSION_SIZES"), (6, ["x"], [1], None, "NO_VALUES"), (7, [None], [1], [1], "NULL_DIMENSION"),
-    (8, ["x"], [None], [1], "NULL_DIMENSION"), (9, [], [], [5], None), (10, [], [], [5, 6], "SHAPE_AND_LENGTH_MISMATCH"), (11, ["e"], [0], [], None), (12, ["x", "y"], [-1, -1], [1], "SHAPE_AND_LENGTH_MISMATCH"), (13, ["x"], [1], [None], None),
-]
+_CODES_SQL = """select event_id, event_type, case when event_id % 14 = 0 then null else case event_id % 13 when 1 then 'DIMENSION_SIZE_MISMATCH' when 2 then 'SHAPE_AND_LENGTH_MISMATCH' when 3 then 'NO_DIMENSION_NAMES' when 4 then 'NO_DIMENSION_SIZES' when 5 then 'NO_VALUES'
+  when 6 then 'NULL_DIMENSION' when 7 then 'NULL_DIMENSION' when 9 then 'SHAPE_AND_LENGTH_MISMATCH' when 11 then 'SHAPE_AND_LENGTH_MISMATCH' end end as code,
+  case when event_id % 14 = 0 then null else case event_id % 13 when 1 then 1 when 6 then 1 when 7 then 0 when 11 then 0 end end as dimension from events"""
 
 
-_lists = lambda v: "null" if v is None else "[" + ", ".join("null" if x is None else repr(x) for x in v) + "]"
+@query(f"select event_id, code from ({_CODES_SQL})")
+def nd_validate_codes(spark, sf_dir):
+    return _faulty(spark, sf_dir).select("event_id", nd.nd_error_code(F.col("a")).alias("code"))
 
 
-@query("with given as (" + " union all ".join(f"select {i} as id, {_lists(n)}::varchar[] as n, {_lists(s)}::bigint[] as s, {_lists(v)}::int[] as v" for i, n, s, v, _ in INVALID) + """)
-select id, case when n is null then 'NO_DIMENSION_NAMES' when s is null then 'NO_DIMENSION_SIZES' when v is null then 'NO_VALUES'
-  when len(list_filter(n, lambda x: x is null)) + len(list_filter(s, lambda x: x is null)) > 0 then 'NULL_DIMENSION' when len(n) <> len(s) then 'DIMENSION_SIZE_MISMATCH'
-  when len(list_filter(s, lambda x: x < 0)) > 0 or list_aggregate(list_transform(s, lambda x: x::double) || [1.0], 'product') <> len(v) then 'SHAPE_AND_LENGTH_MISMATCH' end as code
-from given union all select 14, null""")
-def nd_validate_codes(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0], {"dimension_names": r[1], "dimension_sizes": r[2], "values": r[3]}) for r in INVALID] + [(14, None)], "id int, a struct<dimension_names array<string>, dimension_sizes array<bigint>, values array<int>>")
-    return rows.select("id", nd.nd_error_code(F.col("a")).alias("code"))
+@query(f"select event_type, code is null as valid, case when code is not null then 'a' end as wrong_column, code, dimension, count(*) as events from ({_CODES_SQL}) group by all")
+def nd_route(spark, sf_dir):
+    """Right and wrong arrays written apart in one pass; what is in either place."""
+    valid, rejected = routing.route(_faulty(spark, sf_dir), f"{streaming.shared_folder(spark)}/routed", ["a"])
+    told = nd.decode_batches(valid, ["a"]).select("event_type", F.lit(True).alias("valid"), *[F.lit(None).cast(k).alias(c) for c, k in (("wrong_column", "string"), ("code", "string"), ("dimension", "int"))])
+    wrong = rejected.select("event_type", F.lit(False).alias("valid"), "wrong_column", F.col("error_code").alias("code"), F.col("wrong_dimension").alias("dimension"))
+    return told.unionByName(wrong).groupBy("event_type", "valid", "wrong_column", "code", "dimension").agg(F.count("*").alias("events"))
 
 
 @query("select user_id, value, event_type, ts from events")
@@ -415,12 +431,25 @@ def nd_encode_decode(spark, sf_dir):
     return bc.broadcast_to_table(decoded, ["value", "event_type", "ts"], keep=["user_id"])
 
 
-@query("select n_regionkey, n_nationkey, n_name from nation")
+def _arrow_orders(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of Arrow files: a batch of orders for each customer."""
+    batches = nd.nd_from_table(_table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_totalprice", "o_orderdate"], "order")
+    path = f"{streaming.shared_folder(spark)}/arrow"
+    af.write_arrow(batches.select(nd.nd_scalar(F.col("o_custkey")).alias("o_custkey"), "o_orderkey", "o_totalprice", "o_orderdate"), path)
+    return path
+
+
+@query("select o_custkey, o_orderkey, o_totalprice, o_orderdate from orders")
 def nd_wire_round_trip(spark, sf_dir):
-    """Through an Arrow table in the wire types (a table the size of a nation list)."""
-    batches = nd.nd_from_table(_table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"], "nation")
-    keyed = batches.select(nd.nd_scalar(F.col("n_regionkey")).alias("n_regionkey"), "n_nationkey", "n_name")
-    return bc.broadcast_to_table(src.from_arrow(spark, src.to_arrow(keyed)))
+    """Through Arrow files in the wire types: executors write and read them."""
+    return bc.broadcast_to_table(af.read_arrow(spark, _arrow_orders(spark, sf_dir)))
+
+
+@query("select o_custkey, count(*) as orders, sum(o_orderkey)::bigint as keys from orders group by all")
+def nd_wire_columns(spark, sf_dir):
+    """Two of the columns; the others aren't read."""
+    held = af.read_arrow(spark, _arrow_orders(spark, sf_dir), ["o_custkey", "o_orderkey"])
+    return bc.broadcast_to_table(held).groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("select ordinal_position::int - 1 as pos, column_name as name, 'struct<dimension_names:array<string>,dimension_sizes:array<bigint>,values:array<' || case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end || '>>' as type, false as nullable from (select row_number() over () as ordinal_position, column_name, column_type as data_type from (describe lineitem))")
@@ -531,11 +560,35 @@ for _name, _cell in {
     "string": ("if(event_id % 5 = 0, null, event_type)", "case when event_id % 5 = 0 then null else event_type end"),
     "binary": ("if(event_id % 5 = 0, null, encode(event_type, 'UTF-8'))", "case when event_id % 5 = 0 then null else encode(event_type) end"),
     "timestamp": ("if(event_id % 5 = 0, null, ts)", "case when event_id % 5 = 0 then null else ts end"),
-    "null": ("cast(null as int)", "null::int"),
 }.items():
     _typed_chunks(_name, _cell)
 
 
+@query("select user_id, (r // 16) * 16 as origin, (r % 16)::int as pos, true as missing from (select user_id, row_number() over (partition by user_id order by event_id) - 1 as r from events)")
+def nd_chunk_null(spark, sf_dir):
+    """Arrays whose elements have no type: nulls only."""
+    packed = nd.nd_from_table(_table(spark, sf_dir, "events"), ["user_id"], ["event_id"], ["event_id"], "event")
+    void = packed.select("user_id", F.struct(F.col("event_id.dimension_names"), F.col("event_id.dimension_sizes"), F.transform("event_id.values", lambda _: F.lit(None)).alias("values")).alias("v"))
+    c = ch.chunk_batches(void, "v", (16,), keep=["user_id"])
+    return c.select("user_id", F.element_at("chunk_indices", 1).alias("origin"), F.posexplode("values").alias("pos", "v")).select("user_id", "origin", "pos", F.col("v").isNull().alias("missing"))
+
+
+@query("select event_type, day, true as complete, (row_number() over (partition by event_type, day order by ts, event_id) - 1)::int as pos, value from (select *, date_trunc('day', ts)::date as day from events)")
+def nd_arriving_parts(spark, sf_dir):
+    """A day's events of a type are an array whose cells arrive one by one, in files out of
+    order: each array is emitted when its last cell is there."""
+    e = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    along = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
+    lines = e.select("event_type", "day", (F.row_number().over(along) - 1).alias("part"), F.count("*").over(Window.partitionBy("event_type", "day")).alias("of"), F.to_timestamp("day").alias("time"), F.array("value").alias("cells"))
+    folder = streaming.shared_folder(spark)
+    lines.repartition(6, "part").write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/lines")
+    whole = arriving.assemble(stream, ["event_type", "day"], "part", "of", "time", "cells", patience="60 days", delay="60 days")
+    streaming.write_available(whole, f"{folder}/arrays", f"{folder}/state").awaitTermination()
+    arrays = spark.read.schema(whole.schema).parquet(f"{folder}/arrays")
+    return arrays.select("event_type", "day", "complete", F.posexplode("values").alias("pos", "value"))
+
+
 # Chunks meet chunks: nothing below makes a row of a cell before its result does
 
 VEC_COMP = ("vec", "comp")

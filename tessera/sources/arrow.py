@@ -37,17 +37,18 @@ def spark_type(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
-def _converted(array: pa.Array, kind: pa.DataType) -> pa.Array:
+def converted(array: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``array`` as the type that Spark reads."""
     if array.type == kind:
         return array
     if pa.types.is_struct(array.type):
-        fields = [_converted(array.field(i), kind.field(i).type) for i in range(array.type.num_fields)]
+        fields = [converted(array.field(i), kind.field(i).type) for i in range(array.type.num_fields)]
         return pa.StructArray.from_arrays(fields, fields=[kind.field(i) for i in range(kind.num_fields)], mask=pc.is_null(array))
     if pa.types.is_list(array.type) or pa.types.is_large_list(array.type):
         start = array.offsets[0].as_py() if len(array) else 0
         values = array.values.slice(start, (array.offsets[-1].as_py() - start) if len(array) else 0)
         offsets = pc.subtract(array.offsets, pa.scalar(start, array.offsets.type)).cast(pa.int32())
-        return pa.ListArray.from_arrays(offsets, _converted(values, kind.value_type), mask=pc.is_null(array))
+        return pa.ListArray.from_arrays(offsets, converted(values, kind.value_type), mask=pc.is_null(array))
     if pa.types.is_timestamp(array.type):
         return array.cast(kind, safe=False)
     if array.type == pa.uint64():
@@ -61,7 +62,7 @@ def from_arrow(spark: SparkSession, table: pa.Table, need_metadata: bool = True,
     columns = []
     for field, column in zip(table.schema, table.columns, strict=True):
         kind = spark_type(field.type)
-        columns.append(pa.chunked_array([_converted(c, kind) for c in column.chunks], kind))
+        columns.append(pa.chunked_array([converted(c, kind) for c in column.chunks], kind))
     df = spark.createDataFrame(pa.table(columns, names=table.schema.names))
     version = (table.schema.metadata or {}).get(key.encode())
     if version is not None:
