@@ -144,6 +144,10 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def map_arrow_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` over batches of the size the operators here count on."""
     bound_batches(df.sparkSession)
+    names = df.columns
+    if any("." in c or "`" in c for c in names):  # which mapInArrow takes for parts of columns
+        df = df.toDF(*[f"c{i}" for i in range(len(names))])
+        return df.mapInArrow(lambda batches: fn(slices((b.rename_columns(names) for b in batches), rows)), schema)
     return df.mapInArrow(lambda batches: fn(slices(batches, rows)), schema)
 
 

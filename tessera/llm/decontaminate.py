@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
+from ._common import column, fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
 
 #: Words in a shingle; bits of the Bloom filter at most (16 MB, whatever the benchmark).
 SHINGLE, MAX_BITS = 5, 1 << 27
@@ -84,7 +84,7 @@ def _flat(values: list[list], kind: pa.DataType) -> pa.Array:
 
 def windows_of(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(item, text, size, k, at, hash): each item's windows and their shingles, exploded."""
-    rows = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    rows = items.select(column(id_col).alias("item"), column(text_col).alias("text"))
     shingle = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType())])
     piece = T.StructType([T.StructField("text", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("shingles", T.ArrayType(shingle))])
     schema = T.StructType([T.StructField("item", rows.schema["item"].dataType), T.StructField("windows", T.ArrayType(piece))])
@@ -134,7 +134,7 @@ def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def runs_of(docs: DataFrame, filter_bits: np.ndarray, sizes: list[int], shortest: int, id_col: str, text_col: str) -> DataFrame:
     """(row, id, n_words, runs): whole texts, and the runs of marked words in them."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     entry = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType())])
     piece = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("shingles", T.ArrayType(entry))])
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(piece))])
@@ -214,4 +214,4 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
     marked = numbered(docs, "decontam-docs", row)
     found = contamination(marked, items, window, row, text_col, item_col, item_text_col)
     gone = written(found.where("n_hit > 0").select(F.col("id").alias("row")), "decontam-gone")
-    return without(marked, gone, row).select(*docs.columns)
+    return without(marked, gone, row).select(*map(column, docs.columns))

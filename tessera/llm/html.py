@@ -15,8 +15,11 @@
    with a third of all pages is no hot task.
 4. A page's text is its content slots within the article (or main) element; on pages
    without one, those that aren't in a menu, which is a group of two links or more and
-   nothing else. If template would take more than ``MOST`` of a page's text, its article
-   itself is repeated (copies and near copies on one host) and stays.
+   nothing else. Articles within a main element that has more text of its own are parts of
+   its text. Within an article template goes at its start and end only: between parts that
+   vary it is of the article's own (headings that many articles have). A page of which
+   ``COPY`` of the text nodes and more are template is itself repeated (copies and near copies
+   on one host) and stays whole.
 
 What a host adds to a page is its reference and its template; they are broadcast if all
 hosts' together are at most ``BROADCAST_BYTES``, else joined by host.
@@ -48,8 +51,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ._common import let, map_arrow_stream, written
 from .urls import host_of
 
-#: Pages of a host and their share that make a text template; template's share of a page.
-LEAST_PAGES, SHARE, MOST = 4, 0.6, 0.7
+#: Pages of a host and their share that make a text template; how alike near copies are.
+LEAST_PAGES, SHARE, COPY = 4, 0.6, 0.8
 BROADCAST_BYTES = 32 << 20
 
 #: Elements by what HTML says of them.
@@ -60,8 +63,11 @@ SKIPPED = frozenset("nav footer aside form button select option input textarea s
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification newsletter subscribe subscription popup modal overlay comment comments commentlist reply replies respond disqus share sharing social related recommended widget login signin signup register pagination pager masthead toolbar topbar skip toc paywall disclaimer copyright legal".split())
 #: Those of them that count within articles too.
-INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored newsletter subscribe signup nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies gdpr notice notices comment comments commentlist reply replies respond disqus".split())
-#: Words that may stand beside them in a name.
+INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored newsletter subscribe signin signup login register form footer nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar cookie cookies gdpr notice notices comment comments commentlist reply replies respond disqus".split())
+#: Those that say it whatever stands beside them, but for the words after these.
+ALONE = frozenset("comments commentlist disqus advert adverts advertisement advertisements advertising adsense sponsored newsletter login signin".split())
+DENIED = frozenset("no not has with without free".split())
+#: Words that may stand beside the others in a name.
 BESIDE = frozenset("site main page top bottom left right bar box list item items link links area section wrapper container inner outer block global primary secondary header head to text message".split())
 HEADS = frozenset("header topbar masthead".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -83,9 +89,12 @@ class Node:
 
 
 def _named(names: str, words: frozenset[str]) -> bool:
-    """Whether one of the ids and classes consists of such words, numbers and ``BESIDE``."""
+    """Whether one of the ids and classes consists of such words, numbers and ``BESIDE``, or has
+    one of ``ALONE``."""
     for name in names.split():
         parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+        if not ALONE.isdisjoint(parts) and DENIED.isdisjoint(parts):
+            return True
         if not words.isdisjoint(parts) and all(p in words or p in BESIDE for p in parts):
             return True
     return False
@@ -116,6 +125,7 @@ def parse(page: str) -> Node:
     root = top = Node("#root", "#root", None, False, 0)
     run: list[str] = []
     link, linked = False, 0
+    mute, depth = "", 0  # an inline element without content, and how many of its kind are open
 
     def flush() -> None:
         nonlocal linked
@@ -132,7 +142,7 @@ def parse(page: str) -> Node:
     while at < end:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else end]
-        if piece:
+        if piece and not mute:
             run.append(piece)
             linked += len(piece) if link else 0
         if not m:
@@ -142,6 +152,13 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        if mute and tag in INLINE:
+            depth += (tag == mute) * (-1 if closing else 1)
+            mute = mute if depth else ""
+            continue
+        if attributes and not closing and tag in INLINE and tag not in VOID and _judged(tag, attributes, top.main > 0)[1]:
+            mute, depth = tag, 1
+            continue
         if tag == "a":
             link = not closing
             continue
@@ -155,7 +172,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
             continue
         flush()
-        link = False
+        link, mute, depth = False, "", 0
         if closing:
             node = top
             while node is not root and node.tag != tag:
@@ -354,16 +371,26 @@ def main_text(nodes: str = "leaves", template: str = "template") -> Column:
     """The content among a page's text nodes (native)."""
     known = F.coalesce(F.col(template), F.array().cast("array<long>"))
 
+    def varies(x: Column) -> Column:
+        return ~F.array_contains(known, x["sign"])
+
     def of_kept(kept: Column) -> Column:
-        total = F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x["text"]))
-        varying = F.filter(kept, lambda x: ~F.array_contains(known, x["sign"]))
-        content = F.aggregate(varying, F.lit(0), lambda n, x: n + F.length(x["text"]))
-        return F.array_join(F.transform(F.when(total - content <= MOST * total, varying).otherwise(kept), lambda x: x["text"]), "\n")
+        content = F.filter(kept, varies)
+        marks = F.transform(kept, varies)
+        first, last = F.array_position(marks, True), F.size(kept) - F.array_position(F.reverse(marks), True) + 1
+        flow = F.slice(kept, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+        own = F.when(F.exists(kept, lambda x: x["main"] == 2), flow).otherwise(content)
+        copied = F.size(kept) - F.size(content) >= COPY * F.size(kept)
+        return F.array_join(F.transform(F.when(copied, kept).otherwise(own), lambda x: x["text"]), "\n")
+
+    def length(main: int) -> Column:
+        return F.aggregate(F.filter(nodes, lambda x: (x["main"] == main) & ~x["menu"]), F.lit(0), lambda n, x: n + F.length(x["text"]))
 
     def of_best(best: Column) -> Column:
-        return let(F.filter(nodes, lambda x: (x["main"] == best) & ((best > 0) | ~x["menu"])), of_kept)
+        return let(F.filter(nodes, lambda x: F.when(best == -1, (x["main"] > 0) & ~x["menu"]).otherwise((x["main"] == best) & ((best > 0) | ~x["menu"]))), of_kept)
 
-    return let(F.coalesce(F.array_max(F.transform(nodes, lambda x: x["main"])), F.lit(0)), of_best)
+    most = F.coalesce(F.array_max(F.transform(nodes, lambda x: x["main"])), F.lit(0))
+    return let(F.when((most == 2) & (length(1) > length(2)), -1).otherwise(most), of_best)
 
 
 class References:

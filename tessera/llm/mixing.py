@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, numbered, written
+from ._common import column, fresh, numbered, written
 
 #: Tokens that are left to dynamic programming at least, documents of a range of the hash.
 DP_BUDGET, BUCKET = 1 << 16, 16
@@ -219,7 +219,7 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 def _decided(docs: DataFrame, weights: Sequence[float], share: float, max_repeat: int, seed: int, id_col: str, text_col: str, source_col: str, size: Column | None, row: Column | None) -> tuple[DataFrame, DataFrame]:
     """The rows' sizes, and what is taken of each (source, size)."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.xxhash64(F.col(text_col)).alias("mark"))
+    base = docs.select(column(id_col).alias("id"), column(source_col).alias("source"), (word_count(column(text_col)) if size is None else size).alias("size"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.xxhash64(column(text_col)).alias("mark"))
     sizes = written(base, "mix-sizes")
     wanted, chosen = plan(sizes, weights, share, max_repeat)
     w = wanted.withColumnRenamed("source", "w_source")
@@ -233,8 +233,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     row, copy = fresh(docs, "__row"), fresh(docs, "__copy")
     marked = numbered(docs, "mix-docs", row)
     _, table = _decided(marked, weights, share, max_repeat, seed, id_col, text_col, source_col, None, F.col(row))
-    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
-    rows = marked.select(doc, F.col(id_col).alias("id"), F.col(source_col).alias("t_source"), word_count(F.col(text_col)).alias("t_size"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(row).alias("row"))
+    doc = F.struct(*[column(c).alias(c) for c in docs.columns]).alias("doc")
+    rows = marked.select(doc, column(id_col).alias("id"), column(source_col).alias("t_source"), word_count(column(text_col)).alias("t_size"), F.xxhash64(column(text_col)).alias("mark"), F.col(row).alias("row"))
     found = rows.join(table, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")))
     taken = found.select("doc", F.explode(F.array_repeat(F.lit(0), _copies(seed).cast("int"))).alias(copy))
     return taken.select("doc.*")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from ._common import BROADCAST_ROWS, fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
+from ._common import BROADCAST_ROWS, column, fresh, map_arrow, map_arrow_stream, numbered, texts, without, written
 from ._graph import components
 
 BITS = 64
@@ -63,7 +63,7 @@ def majority(h: np.ndarray) -> int:
 
 def fingerprint(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per row of ``df``; the fingerprint as a signed long."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -288,8 +288,8 @@ def deduplicate(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     """
     columns, row = df.columns, fresh(df, "__row")
     df = numbered(df, "simhash-docs", row)
-    keyed = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
-    rows, kept = jaccard.kept_rows(df.select(F.col(row).alias("row"), F.col(text_col).alias("text")), keyed, words, similarity)
+    keyed = df.select(F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), F.col(row).alias("row")).alias("id"), column(text_col).alias("text"))
+    rows, kept = jaccard.kept_rows(df.select(F.col(row).alias("row"), column(text_col).alias("text")), keyed, words, similarity)
     kept = written(kept.select(F.col("id.row").alias("row")), "simhash-kept")
     gone = written(rows.select(F.col("id.row").alias("row")).join(kept, "row", "left_anti"), "simhash-gone")
-    return without(df, gone, row).select(*columns)
+    return without(df, gone, row).select(*map(column, columns))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, map_arrow_stream, new_path, written
+from ._common import column, map_arrow, map_arrow_stream, new_path, written
 
 #: Pieces one Python worker remembers; files whose token counts one task sums up; files whose
 #: bases may be broadcast (beyond, they are joined).
@@ -276,8 +276,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str
         content = f.read()
     digest, shared = hashlib.sha256(content.encode()).hexdigest(), spark.sparkContext.broadcast(content)
     path = path or new_path(spark, "token-ids")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    ordered = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text")).withColumn("part", F.spark_partition_id())
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 

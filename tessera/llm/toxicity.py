@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import appended, fresh, map_arrow, map_arrow_stream, texts, with_columns
+from ._common import appended, column, fresh, map_arrow, map_arrow_stream, texts, with_columns
 
 #: Labelled rows the model is fitted on, at most. Patterns whose rows overlap by more than
 #: ``ALIKE`` (Jaccard) are one; voters this correlated within a class share their weight.
@@ -129,9 +129,9 @@ class Scorer:
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
     """(label, text, mark) of at most ``limit`` labelled ids, chosen by a hash of the id."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+    chosen = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(limit)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `limit` pairs
+    found = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `limit` pairs
     return found.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(16, "id").select("label", "text", F.xxhash64("id").alias("mark"))
 
 
@@ -353,4 +353,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 def clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without the rows that count as toxic."""
     score_col, predicted = fresh(df, "__score"), fresh(df, "__toxic")
-    return score(df, model, text_col, score_col, predicted, threshold).where(F.col(predicted) == 0).select(*df.columns)
+    return score(df, model, text_col, score_col, predicted, threshold).where(F.col(predicted) == 0).select(*map(column, df.columns))

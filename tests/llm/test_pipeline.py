@@ -88,9 +88,10 @@ def test_run_and_empty_tables(spark, tmp_path):
 
 
 def test_stages_on_odd_rows(spark):
-    """Nulls in every column, null and repeated ids, repeated rows, extra columns of our own names."""
+    """Nulls in every column, null and repeated ids, repeated rows, a long text, extra columns of our own names
+    and of names with dots and backticks."""
     rows = [(*r, "x") for r in odd_rows()] + [(None, None, None, None, None, None), (9, "an idiot and a moron, scum and trash", "en", "a", 5, "y")] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string").withColumn("__toxic", F.lit(7)).withColumn("__copies", F.lit(None).cast("int")).withColumn("score", F.lit("s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string").withColumn("__toxic", F.lit(7)).withColumn("__copies", F.lit(None).cast("int")).withColumn("score", F.lit("s")).withColumn("x.y", F.lit(1)).withColumn("a`b", F.lit(2)).withColumn("doc.text", F.lit(3))
     before = Counter(map(tuple, docs.collect()))
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)

@@ -5,11 +5,13 @@ import html as entities
 import os
 import re
 import sys
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, archive, html, queries, urls, warc
@@ -233,6 +235,98 @@ def test_near_copies_on_a_host_keep_their_text(spark):
         assert got[100 + k] == got[200 + k] == "\n".join(["Same", *(f"part {i}" for i in range(20)), f"last {k}"])
 
 
+def extracted(spark, pages):
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_main_text_around_articles_stays(spark):
+    assert extracted(spark, ["<main><h1>Head</h1><p>Long main text</p><article><p>Card</p></article></main>"]) == ["Head\nLong main text\nCard"]
+    assert extracted(spark, ["<main><p>More</p><article><p>A long article text</p></article></main>"]) == ["A long article text"]
+
+
+def test_headings_that_many_articles_have_stay(spark):
+    pages = [f"<article><p>Our service</p><h1>Title {n}</h1><h2>Summary</h2><p>first {n}</p><h2>Conclusion</h2><p>last {n}</p><p>Thank you</p></article>" for n in range(6)]
+    assert extracted(spark, pages) == [f"Title {n}\nSummary\nfirst {n}\nConclusion\nlast {n}" for n in range(6)]
+
+
+def test_a_long_notice_is_template(spark):
+    notice = "We tell you about the rules of this place. " * 10
+    assert extracted(spark, [f"<div><p>unique paragraph {n}</p></div><div><p>{notice}</p></div>" for n in range(6)]) == [f"unique paragraph {n}" for n in range(6)]
+
+
+def test_comments_inline_elements_and_named_parts_of_articles():
+    assert text_of('<article><p>One</p><div class="user-comments"><p>c</p></div><div class="footer">f</div><div class="login-form">l</div></article>') == "One"
+    assert text_of('<article><p>One <span class="advert">Buy <b>this</b> <span>now</span></span>two <b hidden>x</b><i>three</i></p></article>') == "One two three"
+    assert text_of('<p>One <span class="advert">Buy<p>two</p><div class="no-comments">three</div><div class="has-sidebar">four</div>') == "One\ntwo\nthree\nfour"
+    assert text_of('<p>see <a class="advert" href=x>this</a> there <a href=y>and</a> that</p>') == "see there and that"
+
+
+def brute_template(pages):
+    """Texts that are the same in a slot of most pages: each page is aligned with the reference
+    by matching trees in all ways (most nodes, then most equal children)."""
+    trees = [html.parse(p) for p in pages]
+    for t in trees:
+        html._finish(t)
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0, []
+        table = {}
+
+        def of(i, j):
+            if i == len(a.kids) or j == len(b.kids):
+                return 0, 0, []
+            if (i, j) not in table:
+                n, pairs = best(a.kids[i], b.kids[j])
+                n2, same, rest = of(i + 1, j + 1)
+                table[i, j] = max([(n + n2, same + (a.kids[i].full == b.kids[j].full), pairs + rest), of(i + 1, j), of(i, j + 1)], key=lambda x: x[:2])
+            return table[i, j]
+
+        n, _, pairs = of(0, 0)
+        return n + 1, [(a, b), *pairs]
+
+    reference = min(zip(trees, pages), key=lambda x: xxhash64(x[1]))[0]
+    slots, votes = [], Counter()
+    for t in trees:
+        own = {x: y.number for x, y in best(t, reference)[1]}
+        slots.append(own)
+        votes.update({(own.get(x), x.text) for x in walk(t) if x.text})
+    out = []
+    for t, own in zip(trees, slots):
+        out.append([(x.text, votes[own.get(x), x.text] >= max(4, 0.6 * len(pages))) for x in walk(t) if x.text and not x.skip])
+    return out
+
+
+def walk(node):
+    yield node
+    for k in node.kids:
+        yield from walk(k)
+
+
+def xxhash64(text):
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_the_query_against_brute_force_where_templates_decide(spark, tmp_path, article):
+    """Whole hosts of pages as the query's table: without templates its result would be wrong."""
+    rows, want, bare = [], {}, 0
+    for h in range(3):
+        pages, _ = generated(np.random.default_rng(40 + h), 12, article)
+        for k, (page, nodes) in enumerate(zip(pages, brute_template(pages))):
+            nodes = [(t, c) for t, c in nodes if not t.startswith(("alpha", "beta", "gamma", "delta", "eps")) or len(t.split()) > 2]
+            varying = [i for i, (_, c) in enumerate(nodes) if not c]
+            kept = nodes[varying[0] : varying[-1] + 1] if article else [nodes[i] for i in varying]
+            bare += len(kept) < len(nodes)
+            want[100 * h + k] = "\n".join(t for t, _ in kept)
+            rows.append((100 * h + k, f"http://h{h}.example/{k}", page))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in queries.op6_html_text(spark, str(tmp_path)).collect()}
+    assert got == want and bare == 36
+
+
 def test_long_lists_of_children_are_aligned():
     def page(tags):
         return "".join(f"<{t}>x</{t}>" for t in tags)
