@@ -99,30 +99,47 @@ def nd_batch(df: DataFrame, **columns: Column) -> DataFrame:
     return marked(df.select(*[c.alias(n) for n, c in columns.items()]))
 
 
-def nd_from_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], dim: str, max_cells: int | None = None, origin: str = "origin") -> DataFrame:
+def nd_from_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], dim: str, max_cells: int | None = None, origin: str = "origin", folder: str | None = None) -> DataFrame:
     """One batch per key: each value column as an array over ``dim``, ordered by ``order``.
 
     A key's rows meet in one row of the result. Where they may be too many for that,
     ``max_cells`` cuts each key into batches of so many cells, told apart by column
-    ``origin``, the place of their first cell; ranks come from a sort, which spills."""
+    ``origin``, the place of their first cell. Ranks then come from a window per key, which
+    spills but is one task's; with ``folder``, a new one that all executors share, they come
+    from ``ranked``, and a key with a third of all rows is no hot task."""
     if max_cells is not None:
-        rank = _free(df, "__rank")
-        df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        rank = free_name([*df.columns, origin], "__rank")
+        if folder is None:
+            along = Window.partitionBy(*map(quoted, keys)).orderBy(*map(quoted, order))
+            df = df.withColumn(rank, F.row_number().over(along).cast("long") - 1)
+        else:
+            df = ranked(df, keys, order, folder, rank)
         df = df.withColumn(origin, F.col(rank) - F.col(rank) % max_cells)
         keys, order = [*keys, origin], [rank]
-    cells = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])))
-    held = _free(df, "__cells")
-    packed = df.groupBy(*keys).agg(cells.alias(held))
+    cells = F.array_sort(F.collect_list(F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(order)], *[quoted(c).alias(f"v{i}") for i, c in enumerate(values)])))
+    held = free_name(df.columns, "__cells")
+    packed = df.groupBy(*map(quoted, keys)).agg(cells.alias(held))
     arrays = [nd_array(F.col(f"{held}.v{i}"), [dim], [F.size(held)], validate=False).alias(c) for i, c in enumerate(values)]
-    return marked(packed.select(*keys, *arrays), list(values))
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """A name no column has."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = "_" + name
-    return name
+    return marked(packed.select(*map(quoted, keys), *arrays), list(values))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, rank: str = "rank") -> DataFrame:
+    """``df`` with each row's place among those of its key, from 0, by a prefix sum: rows are
+    laid out in ranges of (key, order) in ``folder``, so that a key of many rows is many
+    ranges; a row's place is that within its range plus the rows of its key in the ranges
+    before. Rows alike in key and order are in one range, in any order."""
+    part = free_name([*df.columns, rank], "__part")
+    by = [*map(quoted, keys), *map(quoted, order)]
+    df.repartitionByRange(*by).withColumn(part, F.spark_partition_id()).write.parquet(folder)
+    laid = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType())])).parquet(folder)
+    n, before = (free_name([*laid.columns, rank], x) for x in ("__n", "__before"))
+    ahead = Window.partitionBy(*map(quoted, keys)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = laid.groupBy(*map(quoted, keys), part).agg(F.count("*").alias(n)).withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0)))
+    sides = [(quoted(k), free_name([*laid.columns, rank, n, before], f"__k{i}")) for i, k in enumerate(keys)]
+    counts = counts.select(*[k.alias(name) for k, name in sides], F.col(part).alias(n), before)
+    met = laid.join(counts, [laid[part] == counts[n], *[k.eqNullSafe(F.col(name)) for k, name in sides]])
+    within = F.row_number().over(Window.partitionBy(part, *map(quoted, keys)).orderBy(*map(quoted, order))) - 1
+    return met.select(*map(quoted, df.columns), (F.col(before) + within).cast("long").alias(rank))
 
 
 # Accessors

@@ -120,7 +120,8 @@ def _lines(low: Sequence[Column], high: Sequence[Column], within: Sequence[Colum
     count = _long(1)
     for d in range(n - 1):
         count = count * (high[d] - low[d])
-    width = (high[-1] - low[-1]).cast("int")
+    # Never negative: filters that Spark infers from what follows may ask for chunks outside, too.
+    width = F.greatest(high[-1] - low[-1], _long(0)).cast("int")
 
     def line(k: Column) -> Column:
         rest, coordinate = k, [None] * (n - 1)
@@ -132,7 +133,7 @@ def _lines(low: Sequence[Column], high: Sequence[Column], within: Sequence[Colum
             source = source * F.col(f"s{d}") + (coordinate[d] - F.col(f"o{d}"))
             number = number * within[d] + (coordinate[d] - F.get(column, F.lit(d)))
         start = source * F.col(f"s{n - 1}") + low[-1] - F.col(f"o{n - 1}")
-        return F.struct(number.alias("line"), (low[-1] - F.get(column, F.lit(n - 1))).alias("col"), F.slice("values", (start + 1).cast("int"), width).alias("part"))
+        return F.struct(number.alias("line"), (low[-1] - F.get(column, F.lit(n - 1))).alias("col"), F.slice("values", F.greatest(start + 1, _long(1)).cast("int"), width).alias("part"))
 
     return F.transform(F.sequence(_long(0), count - 1), line)
 

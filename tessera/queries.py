@@ -302,7 +302,7 @@ def nd_encoded_schema(spark, sf_dir):
 @query("select user_id, (r // 50) * 50 as origin, count(*) as cells, min(event_id) as first_event from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as r from events) group by all")
 def nd_from_table_in_parts(spark, sf_dir):
     """A key's rows in batches of bounded size."""
-    b = nd.nd_from_table(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id"], "event", max_cells=50)
+    b = nd.nd_from_table(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id"], "event", max_cells=50, folder=f"{streaming.shared_folder(spark)}/ranges")
     return b.select("user_id", "origin", nd.nd_flat_size(F.col("event_id")).alias("cells"), F.array_min("event_id.values").alias("first_event"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DimensionSizeMismatch, NullDimension, ShapeAndLengthMismatch
 from ..functions.arrays import let, nd_error_code
@@ -60,6 +61,6 @@ def route(df: DataFrame, path: str, columns: Sequence[str], key: str = METADATA_
     part = free_name([*df.columns, WHERE, CODE, DIMENSION], "valid")
     told = checked(df, columns)
     told.withColumn(part, F.col(CODE).isNull()).write.partitionBy(part).mode(mode).parquet(path)
-    back = df.sparkSession.read.schema(told.schema.add(part, "boolean")).parquet(path)
+    back = df.sparkSession.read.schema(T.StructType([*told.schema.fields, T.StructField(part, T.BooleanType())])).parquet(path)
     valid = back.where(F.col(part)).select(*map(quoted, df.columns))
     return marked(valid, list(columns), key), back.where(~F.col(part)).select(*map(quoted, told.columns))

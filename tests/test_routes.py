@@ -75,6 +75,7 @@ def test_rows_are_routed(spark, tmp_path):
     assert sorted(r["i.d"] for r in good.collect()) == [1, 6] and good.columns == df.columns
     assert nd.decode_batches(good, ["a", "valid"]).count() == 2
     assert sorted((r["i.d"], r.wrong_column, r.error_code, r.wrong_dimension) for r in rejected.collect()) == [(2, "a", "NULL_DIMENSION", 1), (3, "valid", "SHAPE_AND_LENGTH_MISMATCH", None), (4, "a", "SHAPE_AND_LENGTH_MISMATCH", 1), (5, "a", "DIMENSION_SIZE_MISMATCH", 1)]
+    assert rejected.columns == [*df.columns, routing.WHERE, routing.CODE, routing.DIMENSION]
     plan_text = rejected._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan_text and "valid" in plan_text.split("PartitionFilters")[1][:80]
     none, all_wrong = routing.route(df.where("`i.d` = 2"), f"{tmp_path}/s", ["a"])
@@ -181,3 +182,27 @@ def test_any_order_of_parts_gives_the_batch_answer(spark, tmp_path):
     *_, got = streamed(spark, tmp_path, [lines[:9], lines[9:17], lines[17:]], patience="1 day", delay="1 day")
     assert got == [(f"k{k}", True, [0, 1, 2, 3], [10 * k + p for p in range(4)]) for k in range(5)]
     assert json.dumps(got)
+
+
+# Batches of a hot key
+
+
+def test_a_hot_key_is_ranked_in_ranges(spark, tmp_path):
+    """Half of the rows have one key; ties, nulls and odd names."""
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.randrange(400) or None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "`k.x` string, `__n` int, v int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    try:
+        got = nd.ranked(df, ["k.x"], ["__n", "v"], f"{tmp_path}/r", "rank")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k in ("hot", "a", "b", None):
+        for i, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] or 0, r[2]))):
+            want[r] = i
+    assert {tuple(r)[:3]: r["rank"] for r in got.collect()} == want
+    assert len({p.name for p in (tmp_path / "r").glob("part-*")}) > 1
+    cut = nd.nd_from_table(df, ["k.x"], ["__n", "v"], ["v"], "i", max_cells=70, folder=f"{tmp_path}/s")
+    whole = nd.nd_from_table(df, ["k.x"], ["__n", "v"], ["v"], "i", max_cells=70)
+    assert values(cut) == values(whole) and max(len(r.v["values"]) for r in cut.collect()) == 70
