@@ -67,9 +67,13 @@ def table(spark, rows, columns, kind="int"):
 # Planner
 
 
-def test_reshape_cases():
-    from tessera.queries import AUTO, COMPARED, RESHAPES, TARGETS
+COMPARED = [("", "", 0), ("", "x2", -1), ("x2", "", 1), ("x2", "x2 y3", -1), ("x2 y3", "y3", 1), ("x2 y3", "x2 y3 z4", None), ("x2", "y3", None), ("x2", "x3 y3", None), ("x2 y3", "y3 x2", None)]
+TARGETS = [("", "", "", ""), ("x2", "", "y3", "x2"), ("x2", "x2 y3", "", "x2 y3"), ("x2 y3", "y3 z4", "x2", "x2 y3"), ("", "x2", "x2 y3 z4", "x2 y3 z4")]
+RESHAPES = [("", "", 1, 1), ("", "x2 y3", 1, 6), ("x2", "x2 y3", 1, 3), ("y3", "x2 y3", 2, 1), ("y3", "x2 y3 z4", 2, 4), ("x2 y3", "x2 y3 z4", 1, 4), ("y3 z4", "x2 y3 z4", 2, 1), ("x2 z4", "x2 y3 z4", None, None), ("y3 x2", "x2 y3", None, None), ("y2", "x2 y3", None, None), ("x2 y3", "x2", None, None), ("x2", "y3", None, None), ("x2", "e0 x2", 0, 1), ("", "e0", 1, 0), ("x2", "x2", 1, 1), ("e0", "e0 x2", 1, 2), ("x2", "x2 y3 x2", 1, 6)]
+AUTO = [(131072, (44452, 3660)), (131072, (1_000_000, 2)), (4096, (100_000, 3, 3, 3)), (4096, (50, 40)), (4096, (4096, 4096, 4096)), (1000, (7,)), (1000, (99_999,))]
+
 
+def test_reshape_cases():
     for a, b, whole, each in RESHAPES:
         found = plan.repeats(dims(a), dims(b))
         assert (found is None) if whole is None else tuple(found) == (whole, each)
@@ -77,7 +81,33 @@ def test_reshape_cases():
         assert plan.broadcast_target([dims(a), dims(b), dims(c)]) == dims(best)
     for a, b, relation in COMPARED:
         assert plan.compare(dims(a), dims(b)) == relation
-    assert AUTO
+
+
+def test_rows_choose_targets_and_repeats_as_the_planner_does(spark):
+    def array(c):
+        parts = F.filter(F.split(c, " "), lambda p: p != "")
+        return F.struct(F.transform(parts, lambda p: p.substr(1, 1)).alias("dimension_names"), F.transform(parts, lambda p: p.substr(2, 9).cast("long")).alias("dimension_sizes"), F.array(F.lit(1)).alias("values"))
+
+    rows = spark.createDataFrame(TARGETS, "a string, b string, c string, best string")
+    for r in rows.select("best", bc.target_of([array(c) for c in "abc"]).alias("t")).collect():
+        assert [tuple(d) for d in r.t] == list(map(tuple, dims(r.best)))
+    rows = spark.createDataFrame(RESHAPES, "source string, target string, whole long, each long")
+    for r in rows.select("whole", "each", bc.repeats_of(nd.nd_dimensions(array("source")), nd.nd_dimensions(array("target"))).alias("r")).collect():
+        assert (r.r is None) if r.whole is None else tuple(r.r) == (r.whole, r.each)
+
+
+@pytest.mark.parametrize("target, sizes", AUTO)
+def test_planned_chunks_against_sql(target, sizes):
+    import duckdb
+
+    rows = ", ".join(f"({i}, {n})" for i, n in enumerate(sizes))
+    want = duckdb.sql(f"""with p as (select *, size::double / greatest(1, max(size) over ()) as ratio from (values {rows}) t(i, size)),
+    s as (select power({target} / product(ratio), 1.0::double / count(*)) as scale from p),
+    c as (select i, size, greatest(1, least(floor(ratio * scale), size)) as once, greatest(1, least(floor(ratio * scale * 2), size)) as twice from p, s),
+    t as (select product(once) as p1, product(twice) as p2 from c)
+    select (case when p1 >= {target} // 2 then once when p2 >= {target} // 2 then twice else size end)::bigint from c, t order by i""").fetchall()
+    found = plan.aligned_chunks([plan.dimensions([(f"d{i}", n) for i, n in enumerate(sizes)])], target)[0]
+    assert [d.size for d in found] == [r[0] for r in want]
 
 
 def test_repeats_of_single_dimensions():
